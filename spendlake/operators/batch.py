@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions.entity import EntityQuery, resolve_entity
+from spendlake.functions.jurisdiction import canonical_source
 from spendlake.functions.text import blank_to_null, strip
-from spendlake.operators.entities import FIELDS, GRAM, _grams, match_entities
+from spendlake.operators.entities import FIELDS, GRAM, match_entities
 from spendlake.operators.versions import latest_versions
 
-FILTER_COLUMNS = ("filter_id", "keyword", "company", "agency", "source", "start", "end")
+# Keywords that are tested as literals; a longer list goes through the gram join.
+LITERAL_KEYWORDS = 200
+
+HAY_GRAMS = f"""array_distinct(flatten(transform(sequence(1, {GRAM}), n ->
+  transform(sequence(1, greatest(length(_hay) - n + 1, 1)), i -> substring(_hay, i, n)))))"""
 
 
 def normal_filters(filters: DataFrame) -> DataFrame:
-    """All filter columns present and blank fields NULL; an inverted range is swapped."""
+    """All filter columns present, blank fields NULL, source canonical, an inverted range swapped."""
     def text(c: str) -> Column:
         return blank_to_null(c) if c in filters.columns else F.lit(None).cast("string")
 
@@ -25,7 +30,8 @@ def normal_filters(filters: DataFrame) -> DataFrame:
     swap = start > end
     return filters.select(
         "filter_id", text("keyword").alias("keyword"), text("company").alias("company"),
-        text("agency").alias("agency"), text("source").alias("source"),
+        text("agency").alias("agency"),
+        F.when(text("source").isNotNull(), canonical_source(text("source"))).alias("source"),
         F.when(swap, end).otherwise(start).alias("start"), F.when(swap, start).otherwise(end).alias("end"),
     )
 
@@ -46,22 +52,19 @@ def _other_tests(filters_alias: str) -> Column:
     return F.coalesce(source & dates & keyword, F.lit(False))
 
 
-def matching_rows(filters: DataFrame, notices: DataFrame) -> DataFrame:
+def matching_rows(filters: DataFrame, notices: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """(filter_id, notice columns) of every match, without a nested-loop join.
 
     Each filter takes the route of its most selective term:
       company -> pairs of text and distinct supplier name, then an equi-join on the name;
       agency  -> the same over agencies;
-      keyword -> an equi-join on one gram of the keyword, then the substring test;
-      neither -> an equi-join on source and date is impossible, so such filters are refused by
-                 the search guard and give no rows here.
+      keyword -> see ``keyword_rows``; no term at all is refused by the search guard.
+    The names come from ``catalog`` when there is one, else from the rows.
     The other conditions are tested on the joined rows. A supplier or gram that holds a large
     share of the rows is split by AQE's skew join.
     """
     wanted = normal_filters(filters)
-    rows = notices.withColumn("_hay", _hay()).withColumn("_supplier", F.coalesce("supplier", F.lit(""))).withColumn(
-        "_agency", F.coalesce("agency", F.lit(""))
-    )
+    rows = notices.withColumn("_hay", _hay())
     out = []
     for kind, guard in (
         ("company", F.col("company").isNotNull()),
@@ -69,7 +72,7 @@ def matching_rows(filters: DataFrame, notices: DataFrame) -> DataFrame:
     ):
         name, key = FIELDS[kind]
         routed = wanted.where(guard)
-        entities = notices.select(name, key).distinct().select(
+        entities = (notices if catalog is None else catalog).select(name, key).distinct().select(
             resolve_entity(kind, name, key).alias("entity"),
             F.coalesce(name, F.lit("")).alias("_name"), F.coalesce(key, F.lit("")).alias("_key"),
         )
@@ -89,40 +92,54 @@ def matching_rows(filters: DataFrame, notices: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def keyword_rows(filters: DataFrame, notices: DataFrame) -> DataFrame:
+def keyword_rows(filters: DataFrame, notices: DataFrame, literal_limit: int = LITERAL_KEYWORDS) -> DataFrame:
     """Matches of the filters that have only a keyword.
 
-    Every such filter probes with one gram. The grams of the rows are first cut down to the
-    probed ones, so the exploded rows that survive are near the number of candidates.
+    Up to ``literal_limit`` keywords are tested in one pass over the rows. Beyond that every
+    filter probes with one gram of its keyword, the grams of the rows join on it, and the
+    substring test runs on those pairs.
     """
     wanted = normal_filters(filters).where(
         F.col("company").isNull() & F.col("agency").isNull() & F.col("keyword").isNotNull()
-    )
-    # The last gram separates better than the first: many titles share a beginning.
-    term = F.lower("keyword")
-    wanted = wanted.withColumn("_gram", F.substring(term, F.greatest(F.length(term) - GRAM + 1, F.lit(1)), GRAM))
+    ).withColumn("_term", F.lower("keyword"))
     rows = notices.withColumn("_hay", _hay())
-    grams = F.concat(*[_grams(F.col("_hay"), size) for size in range(1, GRAM + 1)])
-    exploded = rows.withColumn("_gram", F.explode(grams)).alias("n")
-    joined = exploded.join(wanted.alias("f"), F.col("n._gram") == F.col("f._gram")).where(_other_tests("f"))
-    return joined.select("f.filter_id", *[F.col(f"n.{c}") for c in notices.columns])
-
-
-def batch_total_spend(filters: DataFrame, notices: DataFrame, with_keywords: bool = False) -> DataFrame:
-    """(filter_id, contracts, total) on the latest matching version; every filter keeps a row."""
+    terms = [r[0] for r in wanted.select("_term").distinct().limit(literal_limit + 1).collect()]
+    if len(terms) <= literal_limit:
+        known = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+        hits = F.filter(known, lambda t: F.contains(F.col("_hay"), t))
+        pairs = rows.withColumn("_term", F.explode(hits)).alias("n")
+        joined = pairs.join(wanted.alias("f"), F.col("n._term") == F.col("f._term"))
+    else:
+        # The last gram separates better than the first: many titles share a beginning.
+        cut = F.substring("_term", F.greatest(F.length("_term") - GRAM + 1, F.lit(1)), GRAM)
+        exploded = rows.withColumn("_gram", F.explode(F.expr(HAY_GRAMS))).alias("n")
+        joined = exploded.join(wanted.withColumn("_gram", cut).alias("f"), F.col("n._gram") == F.col("f._gram"))
+    return joined.where(_other_tests("f")).select("f.filter_id", *[F.col(f"n.{c}") for c in notices.columns])
+
+
+def batch_total_spend(
+    filters: DataFrame, notices: DataFrame, with_keywords: bool = False, catalog: DataFrame | None = None
+) -> DataFrame:
+    """(filter_id, contracts, total) on the latest matching version.
+
+    Every filter keeps a row: zero without a match, NULL when it has no search term at all.
+    Filters that have only a keyword need ``with_keywords``.
+    """
     slim = notices.select(
         "source", "contract_id", "release_id", "supplier", "company_key", "agency", "agency_key",
         "title", "amount", "release_date",
     )
-    hits = matching_rows(filters, slim)
+    hits = matching_rows(filters, slim, catalog)
     if with_keywords:
         hits = hits.unionByName(keyword_rows(filters, slim))
     slim_hits = hits.select("filter_id", "source", "contract_id", "amount", "release_date", "release_id")
     latest = latest_versions(slim_hits, ("filter_id", "source", "contract_id"))
     sums = latest.groupBy("filter_id").agg(F.count(F.lit(1)).alias("contracts"), F.sum("amount").alias("total"))
     zero = F.lit("0.00").cast("decimal(18,2)")
-    return filters.select("filter_id").join(sums, "filter_id", "left").select(
+    terms = ["company", "agency"] + (["keyword"] if with_keywords else [])
+    searched = normal_filters(filters).select("filter_id", F.coalesce(*terms).isNotNull().alias("_searched"))
+    return searched.join(sums, "filter_id", "left").select(
         "filter_id",
-        F.coalesce("contracts", F.lit(0)).alias("contracts"),
-        F.coalesce("total", zero).alias("total"),
+        F.when(F.col("_searched"), F.coalesce("contracts", F.lit(0))).alias("contracts"),
+        F.when(F.col("_searched"), F.coalesce("total", zero)).alias("total"),
     )

@@ -76,7 +76,7 @@ def header_index(cells: Column | str) -> Column:
     """
     cells = F.col(cells) if isinstance(cells, str) else cells
     texts = F.transform(
-        cells, lambda h: collapse_spaces(F.regexp_replace(F.lower(strip(F.coalesce(h, F.lit("")))), "^﻿", ""))
+        cells, lambda h: collapse_spaces(F.regexp_replace(F.lower(strip(F.coalesce(h, F.lit("")))), "^\\x{FEFF}", ""))
     )
 
     def position(candidates: tuple[str, ...]) -> Column:
