@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spendlake.functions.text import _col, collapse_spaces, strip
+from spendlake.functions.text import _col, collapse_spaces, let, strip
 
 DEFAULT_LOOKBACK = 20
 WINDOW_DAYS = 31
@@ -25,6 +25,9 @@ DASH_MON_SHORT = (rf"{D}-{MON}-{DD}", "d-MMM-yy")
 MON_FIRST = (rf"{MON} {D} \d{{4}}", "MMM d yyyy")
 MONTH_FIRST = (rf"{MONTH} {D} \d{{4}}", "MMMM d yyyy")
 
+# Seconds of 1899-12-30, day zero of spreadsheet serials.
+SERIAL_EPOCH = -2209161600
+
 RFC3339 = rf"\d{{4}}-{DD}-{DD}T{DD}:{DD}:{DD}(?:\.\d+)?(?:Z|[+-]{DD}:{DD})"
 CATALOGUE_TIME = rf"\d{{4}}-{DD}-{DD}T{DD}:{DD}:{DD}(?:\.\d+)?"
 
@@ -40,14 +43,17 @@ def month_label(c: Column | str) -> Column:
 
 
 def _parse(text: Column, layouts: list[tuple[str, str]]) -> Column:
-    tries = []
-    for shape, pattern in layouts:
-        parsed = F.try_to_timestamp(text, F.lit(pattern))
-        if pattern.endswith("-yy"):
-            # Two-digit years from 69 on belong to the last century.
-            parsed = F.when(F.year(parsed) >= 2069, parsed - F.expr("INTERVAL '100' YEAR")).otherwise(parsed)
-        tries.append(F.when(text.rlike(f"^{shape}$"), parsed))
-    return F.coalesce(*tries)
+    def first_fit(t: Column) -> Column:
+        tries = []
+        for shape, pattern in layouts:
+            parsed = F.try_to_timestamp(t, F.lit(pattern))
+            if pattern.endswith("-yy"):
+                # Two-digit years from 69 on belong to the last century.
+                parsed = F.when(F.year(parsed) >= 2069, parsed - F.expr("INTERVAL '100' YEAR")).otherwise(parsed)
+            tries.append(F.when(t.rlike(f"^{shape}$"), parsed))
+        return F.coalesce(*tries)
+
+    return let(text, first_fit)
 
 
 def parse_rfc3339(c: Column | str) -> Column:
@@ -74,17 +80,18 @@ def parse_date_wa(c: Column | str) -> Column:
 
 def parse_date_qld(c: Column | str) -> Column:
     """Spreadsheet serials, then text layouts with an optional midnight suffix."""
-    text = strip(c)
-    serial = text.try_cast("double")
-    hours = F.floor(serial * 24).cast("int")
-    from_serial = F.timestamp_seconds(F.lit(-2209161600) + hours.cast("long") * 3600)
-    day = text
-    for suffix in ("00:00:00", "00:00"):
-        day = strip(F.regexp_replace(day, f"{suffix}$", ""))
     layouts = [ISO_DAY, SLASH_DAY, DASH_DAY, SPACE_MON, DASH_MON, MON_FIRST, MONTH_FIRST]
-    return F.when((serial >= 20000) & (serial <= 80000), from_serial).otherwise(
-        F.coalesce(parse_rfc3339(day), _parse(day, layouts))
-    )
+
+    def parse(text: Column) -> Column:
+        serial = text.try_cast("double")
+        hours = F.floor(serial * 24).cast("long")
+        from_serial = F.timestamp_seconds(F.lit(SERIAL_EPOCH) + hours * 3600)
+        day = F.regexp_replace(text, r"(?U)\s*(?:00:00:00)?\s*(?:00:00)?$", "")
+        return F.when((serial >= 20000) & (serial <= 80000), from_serial).otherwise(
+            F.coalesce(parse_rfc3339(day), _parse(day, layouts))
+        )
+
+    return let(strip(c), parse)
 
 
 def parse_catalogue_time(c: Column | str) -> Column:

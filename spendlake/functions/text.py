@@ -1,10 +1,12 @@
 """Text helpers as Column expressions.
 
-None of them uses a lambda, so they stay inside whole-stage code generation.
+All but ``let`` avoid lambdas, so they stay inside whole-stage code generation.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    For long rules over one text: without it the text's own expression would be repeated for
+    every use, until the generated code is too large to compile.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), EDGE_SPACE, "")
 

@@ -240,3 +240,204 @@ SELECT question_id, company, agency, keyword, f.source, contracts, CAST(total AS
     || coalesce(' (' || upper(f.source) || ')', '') || ' over the past 20 years: $' || format('{{:,.2f}}', CAST(total AS DOUBLE)) AS answer
 FROM f JOIN sums USING (question_id)""",
 }
+
+# --- calendar, coverage and saved results -----------------------------------------------------
+
+_REQUESTS = """requests AS (
+  SELECT c_custkey AS request_id, ['federal','nsw','vic','qld','sa','wa'][CAST(c_nationkey % 6 AS INTEGER) + 1] AS source,
+         min(CAST(o_orderdate AS DATE)) AS d1, max(CAST(o_orderdate AS DATE)) AS d2
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+_MONTHS = """windows AS (
+  SELECT request_id, source, CAST(greatest(m, d1) AS DATE) AS window_start, CAST(least(last_day(m), d2) AS DATE) AS window_end,
+         strftime(m, '%Y-%m') AS month
+  FROM (SELECT *, CAST(unnest(generate_series(date_trunc('month', d1), CAST(d2 AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS m FROM requests))"""
+_LOADS = """monthly AS (SELECT source, month, count(*) AS n FROM notices GROUP BY ALL),
+loads AS (SELECT source, month FROM monthly QUALIFY n * count(*) OVER (PARTITION BY source) >= sum(n) OVER (PARTITION BY source))"""
+
+_LAYOUT_OK = {
+    "iso": "sa wa qld catalogue", "slash": "sa wa qld", "slash_short": "", "dash_month": "nsw sa qld",
+    "dash_month_short_year": "nsw", "space_month": "vic sa qld", "long_month": "vic sa", "month_first": "qld",
+    "rfc3339": "qld catalogue ocds", "midnight": "qld", "serial": "qld", "junk": "",
+}
+_PARSERS = "nsw vic sa wa qld catalogue ocds".split()
+
+
+def _layout_counts() -> str:
+    """Which parser reads which layout, as counts of rows; short spellings depend on the day."""
+    one_digit = "month(release_date) < 10"
+    special = {
+        # two-digit months are required except in one jurisdiction, day and month digits in another
+        ("slash_short", "sa"): "true",
+        ("slash_short", "qld"): f"NOT ({one_digit})",
+        ("slash_short", "wa"): f"NOT ({one_digit}) AND day(release_date) >= 10",
+        # May has the same short and long name
+        ("long_month", "qld"): "month(release_date) = 5",
+    }
+    parts = []
+    for layout, ok in _LAYOUT_OK.items():
+        cols = []
+        for parser in _PARSERS:
+            test = special.get((layout, parser), "true" if parser in ok.split() else "false")
+            cols.append(f"count(*) FILTER (WHERE {test}) AS {parser}")
+        parts.append(f"SELECT '{layout}' AS layout, count(*) AS rows, {', '.join(cols)}, CAST(0 AS BIGINT) AS wrong FROM notices")
+    return " UNION ALL ".join(parts)
+
+
+_SPELLED = """names AS (SELECT * FROM (VALUES (0,'Federal','federal'), (1,'Commonwealth','federal'), (2,'AusTender','federal'),
+  (3,'Australian  Government','federal'), (4,'federal_government','federal'), (5,'QLD','qld'), (6,'Queensland','qld'),
+  (7,'qld-government','qld'), (8,'Queensland Government.','qld'), (9,'nsw','nsw'), (10,'New South Wales','nsw'),
+  (11,'NSW/Government','nsw'), (12,'VIC','vic'), (13,'victoria','vic'), (14,'Victorian Government','vic'), (15,'SA','sa'),
+  (16,'South Australia','sa'), (17,'sa government','sa'), (18,'WA','wa'), (19,'Western Australia','wa'),
+  (20,'W.A. Government','w a government'), (21,'western australian government','wa'), (22,'Tasmania','tasmania'),
+  (23,'Northern-Territory','northern territory'), (24,'  ','federal')) v(i, spelled, canon))"""
+_PHRASES = [
+    ("western australian government", "wa"), ("western australia", "wa"), ("queensland government", "qld"),
+    ("queensland", "qld"), ("south australian government", "sa"), ("south australia", "sa"),
+    ("victorian government", "vic"), ("victoria", "vic"), ("new south wales", "nsw"), ("nsw government", "nsw"),
+    ("australian government", "federal"), ("federal government", "federal"), ("commonwealth", "federal"),
+    ("austender", "federal"),
+]
+_PHRASE = "CASE " + " ".join(f"WHEN contains(l, '{p}') THEN '{p}'" for p, _ in _PHRASES) + " END"
+_PHRASE_SOURCE = "CASE phrase " + " ".join(f"WHEN '{p}' THEN '{s}'" for p, s in _PHRASES) + " END"
+
+_RUNS = """runs AS (SELECT ts, 'user ' || user_id AS company, event_type AS keyword,
+    (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Australia/Sydney' AS local_ts FROM events)"""
+
+# --- sources ----------------------------------------------------------------------------------
+
+# What a release page of each line item should turn into.
+_RELEASED = """released AS (SELECT *,
+    CASE WHEN floor(l_quantity) = 2 THEN 'error page' WHEN floor(l_quantity) = 1 THEN 'not a contract release' END AS bad
+  FROM notices)"""
+_SHOW = "supplier, agency, title, CAST(amount AS DOUBLE) AS amount, release_day AS release_date"
+_PORTAL = "SELECT *, '' AS empty FROM notices WHERE source = '{0}'"
+
+SQL |= {
+    "month_windows": f"WITH {_REQUESTS}, {_MONTHS} SELECT request_id, source, window_start, window_end, month FROM windows",
+    "day31_windows": f"""WITH {_REQUESTS}, days AS (
+  SELECT *, unnest(generate_series(0, greatest(d2 - d1 - 1, 0), 31)) AS n FROM requests)
+SELECT request_id, source, CAST(d1 + CAST(n AS INTEGER) AS DATE) AS window_start,
+  CAST(least(d1 + CAST(n AS INTEGER) + 31, d2) AS DATE) AS window_end, strftime(d1 + CAST(n AS INTEGER), '%Y-%m') AS month FROM days""",
+    "month_coverage": f"WITH {NOTICES}, {_LOADS} SELECT source, month FROM loads",
+    "uncovered_months": f"""WITH {NOTICES}, {_LOADS}, {_REQUESTS}, {_MONTHS}
+SELECT request_id, source, month, window_start, window_end FROM windows w
+WHERE NOT EXISTS (SELECT 1 FROM loads l WHERE l.source = w.source AND l.month = w.month)""",
+    "coverage_complete": f"""WITH {NOTICES}, {_LOADS}, {_REQUESTS}, {_MONTHS}
+SELECT request_id, count(*) AS windows, count(*) - count(l.month) AS missing, count(*) = count(l.month) AS complete
+FROM windows w LEFT JOIN loads l ON l.source = w.source AND l.month = w.month GROUP BY request_id""",
+    "window_range_join": f"""WITH {NOTICES}, {_LOADS}, span AS (
+  SELECT source, min(release_day) + 10 AS d1, max(release_day) - 10 AS d2 FROM notices GROUP BY source)
+SELECT n.source, n.month, count(*) AS records, CAST(sum(amount) AS DOUBLE) AS total_amount
+FROM notices n JOIN span s ON n.source = s.source AND release_day BETWEEN d1 AND d2
+WHERE NOT EXISTS (SELECT 1 FROM loads l WHERE l.source = n.source AND l.month = n.month) GROUP BY n.source, n.month""",
+    "load_jobs_by_supplier": """SELECT s_suppkey, s_name AS supplier, CAST(a AS DATE) AS window_start, CAST(b AS DATE) AS window_end, m AS month
+FROM supplier, (VALUES ('1999-11-15','1999-11-30','1999-11'), ('1999-12-01','1999-12-31','1999-12'), ('2000-01-01','2000-01-31','2000-01'),
+  ('2000-02-01','2000-02-29','2000-02'), ('2000-03-01','2000-03-02','2000-03')) w(a, b, m)
+WHERE contains(lower(s_name), 'supplier#0000000')""",
+    "resolved_ranges": f"""WITH {_REQUESTS}, r AS (SELECT request_id, c_acctbal AS bal, d1, d2,
+    CASE WHEN bal < 2000 THEN 3 ELSE 20 END AS years FROM requests JOIN customer ON c_custkey = request_id),
+ends AS (SELECT *, CASE WHEN bal >= 9000 THEN d2 WHEN bal >= 0 THEN d1 END AS a,
+    CASE WHEN bal >= 9000 THEN d1 WHEN bal < 5000 THEN d2 ELSE DATE '2002-01-01' END AS b FROM r),
+filled AS (SELECT request_id, b, CASE WHEN a IS NOT NULL THEN a WHEN month(b) = 2 AND day(b) = 29
+    AND day(last_day(b - to_years(years))) = 28 THEN CAST(make_date(year(b) - years, 3, 1) AS DATE)
+    ELSE CAST(b - to_years(years) AS DATE) END AS a FROM ends)
+SELECT request_id, least(a, b) AS start, greatest(a, b) AS "end" FROM filled""",
+    "user_dates": """WITH o AS (SELECT o_orderkey, o_orderdate AS d, left(o_orderpriority, 1) AS p FROM orders)
+SELECT o_orderkey, CASE p WHEN '1' THEN strftime(d, '%Y-%m-%d') WHEN '2' THEN strftime(d, '%Y-%m-%dT%H:%M:%SZ')
+    WHEN '3' THEN strftime(d, '%Y-%m-%dT%H:%M:%S+10:00') WHEN '4' THEN strftime(d, '%d/%m/%Y') ELSE '  ' END AS raw,
+  CASE WHEN p IN ('1', '2') THEN CAST(epoch(d) AS BIGINT) WHEN p = '3' THEN CAST(epoch(d) AS BIGINT) - 36000 END AS epoch,
+  p = '4' AS is_bad FROM o""",
+    "date_parse_multi": f"WITH {NOTICES} {_layout_counts()}",
+    "money_parse_format": f"""WITH {NOTICES}, t AS (SELECT sum(amount) AS s, count(*) AS n, max('$' || format('{{:,.2f}}', CAST(amount AS DOUBLE))) AS top,
+    max('-$' || format('{{:,.2f}}', CAST(amount AS DOUBLE))) AS low FROM notices)
+SELECT 'plain' AS spelling, n AS lenient_rows, CAST(s AS DOUBLE) AS lenient_sum, CAST(s AS DOUBLE) AS zero_sum, n AS strict_rows, CAST(s AS DOUBLE) AS strict_sum, top AS top_shown FROM t
+UNION ALL SELECT 'dollars', n, s, s, n, s, top FROM t
+UNION ALL SELECT 'prefixed', n, s, s, 0, NULL, top FROM t
+UNION ALL SELECT 'negative', n, -s, -s, n, -s, low FROM t
+UNION ALL SELECT 'blank', n, 0, 0, n, 0, '$0.00' FROM t
+UNION ALL SELECT 'words', 0, NULL, 0, 0, NULL, NULL FROM t""",
+    "canonical_sources": f"""WITH {_SPELLED}
+SELECT c_custkey, spelled AS text, canon AS source FROM customer JOIN names ON i = c_custkey % 25""",
+    "detect_jurisdiction": f"""WITH {_SPELLED}, texts AS (
+  SELECT conv_id, turn, lower(text || ' - spend in ' || spelled) AS l FROM conversations JOIN names ON i = (conv_id + turn) % 25),
+p AS (SELECT *, {_PHRASE} AS phrase, regexp_extract(' ' || regexp_replace(l, '[^a-z0-9]+', ' ', 'g') || ' ',
+    ' (federal|commonwealth|austender|qld|queensland|nsw|vic|victoria|sa|wa) ', 1) AS token FROM texts)
+SELECT conv_id, turn, CASE WHEN phrase IS NOT NULL THEN {_PHRASE_SOURCE} WHEN token IN ('commonwealth','austender') THEN 'federal'
+    WHEN token = 'queensland' THEN 'qld' WHEN token = 'victoria' THEN 'vic' ELSE nullif(token, '') END AS source,
+  CASE WHEN phrase IS NOT NULL THEN 'phrase matched: ' || phrase WHEN token <> '' THEN 'token matched: ' || token ELSE 'no match' END AS evidence FROM p""",
+    "supplier_search_terms": """WITH k AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders),
+p AS (SELECT *, lpad(k, 11, '2') AS e, lpad(k, 9, '1') AS n FROM k)
+SELECT o_orderkey, left(e, 2) || ' ' || substr(e, 3, 3) || ' ' || substr(e, 6, 3) || ' ' || right(e, 3) AS term, 'abn' AS kind, e AS value FROM p
+UNION ALL SELECT o_orderkey, n, 'acn', n FROM p
+UNION ALL SELECT o_orderkey, k, CASE length(k) WHEN 11 THEN 'abn' WHEN 9 THEN 'acn' ELSE 'name' END, k FROM p
+UNION ALL SELECT o_orderkey, ' Order ' || k, 'name', 'Order ' || k FROM p""",
+    "daily_snapshots": f"""WITH {_RUNS}, d AS (SELECT *, CAST(local_ts AS DATE) AS day FROM runs)
+SELECT day AS snapshot_day, 'day=' || day || '|company=' || company || '|agency=|keyword=' || keyword || '|source=federal|dateType=|lookback=20|start=|end=' AS query_key,
+  count(*) AS runs, min(epoch_us(ts)) AS first_run,
+  max(CAST(epoch(CAST(day + 1 AS TIMESTAMP) AT TIME ZONE 'Australia/Sydney') AS BIGINT)) AS expires
+FROM d GROUP BY day, company, keyword""",
+    "run_checkpoints": f"""WITH {_RUNS}, c AS (SELECT company || '|' || keyword AS query_key, max(ts) AS m FROM runs GROUP BY ALL)
+SELECT query_key, epoch_us(m) AS checkpoint,
+  epoch_us(CASE WHEN m > TIMESTAMP '2024-01-01' AND m < TIMESTAMP '2024-01-20' THEN m ELSE TIMESTAMP '2024-01-01' END) AS search_start FROM c""",
+    "ocds_notices": f"""WITH {NOTICES}, {_RELEASED}
+SELECT contract_id, {_SHOW}, source, release_id, ocid, tag, fy, month FROM released WHERE bad IS NULL""",
+    "ocds_rejects": f"""WITH {NOTICES}, {_RELEASED}
+SELECT source, CASE bad WHEN 'error page' THEN 'error 500: upstream' ELSE bad END AS reason, count(*) AS rows
+FROM released WHERE bad IS NOT NULL GROUP BY ALL""",
+    "ocds_filtered_total": f"""WITH {NOTICES}, {_RELEASED},
+hits AS (SELECT * FROM released WHERE bad IS NULL AND contains(lower(supplier), 'supplier#0000000') AND agency = 'Department of MACHINERY'),
+best AS ({latest('hits')})
+SELECT source, count(*) AS contracts, CAST(sum(amount) AS DOUBLE) AS total_spend FROM best GROUP BY source""",
+    "catalogue_resources": """WITH p AS (SELECT *, CAST(DATE '2024-01-01' + CAST(p_size AS INTEGER) AS TIMESTAMP) AS d FROM part)
+SELECT 'res-' || p_partkey || 'a' AS resource_id, 'https://data.example.test/' || p_partkey || '.csv' AS url, 'csv' AS format,
+  p_name AS dataset_title, p_brand AS organization, CAST(epoch(d) AS BIGINT) + 37800 AS modified FROM p
+UNION ALL SELECT 'res-' || p_partkey || 'b', 'http://files.example.test/' || p_partkey, 'xlsx', p_name, p_brand,
+  CAST(epoch(TIMESTAMP '2023-05-06 07:08:09') AS BIGINT) FROM p""",
+    "stale_resources": """SELECT 'res-' || p_partkey || 'a' AS resource_id, 'csv' AS format FROM part WHERE p_size >= 15
+UNION ALL SELECT 'res-' || p_partkey || 'b', 'xlsx' FROM part""",
+    "csv_header_mapping": f"""WITH {NOTICES}, f AS (SELECT *, l_linenumber % 3 AS layout,
+    'fy-' || fy || '-' || (l_linenumber % 3) || '.csv' AS raw_file FROM notices)
+SELECT CASE WHEN layout < 2 THEN contract_id ELSE '|' || ' ' || supplier || ' | ' || title END AS contract_id, supplier,
+  CASE layout WHEN 0 THEN agency ELSE 'Department of Works' END AS agency,
+  title, CAST(amount AS DOUBLE) AS amount, release_day AS release_date,
+  raw_file || '#' || (l_orderkey * 8 + l_linenumber + 30) AS release_id, raw_file, month FROM f""",
+    "portal_nsw_notices": f"""WITH {NOTICES}, p AS ({_PORTAL.format('nsw')})
+SELECT CASE WHEN amount > 50000 THEN contract_id ELSE release_id END AS contract_id, {_SHOW}, source, release_id, contract_end FROM p""",
+    "portal_vic_notices": f"""WITH {NOTICES}, p AS ({_PORTAL.format('vic')})
+SELECT contract_id, supplier, agency, title || ' (Current)' AS title, CAST(amount AS DOUBLE) AS amount,
+  release_day AS release_date, source, contract_id AS release_id, contract_end FROM p WHERE length(contract_id) >= 4""",
+    "portal_sa_notices": f"""WITH {NOTICES}, p AS ({_PORTAL.format('sa')})
+SELECT contract_id, {_SHOW}, source, contract_id AS release_id, CAST(NULL AS DATE) AS contract_end FROM p""",
+    "portal_wa_notices": f"""WITH {NOTICES}, p AS ({_PORTAL.format('wa')})
+SELECT contract_id, CASE WHEN amount > 40000 THEN supplier || ', Joint Co' ELSE 'Various' END AS supplier, agency, title,
+  CAST(amount AS DOUBLE) AS amount, release_day AS release_date, source, contract_id AS release_id, CAST(NULL AS DATE) AS contract_end FROM p""",
+    "challenge_pages": """SELECT page_id, length(html) % 7 IN (0, 1) AS blocked FROM pages""",
+    "page_link_ids": """WITH u AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin,
+    regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+l AS (SELECT page_id, path, origin, unnest([0, 1, 2, 3, 4]) AS n FROM u),
+r AS (SELECT page_id, n, path, CASE n WHEN 0 THEN origin || '/contract/view?id=1' WHEN 1 THEN 'https://other.example.test/notices/'
+    WHEN 2 THEN regexp_extract(origin, '^https?:', 0) || '//cdn.example.test/a/b#c' WHEN 3 THEN origin || path || '?page=3'
+    ELSE origin || CASE WHEN regexp_matches(path, '^/[^/]+/[^/]+/$') THEN regexp_extract(path, '^/[^/]+', 0) ELSE '' END || '/up/x.html' END AS link FROM l)
+SELECT page_id, CAST(n AS INTEGER) AS n, link, nullif(regexp_extract(path, '([^/]*)/*$', 1), '') AS page_notice,
+  CASE n WHEN 0 THEN 'view' WHEN 2 THEN 'b' WHEN 3 THEN nullif(regexp_extract(path, '([^/]*)/*$', 1), '') WHEN 4 THEN 'x.html' END AS link_notice FROM r""",
+    "lake_roundtrip_pruned": f"""WITH {NOTICES}
+SELECT release_id, supplier, agency, CAST(amount AS DOUBLE) AS amount, fy, month FROM notices
+WHERE contains(lower(supplier), 'supplier#0000000') AND agency = 'Department of MACHINERY' AND source = 'qld'
+  AND release_day BETWEEN DATE '1997-08-01' AND DATE '1998-03-31'""",
+    "lake_month_reload": f"""WITH {NOTICES}
+SELECT fy, CAST(sum(CASE WHEN fy = '1997-98' THEN 2 * amount ELSE amount END) AS DOUBLE) AS total_amount, count(*) AS records FROM notices GROUP BY fy""",
+    "lake_sql": f"""WITH {NOTICES}
+SELECT source, agency, CAST(sum(amount) AS DOUBLE) AS total_amount, count(*) AS records FROM notices WHERE fy >= '1998-99' GROUP BY source, agency""",
+    "lake_catalog_lookup": _find(
+        "supplier", "company_key", "supplier 000000003", "supplier_000000003", "['supplier','000000003']",
+        "000000003_supplier", "company", "true", 10,
+    ),
+    "lake_file_rows": f"WITH {NOTICES} SELECT source, fy, month, count(*) AS records FROM notices GROUP BY ALL",
+    "stream_dedupe_window": """SELECT CAST(time_bucket(INTERVAL 31 DAY, ts, TIMESTAMP '1970-01-01') AS DATE) AS window_start,
+  CAST(time_bucket(INTERVAL 31 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 31 DAY AS DATE) AS window_end, event_type,
+  count(*) AS records, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL""",
+    "stream_latest_version": f"""WITH {NOTICES}, best AS ({latest('notices')}),
+old AS (SELECT source, contract_id, min(release_date) AS first_date FROM notices GROUP BY ALL)
+SELECT source, contract_id, release_id, CAST(amount AS DOUBLE) AS amount, release_day AS release_date,
+  release_date > first_date AS is_update FROM best JOIN old USING (source, contract_id)""",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from spendlake.plans import spend_queries
+from spendlake.plans import calendar_queries, source_queries, spend_queries, stream_queries
 
-QUERIES = {**spend_queries.QUERIES}
+QUERIES = {
+    **spend_queries.QUERIES, **calendar_queries.QUERIES, **source_queries.QUERIES, **stream_queries.QUERIES,
+}

@@ -84,7 +84,8 @@ def header_index(cells: Column | str) -> Column:
         exact = F.get(F.filter(options, lambda c: F.array_contains(texts, c)), F.lit(0))
         inside = F.get(F.filter(options, lambda c: F.exists(texts, lambda h: F.contains(h, c))), F.lit(0))
         holds = F.transform(texts, lambda h: F.contains(h, inside))
-        return F.coalesce(F.array_position(texts, exact), F.array_position(holds, F.lit(True)))
+        # A missing candidate gives NULL in the first position and zero in the second.
+        return F.coalesce(F.array_position(texts, exact), F.nullif(F.array_position(holds, F.lit(True)), F.lit(0)))
 
     fields = {name: position(candidates) for name, candidates in HEADERS.items()}
     bare = F.array_position(texts, F.lit(BARE_REFERENCE))
