@@ -10,9 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Regular expressions that also see Unicode white space.
-EDGE_SPACE = r"(?U)^\s+|\s+$"
-ANY_SPACE = r"(?U)\s+"
+# The Unicode white-space characters.
+SPACES = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+ANY_SPACE = f"[{SPACES}]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -29,7 +32,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), EDGE_SPACE, "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def empty_to_null(c: Column) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.functions.entity import EntityQuery, resolve_entity
+from spendlake.functions.entity import resolve_entity
 from spendlake.functions.jurisdiction import canonical_source
-from spendlake.functions.text import blank_to_null, strip
+from spendlake.functions.text import blank_to_null
 from spendlake.operators.entities import FIELDS, GRAM, match_entities
 from spendlake.operators.versions import latest_versions
+from spendlake.session import staged
 
 # Keywords that are tested as literals; a longer list goes through the gram join.
 LITERAL_KEYWORDS = 200
@@ -52,44 +53,53 @@ def _other_tests(filters_alias: str) -> Column:
     return F.coalesce(source & dates & keyword, F.lit(False))
 
 
+def _name_pairs(wanted: DataFrame, names: DataFrame, kind: str) -> DataFrame:
+    """(_text, _name, _key): the stored names that match each text of ``wanted``.
+
+    The distinct names and the pairs are written out: the match and the row joins read them
+    several times, and none of those reads should scan the notices again.
+    """
+    name, key = FIELDS[kind]
+    distinct = names.select(F.coalesce(name, F.lit("")).alias("_name"), F.coalesce(key, F.lit("")).alias("_key")).distinct()
+    resolved = staged(distinct, f"{kind}-names").withColumn("e", resolve_entity(kind, "_name", "_key"))
+    # The stored name travels inside the entity, so the match needs no join to get it back.
+    entities = resolved.select(F.struct("e.*", "_name", "_key").alias("entity"))
+    pairs = match_entities(wanted, entities, kind, kind)
+    return staged(pairs.select(F.col("text").alias("_text"), "entity._name", "entity._key"), f"{kind}-pairs")
+
+
+def _same_entity(kind: str) -> Column:
+    name, key = FIELDS[kind]
+    same_name = F.coalesce(F.col(f"n.{name}"), F.lit("")) == F.col(f"{kind}._name")
+    return same_name & (F.coalesce(F.col(f"n.{key}"), F.lit("")) == F.col(f"{kind}._key"))
+
+
 def matching_rows(filters: DataFrame, notices: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """(filter_id, notice columns) of every match, without a nested-loop join.
-
-    Each filter takes the route of its most selective term:
-      company -> pairs of text and distinct supplier name, then an equi-join on the name;
-      agency  -> the same over agencies;
-      keyword -> see ``keyword_rows``; no term at all is refused by the search guard.
-    The names come from ``catalog`` when there is one, else from the rows.
-    The other conditions are tested on the joined rows. A supplier or gram that holds a large
-    share of the rows is split by AQE's skew join.
+    """(filter_id, notice columns) of every match of a company or agency, without a nested loop.
+
+    The texts of the filters are matched against the distinct stored names (those of ``catalog``
+    when there is one, else of the rows). The rows then join by name: on the supplier where the
+    filter has a company, else on the agency. A filter with both keeps the rows whose agency is
+    one of its agency names, by another equi-join, which filters with a company only pass. Source, date and keyword are tested on the
+    joined rows. AQE's skew join splits a name that holds a large share of the rows.
     """
-    wanted = normal_filters(filters)
-    rows = notices.withColumn("_hay", _hay())
-    out = []
-    for kind, guard in (
-        ("company", F.col("company").isNotNull()),
-        ("agency", F.col("company").isNull() & F.col("agency").isNotNull()),
-    ):
-        name, key = FIELDS[kind]
-        routed = wanted.where(guard)
-        entities = (notices if catalog is None else catalog).select(name, key).distinct().select(
-            resolve_entity(kind, name, key).alias("entity"),
-            F.coalesce(name, F.lit("")).alias("_name"), F.coalesce(key, F.lit("")).alias("_key"),
-        )
-        pairs = match_entities(routed, entities, kind, kind).select("text", "_name", "_key")
-        by_name = routed.join(pairs, strip(routed[kind]) == pairs["text"]).alias("f")
-        n = rows.alias("n")
-        joined = by_name.join(
-            n,
-            (F.col("f._name") == F.coalesce(F.col(f"n.{name}"), F.lit("")))
-            & (F.col("f._key") == F.coalesce(F.col(f"n.{key}"), F.lit(""))),
-        ).where(_other_tests("f"))
-        if kind == "company":
-            entity = resolve_entity("agency", F.col("n.agency"), F.col("n.agency_key"))
-            fits = EntityQuery.of("agency", F.col("f.agency")).matches(entity)
-            joined = joined.where(F.col("f.agency").isNull() | fits)
-        out.append(joined.select("f.filter_id", *[F.col(f"n.{c}") for c in notices.columns]))
-    return out[0].unionByName(out[1])
+    wanted = staged(normal_filters(filters), "filters")
+    names = notices if catalog is None else catalog
+    n = notices.withColumn("_hay", _hay()).alias("n")
+    company = _name_pairs(wanted, names, "company").alias("company")
+    agency = _name_pairs(wanted, names, "agency").alias("agency")
+    by_company = wanted.where(F.col("company").isNotNull()).alias("f").join(
+        company, F.col("f.company") == F.col("company._text")
+    )
+    on_company = by_company.join(n, _same_entity("company")).where(_other_tests("f"))
+    fits = on_company.join(agency, (F.col("f.agency") == F.col("agency._text")) & _same_entity("agency"), "left")
+    fits = fits.where(F.col("f.agency").isNull() | F.col("agency._text").isNotNull())
+    by_agency = wanted.where(F.col("company").isNull() & F.col("agency").isNotNull()).alias("f").join(
+        agency, F.col("f.agency") == F.col("agency._text")
+    )
+    on_agency = by_agency.join(n, _same_entity("agency")).where(_other_tests("f"))
+    columns = ["f.filter_id", *[f"n.{c}" for c in notices.columns]]
+    return fits.select(*columns).unionByName(on_agency.select(*columns))
 
 
 def keyword_rows(filters: DataFrame, notices: DataFrame, literal_limit: int = LITERAL_KEYWORDS) -> DataFrame:

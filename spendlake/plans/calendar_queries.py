@@ -141,12 +141,12 @@ def date_parse_multi(spark: SparkSession, sf: str) -> DataFrame:
     texts = notices(spark, sf, "release_date").select(day, F.explode(rendered).alias("r")).select(
         day, "r.layout", "r.text"
     )
-    sums = [F.count_if(parse("text") == day).alias(name) for name, parse in parsers.items()]
-    wrong = [F.count_if(parse("text") != day) for parse in parsers.values()]
-    total_wrong = wrong[0]
-    for w in wrong[1:]:
-        total_wrong = total_wrong + w
-    return texts.groupBy("layout").agg(F.count(F.lit(1)).alias("rows"), *sums, total_wrong.alias("wrong"))
+    parsed = texts.select(
+        day, "layout", *[(parse("text") == day).alias(name) for name, parse in parsers.items()]
+    )
+    hits = [F.count_if(F.col(name)).alias(name) for name in parsers]
+    misread = sum((F.count_if(~F.col(name)) for name in parsers), F.lit(0))
+    return parsed.groupBy("layout").agg(F.count(F.lit(1)).alias("rows"), *hits, misread.alias("wrong"))
 
 
 def money_parse_format(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ TABLE_FORMATS = ("csv", "xlsx", "xls")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def is_table_resource(fmt: Column, url: Column) -> Column:

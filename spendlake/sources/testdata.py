@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spendlake.functions.calendar import financial_year, month_label
 from spendlake.functions.text import partition_key
-from spendlake.session import prepare
+from spendlake.schemas import NOTICE_COLUMNS
+from spendlake.session import prepare, spread
 
 SOURCES = ("federal", "nsw", "vic", "qld", "sa", "wa")
 
@@ -16,8 +17,23 @@ _SUPPLIER = {"supplier", "company_key"}
 _TITLE = {"title"}
 
 
+# Known schemas save a footer read per scan; other tables are inferred.
+TABLES = {
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = prepare(spark).read
+    reader = reader.schema(TABLES[name]) if name in TABLES else reader
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def notices(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -32,38 +48,40 @@ def notices(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "-", contract, F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
         F.date_format(shipped, "yyyyMMdd"),
     )
-    supplier = F.concat(F.col("s_name"), F.lit(" Pty Ltd"))
-    agency = F.concat(F.lit("Department of "), F.col("c_mktsegment"))
+    # Names and keys are built on the dimension side of a join: once per entity, not once per row.
     exprs: dict[str, Column] = {
-        "source": F.get(F.array(*[F.lit(s) for s in SOURCES]), F.col("c_nationkey") % 6),
+        **{c: F.col(c) for c in ("source", "supplier", "agency", "title", "agency_key", "company_key")},
         "contract_id": contract,
         "release_id": release,
         "ocid": F.concat(F.lit("ocds-"), F.col("l_orderkey").cast("string")),
-        "supplier": supplier,
-        "agency": agency,
-        "title": F.col("p_name"),
         "amount": F.col("l_extendedprice").cast("decimal(18,2)"),
         "release_date": shipped,
         "contract_end": F.date_add(shipped.cast("date"), F.col("l_quantity").cast("int")),
         "tag": F.when(F.col("l_linenumber") == 1, "contract").otherwise("contractAmendment"),
         "fy": financial_year(shipped),
         "month": month_label(shipped),
-        "agency_key": partition_key(agency),
-        "company_key": partition_key(supplier),
         "raw_file": F.lit(None).cast("string"),
         "raw_row": F.lit(None).cast("long"),
     }
-    wanted = list(columns) or list(exprs)
-    df = table(spark, sf_dir, "lineitem")
+    wanted = list(columns) or NOTICE_COLUMNS
+    df = spread(table(spark, sf_dir, "lineitem"))
     if _BUYER & set(wanted):
+        agency = F.concat(F.lit("Department of "), F.col("c_mktsegment"))
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-        buyers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+        buyers = table(spark, sf_dir, "customer").select(
+            "c_custkey",
+            F.get(F.array(*[F.lit(s) for s in SOURCES]), F.col("c_nationkey") % 6).alias("source"),
+            agency.alias("agency"), partition_key(agency).alias("agency_key"),
+        )
         df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "left")
         df = df.join(buyers, df["o_custkey"] == buyers["c_custkey"], "left")
     if _SUPPLIER & set(wanted):
-        suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+        supplier = F.concat(F.col("s_name"), F.lit(" Pty Ltd"))
+        suppliers = table(spark, sf_dir, "supplier").select(
+            "s_suppkey", supplier.alias("supplier"), partition_key(supplier).alias("company_key")
+        )
         df = df.join(suppliers, df["l_suppkey"] == suppliers["s_suppkey"], "left")
     if _TITLE & set(wanted):
-        parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+        parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
         df = df.join(parts, df["l_partkey"] == parts["p_partkey"], "left")
     return df.select(*[exprs[c].alias(c) for c in wanted])
