@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spendlake.functions.text import _col, loose_text
+from spendlake.functions.text import _col, empty_to_null, let, loose_text
 
 DEFAULT_SOURCE = "federal"
 
@@ -54,22 +54,27 @@ def canonical_source(c: Column | str) -> Column:
 
 def detect_source(c: Column | str) -> Column:
     """struct(source, evidence) for free text; source is NULL without a match."""
-    lower = F.lower(F.coalesce(_col(c), F.lit("")))
-    phrase = F.coalesce(*[F.when(F.contains(lower, F.lit(p)), p) for p, _ in PHRASES])
     by_phrase: dict[str, tuple[str, ...]] = {}
-    for text, source in PHRASES:
-        by_phrase[source] = by_phrase.get(source, ()) + (text,)
-    singles = [n for names in SYNONYMS.values() for n in names if " " not in n]
-    # Leftmost whole token: neighbours share no space because the text is padded on both sides.
-    token = F.regexp_extract(
-        F.concat(F.lit(" "), loose_text(lower), F.lit(" ")), rf" ({'|'.join(singles)}) ", 1
-    )
-    token = F.when(token != "", token)
-    return F.struct(
-        F.coalesce(_source_of(phrase, by_phrase), _source_of(token, SYNONYMS)).alias("source"),
-        F.coalesce(
-            F.concat(F.lit("phrase matched: "), phrase),
-            F.concat(F.lit("token matched: "), token),
-            F.lit("no match"),
-        ).alias("evidence"),
-    )
+    for name, source in PHRASES:
+        by_phrase[source] = by_phrase.get(source, ()) + (name,)
+    singles = "|".join(n for names in SYNONYMS.values() for n in names if " " not in n)
+
+    def evidence(found: Column) -> Column:
+        phrase, token = found["phrase"], found["token"]
+        return F.struct(
+            F.coalesce(_source_of(phrase, by_phrase), _source_of(token, SYNONYMS)).alias("source"),
+            F.coalesce(
+                F.concat(F.lit("phrase matched: "), phrase),
+                F.concat(F.lit("token matched: "), token),
+                F.lit("no match"),
+            ).alias("evidence"),
+        )
+
+    def find(lower: Column) -> Column:
+        phrase = F.coalesce(*[F.when(F.contains(lower, F.lit(p)), p) for p, _ in PHRASES])
+        # The leftmost whole token: the padding gives every token a space on both sides.
+        padded = F.concat(F.lit(" "), loose_text(lower), F.lit(" "))
+        token = empty_to_null(F.regexp_extract(padded, f" ({singles}) ", 1))
+        return F.struct(phrase.alias("phrase"), token.alias("token"))
+
+    return let(let(F.lower(F.coalesce(_col(c), F.lit(""))), find), evidence)

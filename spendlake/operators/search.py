@@ -54,15 +54,17 @@ def search_contracts(notices: DataFrame, f: SpendFilter, limit: int | None = Non
 def search_summary(notices: DataFrame, f: SpendFilter, limit: int | None = None) -> DataFrame:
     """Count and total of the returned rows, beside those of all matches."""
     contracts = matching_contracts(notices, f).select("source", "contract_id", "amount")
+    shown = top_contracts(contracts, limit).select("amount", F.lit(True).alias("shown"))
+    rows = shown.unionByName(contracts.select("amount", F.lit(False).alias("shown")))
 
-    def totals(df: DataFrame, count: str, total: str) -> DataFrame:
-        sums = df.agg(F.count(F.lit(1)).alias(count), F.sum("amount").alias(total))
-        return sums.withColumn(total, F.coalesce(F.col(total).cast("double"), F.lit(0.0)))
+    def total(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("amount"))).cast("double"), F.lit(0.0))
 
-    shown = totals(top_contracts(contracts, limit), "count", "total_spend")
-    # Two one-row frames, joined on a constant key.
-    everything = totals(contracts, "count_all", "total_spend_all").withColumn("_one", F.lit(1))
-    return shown.withColumn("_one", F.lit(1)).join(everything, "_one").drop("_one")
+    is_shown = F.col("shown")
+    return rows.agg(
+        F.count_if(is_shown).alias("count"), total(is_shown).alias("total_spend"),
+        F.count_if(~is_shown).alias("count_all"), total(~is_shown).alias("total_spend_all"),
+    )
 
 
 def sort_results(results: DataFrame, column: str = "amount", descending: bool | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from spendlake.functions.calendar import local_day
 from spendlake.functions.text import _col, collapse_spaces
-from spendlake.operators.versions import latest_versions
 
 # Order of the parts of a fingerprint.
 PARTS = ("company", "agency", "keyword", "source", "dateType", "lookback", "start", "end")
@@ -47,5 +46,3 @@ def resume_points(requests: DataFrame, checkpoints: DataFrame) -> DataFrame:
     inside = (F.col("checkpoint") > F.col("start")) & (F.col("checkpoint") < F.col("end"))
     return joined.withColumn("search_start", F.when(inside, F.col("checkpoint")).otherwise(F.col("start")))
 
-
-__all__ = ["daily_snapshot", "fingerprint", "last_checkpoints", "latest_versions", "normal_part", "resume_points"]

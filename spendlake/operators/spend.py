@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.operators.filters import SpendFilter
-from spendlake.operators.versions import CONTRACT, latest_versions, newest_first
+from spendlake.operators.versions import CONTRACT, latest_versions
 
 
 def as_double(c: str, name: str | None = None) -> Column:
@@ -20,15 +20,16 @@ def latest_amounts(df: DataFrame, keys: tuple[str, ...] = CONTRACT) -> DataFrame
     return latest_versions(slim, keys).select(*keys, "amount")
 
 
-def total_spend(notices: DataFrame, f: SpendFilter | None = None) -> DataFrame:
+def total_spend(notices: DataFrame, f: SpendFilter | None = None, partitioned: bool = False) -> DataFrame:
     """One row: contracts, total_spend and matched, on the latest version of every contract.
 
-    A blank source means federal, as in a single-jurisdiction total.
+    A blank source means federal, as in a single-jurisdiction total. ``partitioned`` is for rows
+    of a lake, whose ``fy`` and ``month`` folders the date range can prune.
     """
     f = f or SpendFilter()
     if not f.source.strip():
         f = SpendFilter(f.keyword, f.company, f.agency, "federal", f.start, f.end)
-    return summarise(latest_amounts(f.apply(notices)))
+    return summarise(latest_amounts(f.apply(notices, partitioned)))
 
 
 def summarise(contracts: DataFrame) -> DataFrame:
@@ -41,9 +42,9 @@ def summarise(contracts: DataFrame) -> DataFrame:
     )
 
 
-def total_all_versions(notices: DataFrame, f: SpendFilter) -> DataFrame:
+def total_all_versions(notices: DataFrame, f: SpendFilter, partitioned: bool = False) -> DataFrame:
     """Plain sum over matching rows, every stored version counted."""
-    rows = f.apply(notices)
+    rows = f.apply(notices, partitioned)
     return rows.agg(
         F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("total")
     ).select(
@@ -81,8 +82,3 @@ def incremental_total(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     )
     return grouped.select("source", "contracts", as_double("total", "total_spend"))
 
-
-__all__ = [
-    "as_double", "incremental_total", "latest_amounts", "monthly_spend", "newest_first",
-    "spend_by_year_and_agency", "summarise", "total_all_versions", "total_spend",
-]

@@ -411,6 +411,18 @@ SELECT contract_id, {_SHOW}, source, contract_id AS release_id, CAST(NULL AS DAT
     "portal_wa_notices": f"""WITH {NOTICES}, p AS ({_PORTAL.format('wa')})
 SELECT contract_id, CASE WHEN amount > 40000 THEN supplier || ', Joint Co' ELSE 'Various' END AS supplier, agency, title,
   CAST(amount AS DOUBLE) AS amount, release_day AS release_date, source, contract_id AS release_id, CAST(NULL AS DATE) AS contract_end FROM p""",
+    "all_sources_total": f"""WITH {NOTICES}, {_RELEASED},
+federal AS (SELECT amount FROM released WHERE bad IS NULL),
+qld AS (SELECT DISTINCT CASE WHEN l_linenumber % 3 < 2 THEN contract_id ELSE '|' || ' ' || supplier || ' | ' || title END AS c,
+    release_day, amount FROM notices),
+listed AS (SELECT source, amount FROM (SELECT *, CASE WHEN source = 'nsw' AND amount <= 50000 THEN release_id ELSE contract_id END AS c
+    FROM notices WHERE source IN ('nsw', 'vic', 'sa', 'wa') AND (source <> 'vic' OR length(contract_id) >= 4))
+  QUALIFY row_number() OVER (PARTITION BY source, c ORDER BY release_id, amount) = 1),
+every AS (SELECT 'federal' AS source, amount FROM federal UNION ALL SELECT 'qld', amount FROM qld UNION ALL SELECT source, amount FROM listed)
+SELECT source, count(*) AS records, CAST(sum(amount) AS DOUBLE) AS total_amount FROM every GROUP BY source""",
+    "page_links": """WITH l AS (SELECT url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin,
+    unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages)
+SELECT url, count(*) AS links, max(origin || href) AS last_link FROM l GROUP BY url""",
     "challenge_pages": """SELECT page_id, length(html) % 7 IN (0, 1) AS blocked FROM pages""",
     "page_link_ids": """WITH u AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin,
     regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages),

@@ -15,6 +15,7 @@ from spendlake.functions import calendar as cal
 from spendlake.functions.money import parse_money
 from spendlake.functions.text import blank_to_null, collapse_spaces, strip
 from spendlake.operators.versions import keep_first
+from spendlake.session import staged
 from spendlake.sources.notice import finish
 
 HEADER_ROWS = 25
@@ -68,6 +69,15 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_cells_of, CELLS_SCHEMA)
 
 
+def staged_cells(spark: SparkSession, path: str) -> DataFrame:
+    """``read_cells`` written out once.
+
+    The adapter reads the cells twice, for the headers and for the rows. From a table, neither
+    read parses a file again, and the rows of a large file are split over many tasks.
+    """
+    return staged(read_cells(spark, path), "cells")
+
+
 def header_index(cells: Column | str) -> Column:
     """struct of 1-based column positions per field, NULL where a field has no column.
 

@@ -114,7 +114,7 @@ def test_disclosure_files(spark, tmp_path):
     )
     (tmp_path / "c.csv").write_text("LIST\tContract\tRevised Value (inc)\tStart Date\n1\t\t7\t2 Jan 2024\n")
     (tmp_path / "d.csv").write_text("no,header,here\n1,2,3\n")
-    cells = disclosure.read_cells(spark, str(tmp_path / "*.csv"))
+    cells = disclosure.staged_cells(spark, str(tmp_path / "*.csv"))
     name = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
     assert [r["f"] for r in disclosure.files_without_header(cells).select(name("file").alias("f")).collect()] == ["d.csv"]
     owners = cells.select("file").distinct().withColumn("organization", F.lit("Owner"))
