@@ -20,9 +20,10 @@ HAY_GRAMS = f"""array_distinct(flatten(transform(sequence(1, {GRAM}), n ->
 
 
 def normal_filters(filters: DataFrame) -> DataFrame:
-    """All filter columns present, blank fields NULL, source canonical, an inverted range swapped."""
+    """All filter columns present, texts lower-case, blank fields NULL, source canonical, range in order."""
+
     def text(c: str) -> Column:
-        return blank_to_null(c) if c in filters.columns else F.lit(None).cast("string")
+        return F.lower(blank_to_null(c)) if c in filters.columns else F.lit(None).cast("string")
 
     def day(c: str) -> Column:
         return F.col(c).cast("timestamp") if c in filters.columns else F.lit(None).cast("timestamp")
@@ -139,17 +140,23 @@ def batch_total_spend(
         "source", "contract_id", "release_id", "supplier", "company_key", "agency", "agency_key",
         "title", "amount", "release_date",
     )
-    hits = matching_rows(filters, slim, catalog)
+    # Equal filters are looked up once: the key of a lookup is the content of its filter.
+    fields = ("keyword", "company", "agency", "source", "start", "end")
+    keyed = normal_filters(filters).withColumn("_lookup", F.sha2(F.to_json(F.struct(*fields)), 256))
+    lookups = keyed.select(F.col("_lookup").alias("filter_id"), *fields).distinct()
+    hits = matching_rows(lookups, slim, catalog)
     if with_keywords:
-        hits = hits.unionByName(keyword_rows(filters, slim))
+        hits = hits.unionByName(keyword_rows(lookups, slim))
     slim_hits = hits.select("filter_id", "source", "contract_id", "amount", "release_date", "release_id")
     latest = latest_versions(slim_hits, ("filter_id", "source", "contract_id"))
-    sums = latest.groupBy("filter_id").agg(F.count(F.lit(1)).alias("contracts"), F.sum("amount").alias("total"))
+    sums = latest.groupBy(F.col("filter_id").alias("_lookup")).agg(
+        F.count(F.lit(1)).alias("contracts"), F.sum("amount").alias("total")
+    )
     zero = F.lit("0.00").cast("decimal(18,2)")
     terms = ["company", "agency"] + (["keyword"] if with_keywords else [])
-    searched = normal_filters(filters).select("filter_id", F.coalesce(*terms).isNotNull().alias("_searched"))
-    return searched.join(sums, "filter_id", "left").select(
+    searched = F.coalesce(*terms).isNotNull()
+    return keyed.join(sums, "_lookup", "left").select(
         "filter_id",
-        F.when(F.col("_searched"), F.coalesce("contracts", F.lit(0))).alias("contracts"),
-        F.when(F.col("_searched"), F.coalesce("total", zero)).alias("total"),
+        F.when(searched, F.coalesce("contracts", F.lit(0))).alias("contracts"),
+        F.when(searched, F.coalesce("total", zero)).alias("total"),
     )
