@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import exact_dedup
+from spendlake.llm import decontam, exact_dedup
 from spendlake.llm.common import table
 
 
@@ -12,13 +12,45 @@ def op7_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op5_prefix_decontamination": op5_prefix_decontamination,
     "op7_grace_exact_dedup": op7_grace_exact_dedup,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = "regexp_extract_all(" + _FOLD + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 SQL = {
+    "op5_prefix_decontamination": f"""
+        WITH item AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL
+        ), win AS (
+            SELECT DISTINCT item, least(len(w), 13) AS n, list_slice(w, i, i + least(len(w), 13) - 1) AS win
+            FROM item, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS u(i) WHERE len(w) > 0
+        ), doc AS (
+            SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+        ), size AS (SELECT DISTINCT n FROM win), run AS (
+            SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS win
+            FROM doc, size, unnest(range(1, len(w) - n + 2)) AS u(i)
+        ), found AS (
+            SELECT doc_id, item, i, run.n FROM run JOIN win ON run.n = win.n AND run.win = win.win
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM found, unnest(range(i, i + n)) AS u(p) GROUP BY doc_id
+        ), listed AS (
+            SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+            FROM found GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM doc d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """,
     "op7_grace_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
