@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import decontam, exact_dedup
+from spendlake.llm import decontam, exact_dedup, ngram_join
 from spendlake.llm.common import table
 
 
@@ -16,7 +16,12 @@ def op5_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_adaptive_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_adaptive_ngram_join": op4_adaptive_ngram_join,
     "op5_prefix_decontamination": op5_prefix_decontamination,
     "op7_grace_exact_dedup": op7_grace_exact_dedup,
 }
@@ -26,6 +31,25 @@ _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 _WORDS = "regexp_extract_all(" + _FOLD + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 SQL = {
+    "op4_adaptive_ngram_join": f"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), shingle AS (
+            SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s FROM doc, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i)
+            WHERE len(w) > 0
+        ), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id), pair AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), link AS (
+            SELECT a, b FROM pair JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id
+            WHERE 100 * c >= 75 * (x.n + y.n - c)
+        ), reach(a, b) AS (
+            SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+        FROM doc LEFT JOIN size USING (doc_id)
+        LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
+    """,
     "op5_prefix_decontamination": f"""
         WITH item AS (
             SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL
