@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import decontam, exact_dedup, ngram_join
+from spendlake.llm import decontam, exact_dedup, ngram_join, packing
 from spendlake.llm.common import table
 
 
@@ -20,7 +20,12 @@ def op4_adaptive_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op6_harmonic_packing": op6_harmonic_packing,
     "op4_adaptive_ngram_join": op4_adaptive_ngram_join,
     "op5_prefix_decontamination": op5_prefix_decontamination,
     "op7_grace_exact_dedup": op7_grace_exact_dedup,
