@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import decontam, exact_dedup, ngram_join, packing
+from spendlake.llm import decontam, exact_dedup, ngram_join, packing, quality_fm
 from spendlake.llm.common import table
 
 
@@ -24,7 +24,12 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op8_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op8_factorisation_quality": op8_factorisation_quality,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op4_adaptive_ngram_join": op4_adaptive_ngram_join,
     "op5_prefix_decontamination": op5_prefix_decontamination,
