@@ -203,7 +203,7 @@ def _repeated(batches):
             yield [c[keep] for c in cols]
 
 
-_PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("need", pa.int32()), ("shared", pa.int32())])
+_PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("need", pa.int32()), ("shared", pa.int64())])
 
 
 def _scatter(token: int, doc: np.ndarray) -> np.ndarray:
@@ -212,50 +212,99 @@ def _scatter(token: int, doc: np.ndarray) -> np.ndarray:
         return (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _cross_pairs(batches, percent, every):
-    """Pairs of different components within each posting list.
+#: Members of one run row; longer lists are cut into pieces, and every two pieces meet in a row of their own.
+PIECE = 1024
+_RUN = pa.schema(
+    [("sig", pa.int64()), ("doc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("ell", pa.list_(pa.int32())),
+     ("comp", pa.list_(pa.int64())), ("split", pa.int32())]
+)
 
-    ``every``: all of them. Otherwise each list picks one member by hash as its hub, so that lists differ, and pairs it
-    with the members of other components.
+
+def _runs(batches):
+    """Posting lists, sorted by token and falling size, as rows; equal lists get equal signatures.
+
+    ``split`` is the number of members that belong to the first of two pieces (0 for a row of one piece).
     """
+    rows, size = {f.name: [] for f in _RUN}, 0
+
+    def put(cols, split):
+        nonlocal size
+        sig = hashlib.blake2b(cols[0].tobytes() + split.to_bytes(4, "little"), digest_size=8).digest()
+        for k, v in zip(rows, (int.from_bytes(sig, "little", signed=True), *cols, split)):
+            rows[k].append(v)
+        size += len(cols[0])
+
+    def batch_of():
+        nonlocal size
+        out = pa.RecordBatch.from_pydict({k: pa.array(v, _RUN.field(k).type) for k, v in rows.items()}, schema=_RUN)
+        for v in rows.values():
+            v.clear()
+        size = 0
+        return out
+
+    def close(pieces, cols):
+        """Rows for a full piece: itself, and with each earlier piece of the list."""
+        put(cols, 0)
+        for k, (old, least) in enumerate(pieces):
+            if least is not None:
+                put([np.concatenate(c) for c in zip(old, cols)], len(old[0]))
 
-    def runs():
-        held, token = [], None
-        for batch in batches:
-            t = batch.column("token").to_numpy()
-            cols = [batch.column(k).to_numpy().astype(np.int64) for k in ("doc", "n", "ell", "at", "comp")]
-            cut = np.flatnonzero(np.diff(t)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(t)]):
-                if a == b:
-                    continue
-                if t[a] != token and held:
-                    yield token, [np.concatenate(c) for c in zip(*held)]
+    token, held, pieces = None, [], []
+    for batch in batches:
+        t = batch.column("token").to_numpy()
+        cols = [batch.column(k).to_numpy() for k in ("doc", "n", "ell", "comp")]
+        cut = np.flatnonzero(np.diff(t)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(t)]):
+            if a == b:
+                continue
+            if t[a] != token:
+                if held:
+                    close(pieces, [np.concatenate(c) for c in zip(*held)])
+                token, held, pieces = t[a], [], []
+            for c in range(a, b, PIECE):
+                held.append([v[c : min(b, c + PIECE)] for v in cols])
+                if sum(len(h[0]) for h in held) >= PIECE:
+                    full = [np.concatenate(v) for v in zip(*held)]
+                    close(pieces, full)
+                    pieces.append((full, True))
                     held = []
-                token = t[a]
-                held.append([c[a:b] for c in cols])
-        if held:
-            yield token, [np.concatenate(c) for c in zip(*held)]
+                    if size > 50_000:
+                        yield batch_of()
+        if size > 50_000:
+            yield batch_of()
+    if held:
+        close(pieces, [np.concatenate(c) for c in zip(*held)])
+    if rows["sig"]:
+        yield batch_of()
+
+
+def _cross_pairs(batches, percent, every):
+    """Pairs of different components within each run.
 
+    ``every``: all of them. Otherwise a run picks three members by hash as hubs, so that runs differ, and pairs them
+    with the members of other components.
+    """
     found, total = [], 0
-    for token, (doc, n, ell, at, comp) in runs():
-        if len(doc) < 2 or (comp == comp[0]).all():
-            continue
-        hubs = range(len(doc) - 1) if every else [int(np.argmin(_scatter(int(token), doc)))]
-        for h in hubs:
-            other = np.arange(h + 1, len(doc)) if every else np.arange(len(doc))
-            other = other[comp[other] != comp[h]]
-            if every and len(other):
-                # Sorted by size, largest first: what is too small for h comes last.
-                other = other[100 * n[other] >= percent * n[h]]
-            if not len(other):
+    for batch in batches:
+        weights = batch.column("weight").to_pylist()
+        columns = [batch.column(k) for k in ("doc", "n", "ell", "comp")]
+        for row, (sig, split, weight) in enumerate(zip(batch.column("sig").to_pylist(), batch.column("split").to_pylist(), weights)):
+            doc, n, ell, comp = (np.asarray(c[row].values).astype(np.int64) for c in columns)
+            if (comp == comp[0]).all():
                 continue
-            may, inside = _agree(n[h], ell[h], at[h], n[other], ell[other], at[other], percent)
-            other, inside = other[may], inside[may]
-            if len(other):
-                x, y = np.minimum(doc[h], doc[other]), np.maximum(doc[h], doc[other])
-                found.append((x, y, np.minimum(ell[h], ell[other]).astype(np.int32), inside.astype(np.int32)))
-                total += len(other)
-            if total > 100_000:
+            hubs = np.arange(len(doc)) if every else np.argsort(_scatter(sig, doc))[:3]
+            ok = comp[hubs][:, None] != comp[None, :]
+            ok &= 100 * np.minimum(n[hubs][:, None], n[None, :]) >= percent * np.maximum(n[hubs][:, None], n[None, :])
+            if split:
+                ok &= (hubs < split)[:, None] != (np.arange(len(doc)) < split)[None, :]
+            if every:
+                ok &= hubs[:, None] < np.arange(len(doc))[None, :]
+            h, o = np.nonzero(ok)
+            h = hubs[h]
+            if len(h):
+                found.append((np.minimum(doc[h], doc[o]), np.maximum(doc[h], doc[o]), np.minimum(ell[h], ell[o]), np.full(len(h), weight)))
+                total += len(h)
+            if total > 200_000:
                 yield _summed(found)
                 found, total = [], 0
     if found:
@@ -263,12 +312,12 @@ def _cross_pairs(batches, percent, every):
 
 
 def _summed(found):
-    x, y, need, inside = (np.concatenate(c) for c in zip(*found))
+    x, y, need, shared = (np.concatenate(c) for c in zip(*found))
     order = np.lexsort((y, x))
-    x, y, need, inside = x[order], y[order], need[order], inside[order]
+    x, y, need, shared = x[order], y[order], need[order], shared[order]
     first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
     return pa.RecordBatch.from_arrays(
-        [pa.array(x[first]), pa.array(y[first]), pa.array(need[first], pa.int32()), pa.array(np.add.reduceat(inside, first), pa.int32())],
+        [pa.array(x[first]), pa.array(y[first]), pa.array(need[first], pa.int32()), pa.array(np.add.reduceat(shared, first), pa.int64())],
         schema=_PAIR,
     )
 
@@ -323,22 +372,39 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _verify(batches, size, percent):
-    """Rows (x, part, y, text of y), those with y = x first per x and part: links between x and y."""
-    hasher, x, own, found = WordHasher(), None, [], ([], [])
-    for batch in batches:
-        columns = (batch.column(k).to_pylist() for k in ("x", "part", "y"))
-        for hub, part, doc, s in zip(*columns, shingle_sets(hasher, batch.column("text"), size)):
-            if (hub, part) != x:
-                x, own = (hub, part), []
-            if doc == hub:
-                own.append(s)  # more than one if rows share the id
-                continue
-            for mine in own:
+    """Per key the texts of its documents first (y null), then its pairs: links that connect what was not connected.
+
+    A pair whose ends the links found so far connect needs no comparison.
+    """
+    hasher, key, found = WordHasher(), None, ([], [])
+    sets: dict[int, list[np.ndarray]] = {}
+    up: dict[int, int] = {}
+
+    def top(v):
+        while up.get(v, v) != v:
+            up[v] = up.get(up[v], up[v])
+            v = up[v]
+        return v
+
+    def linked(a, b):
+        for mine in sets.get(a, ()):
+            for s in sets.get(b, ()):
                 shared = len(np.intersect1d(mine, s, assume_unique=True))
-                if len(s) and len(mine) and 100 * shared >= percent * (len(mine) + len(s) - shared):
-                    found[0].append(hub)
-                    found[1].append(doc)
-                    break
+                if 100 * shared >= percent * (len(mine) + len(s) - shared) and shared:
+                    return True
+        return False
+
+    for batch in batches:
+        columns = (batch.column(k).to_pylist() for k in ("key", "x", "y"))
+        for own, x, y, s in zip(*columns, shingle_sets(hasher, batch.column("text"), size)):
+            if own != key:
+                key, sets, up = own, {}, {}
+            if y is None:
+                sets.setdefault(x, []).append(s)
+            elif (a := top(x)) != (b := top(y)) and linked(x, y):
+                up[a] = b
+                found[0].append(x)
+                found[1].append(y)
         if len(found[0]) > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], schema=_LINK)
             found = ([], [])
@@ -346,16 +412,34 @@ def _verify(batches, size, percent):
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], schema=_LINK)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links among the pairs (x, y). A document's text travels once per pair, its hub's once per hub and split."""
-    ways = 8
-    salt = F.pmod(F.xxhash64("y"), F.lit(ways)).cast("int")
-    sent = pairs.select("x", "y", salt.alias("part"))
-    hubs = sent.select("x", F.col("x").alias("y"), "part").distinct()
-    named = sent.unionByName(hubs).withColumnRenamed("y", "doc")
-    rows = texts.join(named, "doc").select("x", F.col("doc").alias("y"), "part", "text")
-    rows = rows.repartition("x", "part").sortWithinPartitions("x", "part", F.col("x") != F.col("y"), "y")
-    return arrow_map(rows.select("x", "part", "y", "text"), partial(_verify, size=size, percent=percent), "a long, b long")
+#: Documents of one block, about; two blocks at most meet in a task.
+BLOCK_DOCS = 128
+
+
+def blocks(shared: DataFrame) -> DataFrame:
+    """``doc, block``: documents that most often meet the same hub share a block of bounded size."""
+    met = shared.groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("c"))
+    family = met.groupBy("doc").agg(F.max_by("hub", F.struct("c", "hub")).alias("family"))
+    parts = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
+    rows = spread_join(family, parts, ["family"], F.xxhash64("doc"), "inner")
+    return rows.select("doc", F.xxhash64("family", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("block"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, where: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among the pairs (x, y) that connect all that the pairs' links connect.
+
+    Pairs go by the two blocks of their documents, so a text travels once per pair of blocks and not once per pair.
+    """
+    for c in ("x", "y"):
+        pairs = pairs.join(where.select(F.col("doc").alias(c), F.col("block").alias(f"b{c}")), c)
+    pairs = staged(
+        pairs.select(F.xxhash64(F.least("bx", "by"), F.greatest("bx", "by")).alias("key"), "x", "y"), "near-pairs"
+    )
+    wanted = pairs.select("key", F.explode(F.array("x", "y")).alias("doc")).distinct()
+    held = texts.join(wanted, "doc").select("key", F.col("doc").alias("x"), F.lit(None).cast("long").alias("y"), "text")
+    rows = held.unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
+    rows = rows.repartition("key").sortWithinPartitions("key", F.col("y").isNotNull(), "x", "y")
+    return arrow_map(rows, partial(_verify, size=size, percent=percent), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -390,7 +474,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pairs = shared.where("doc <> hub").groupBy("hub", "doc").agg(F.sum("counts").alias("seen"), F.min("need").alias("need"))
     pairs = pairs.where("seen >= need").select(F.col("hub").alias("x"), F.col("doc").alias("y"))
-    links = staged(verified(pairs, texts, size, percent), "near-links")
+    where = staged(blocks(shared), "near-blocks")
+    links = staged(verified(pairs, texts, where, size, percent), "near-links")
     every = False
     while True:
         comp = staged(components(links), "near-components")
@@ -404,18 +489,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         every = not left["pairs"] > DENSE * left["entries"]
         open_lists = lists.join(sizes.select("token"), "token", "left_semi")
-        fresh = _next_links(open_lists, texts, size, percent, every)
+        fresh = _next_links(open_lists, texts, where, size, percent, every)
         if not every and not fresh.limit(1).count():
-            every, fresh = True, _next_links(open_lists, texts, size, percent, True)
+            every, fresh = True, _next_links(open_lists, texts, where, size, percent, True)
         links = staged(links.unionByName(fresh), "near-links")
     return _labelled(listed, comp)
 
 
-def _next_links(lists: DataFrame, texts: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
+def _next_links(lists: DataFrame, texts: DataFrame, where: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
     lists = lists.repartition("token").sortWithinPartitions("token", F.col("n").desc(), "doc")
-    pairs = arrow_map(lists, partial(_cross_pairs, percent=percent, every=every), "x long, y long, need int, shared int")
-    pairs = pairs.groupBy("x", "y", "need").agg(F.sum("shared").alias("shared")).where("shared >= need").select("x", "y").distinct()
-    return staged(verified(pairs, texts, size, percent), "near-links")
+    runs = arrow_map(
+        lists.select("token", "doc", "n", "ell", "comp"), _runs,
+        "sig long, doc array<long>, n array<int>, ell array<int>, comp array<long>, split int",
+    )
+    # Near copies share many shingles whose lists are equal: one row stands for all of them.
+    merged = runs.groupBy("sig").agg(
+        *[F.first(c).alias(c) for c in ("doc", "n", "ell", "comp", "split")], F.count(F.lit(1)).alias("weight")
+    )
+    pairs = arrow_map(merged, partial(_cross_pairs, percent=percent, every=every), "x long, y long, need int, shared long")
+    pairs = pairs.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
+    return staged(verified(pairs.where("shared >= need").select("x", "y"), texts, where, size, percent), "near-links")
 
 
 def _labelled(listed: DataFrame, comp: DataFrame) -> DataFrame:
