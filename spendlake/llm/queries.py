@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import decontam, exact_dedup, ngram_join, packing, quality_fm
+from spendlake.llm import decontam, exact_dedup, ngram_join, packing, quality_fm, toxicity
 from spendlake.llm.common import table
 
 
@@ -28,7 +28,12 @@ def op8_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op10_toxicity_grammar": op10_toxicity_grammar,
     "op8_factorisation_quality": op8_factorisation_quality,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op4_adaptive_ngram_join": op4_adaptive_ngram_join,
