@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import decontam, exact_dedup, ngram_join, packing, quality_fm, toxicity
+from spendlake.llm import decontam, exact_dedup, ngram_join, packing, quality_fm, toxicity, wavelet
 from spendlake.llm.common import table
 
 
@@ -32,7 +32,12 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_wavelet_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_wavelet_token_shards": op2_wavelet_token_shards,
     "op10_toxicity_grammar": op10_toxicity_grammar,
     "op8_factorisation_quality": op8_factorisation_quality,
     "op6_harmonic_packing": op6_harmonic_packing,

@@ -108,7 +108,11 @@ class Encoder:
         return self.line_feed.join(parts)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; what it remembers serves all its tasks."""
+    return Encoder(path)
+
+
 def encoded(path: str, texts) -> Iterator[bytes]:
-    encoder = Encoder(path)
-    for text in texts:
-        yield encoder.encode(text)
+    return map(encoder(path).encode, texts)
