@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import decontam, exact_dedup, ngram_join, packing, quality_fm, toxicity, wavelet
+from spendlake.llm import decontam, exact_dedup, ngram_join, packing, quality_fm, toxicity, warc, wavelet
 from spendlake.llm.common import table
 
 
@@ -36,7 +36,12 @@ def op2_wavelet_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(table(spark, sf_dir, "documents"))
 
 
+def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_warc_zstd": op1_warc_zstd,
     "op2_wavelet_token_shards": op2_wavelet_token_shards,
     "op10_toxicity_grammar": op10_toxicity_grammar,
     "op8_factorisation_quality": op8_factorisation_quality,
@@ -50,7 +55,22 @@ _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 
 _WORDS = "regexp_extract_all(" + _FOLD + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+# Base32 from hexadecimal: five digits are four letters.
+_BASE32 = (
+    "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || "
+    "substr({0}, 1 + 5 * (i // 4), 5) AS INT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1)), '')"
+)
+
 SQL = {
+    "op1_warc_zstd": f"""
+        WITH page AS (
+            SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+        )
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BASE32.format("sha1(h)")} AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+        FROM page
+    """,
     "op4_adaptive_ngram_join": f"""
         WITH RECURSIVE doc AS (
             SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
