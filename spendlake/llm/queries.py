@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import decontam, exact_dedup, ngram_join, packing, quality_fm, toxicity, warc, wavelet
-from spendlake.llm.common import table
+from spendlake.llm import chat, decontam, exact_dedup, ngram_join, packing, quality_fm, toxicity, warc, wavelet
+from spendlake.llm.common import scratch_path, table, tuned
 
 
 def op7_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,17 @@ def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op3_offset_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    out = scratch_path(spark, "chat")
+    chat.formatted(turns.unionByName(extra)).write.parquet(out)
+    return chat.digests(tuned(spark).read.parquet(out))
+
+
 QUERIES = {
+    "op3_offset_chat_masks": op3_offset_chat_masks,
     "op1_warc_zstd": op1_warc_zstd,
     "op2_wavelet_token_shards": op2_wavelet_token_shards,
     "op10_toxicity_grammar": op10_toxicity_grammar,
@@ -61,7 +71,22 @@ _BASE32 = (
     "substr({0}, 1 + 5 * (i // 4), 5) AS INT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1)), '')"
 )
 
+_ESCAPE = "replace(replace({}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
+
 SQL = {
+    "op3_offset_chat_masks": f"""
+        WITH turn AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")}) + 26) AS BIGINT) AS formatted_chars
+        FROM turn GROUP BY conv_id
+    """,
     "op1_warc_zstd": f"""
         WITH page AS (
             SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
