@@ -2,13 +2,12 @@
 
 Shingles are ordered by an estimate of their frequency, rare ones first. Two documents of similarity t share at least
 l shingles among the first ``n - ceil(t n) + l`` of each, for every l. A document whose prefix is expected to meet
-many others takes a larger l: its prefix grows by one shingle per step, and a pair is verified only if it shares the
-smaller l of its two documents in the prefixes of that l.
+many others takes a larger l: its prefix grows by one shingle per step, and so does what it must share.
 
-Documents with one and the same set are one class. Links are only needed for components, so no pairs are listed that
-are known to be connected: in each round every posting list compares its members with one of them, and members of one
-component are skipped. Once the pairs left are few, or a round links nothing, all of them are verified, so no link is
-lost whatever the rounds found.
+Documents with one and the same set are one class. Posting lists of prefix shingles give the candidates: documents
+that meet often share a block of bounded size, and a document is compared with a block only if the shingles it shares
+with that block's members reach the matches its prefix asks for. No pairs are listed; a task gets the documents of two
+blocks at most, counts all their intersections by matrix products, and returns links that span what it found.
 """
 
 from __future__ import annotations
@@ -23,19 +22,16 @@ from pyspark.sql import functions as F
 
 from spendlake.llm.common import arrow_map, free_name, spread_join, staged, tuned
 from spendlake.llm.components import components
-from spendlake.llm.words import WordHasher, shingle_sets
+from spendlake.llm.words import WordHasher, mix, shingle_sets
 
 SIZE, PERCENT = 5, 75
 #: Counters of the frequency estimate (its size and that of its broadcast are fixed by this, in bytes).
 CELLS = 1 << 20
 BLOCK = 1 << 12
-#: Longest multi-match prefix, and the cost of verifying a pair in posting-list entries.
-MOST_MATCHES, VERIFY_COST = 6, 8.0
+#: Cost of verifying a candidate in posting-list entries, and how fast candidates fall with the share of a set asked for.
+VERIFY_COST, FALL = 200.0, 3.0
 #: Bits of the filter that keeps only texts with candidates; its size is fixed.
 FILTER_BITS = 1 << 24
-#: Hub rounds go on while more cross pairs than this many per posting entry are left.
-DENSE = 4.0
-
 _NULL = -(1 << 63)
 _SKETCH = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
 _LISTS = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("ell", pa.int32()), ("prefix", pa.list_(pa.int64()))])
@@ -106,15 +102,21 @@ def _ordered(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def matches_for(own: np.ndarray, base: int, noise: float) -> int:
-    """Matches to ask for: least cost of reading the lists of the prefix and verifying what meets often enough."""
-    top = own[: base + MOST_MATCHES - 1].astype(np.float64)
-    lengths = np.maximum(0.0, np.exp2(top / 8) - 1 - noise).cumsum()
-    best, cost = 1, None
-    for ell in range(1, min(MOST_MATCHES, len(own) - base + 1) + 1):
-        # Sharing l of the listed shingles at random: at most (entries / l) documents do.
-        c = lengths[base + ell - 2] * (1 + VERIFY_COST / ell)
-        if cost is None or c < 0.999 * cost:
+    """Matches to ask for: least cost of reading the lists of the prefix and of verifying what still meets them.
+
+    A list is as long as the estimate beyond the noise of its cell. Matches double up to the whole set.
+    """
+    n = len(own)
+    lengths = np.maximum(0.0, np.exp2(own.astype(np.float64) / 8) - 1 - 1.5 * noise)
+    read, best, cost, ell = lengths.cumsum(), 1, None, 1
+    met = lengths[:base].max()
+    while met > 16:
+        c = read[base + ell - 2] + VERIFY_COST * met * np.exp(-FALL * (ell - 1) / n)
+        if cost is None or c < cost:
             best, cost = ell, c
+        if ell == n - base + 1:
+            break
+        ell = min(2 * ell, n - base + 1)
     return best
 
 
@@ -135,60 +137,21 @@ def _prefixes(batches, size, percent, levels):
         yield pa.RecordBatch.from_pydict({k: pa.array(v, _LISTS.field(k).type) for k, v in rows.items()}, schema=_LISTS)
 
 
-_POST = pa.schema(
-    [("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("ell", pa.int32()), ("at", pa.int32()), ("hub", pa.int64()),
-     ("need", pa.int32()), ("counts", pa.int32())]
-)
-
-
-def _agree(hub_n, hub_ell, hub_at, n, ell, at, percent):
-    """(may be a link, counts towards the matches asked for) of posting entries against their hub."""
-    low, high = (min, max) if isinstance(n, int) else (np.minimum, np.maximum)
-    size_ok = 100 * low(hub_n, n) >= percent * high(hub_n, n)
-    bound = low(hub_at, at) + low(hub_n - hub_at, n - at)
-    may = size_ok & (bound >= least_overlap(hub_n, n, percent))
-    need = low(hub_ell, ell)
-    inside = (hub_at < base_prefix(hub_n, percent) + need - 1) & (at < base_prefix(n, percent) + need - 1)
-    return may, inside
-
-
-def _shared_lists(batches, percent):
-    """Of postings sorted by token and size, those of tokens with two or more documents, each with a hub.
-
-    A list's first document is the hub of all that its size allows; the first one beyond is the next hub.
-    """
-    rows = {f.name: [] for f in _POST}
-    hub = None
-
-    def put(entry, hub_id, need, counts):
-        for k, v in zip(rows, (*entry, hub_id, need, counts)):
-            rows[k].append(v)
+_POST = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("ell", pa.int32())])
 
-    def batch_of():
-        out = pa.RecordBatch.from_pydict({k: pa.array(v, _POST.field(k).type) for k, v in rows.items()}, schema=_POST)
-        for v in rows.values():
-            v.clear()
-        return out
 
+def _shared_lists(batches):
+    """Of postings sorted by token, those of tokens with two or more of them."""
     for part in _repeated(batches):
-        for entry in zip(*(c.tolist() for c in part)):
-            if hub is None or entry[0] != hub[0] or percent * entry[2] > 100 * hub[2]:
-                hub = entry
-                put(entry, entry[1], entry[3], 0)
-                continue
-            may, inside = _agree(*hub[2:], *entry[2:], percent)
-            put(entry, hub[1] if may else entry[1], min(hub[3], entry[3]), int(inside))
-        if len(rows["doc"]) > 20_000:
-            yield batch_of()
-    if rows["doc"]:
-        yield batch_of()
+        if len(part[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _POST)], schema=_POST)
 
 
 def _repeated(batches):
     """Columns of the sorted postings whose token stands next to an equal one."""
     held, seen = None, None  # the last row, not decided yet; the token of the last row, if that was passed on
     for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in ("token", "doc", "n", "ell", "at")]
+        cols = [batch.column(k).to_numpy() for k in ("token", "doc", "n", "ell")]
         if held is not None:
             cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
         if not len(cols[0]):
@@ -203,9 +166,6 @@ def _repeated(batches):
             yield [c[keep] for c in cols]
 
 
-_PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("need", pa.int32()), ("shared", pa.int64())])
-
-
 def _scatter(token: int, doc: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         v = (doc.astype(np.uint64) ^ np.uint64(token & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15)
@@ -216,7 +176,7 @@ def _scatter(token: int, doc: np.ndarray) -> np.ndarray:
 PIECE = 1024
 _RUN = pa.schema(
     [("sig", pa.int64()), ("doc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("ell", pa.list_(pa.int32())),
-     ("comp", pa.list_(pa.int64())), ("split", pa.int32())]
+     ("most", pa.list_(pa.int32())), ("block", pa.list_(pa.int64())), ("split", pa.int32())]
 )
 
 
@@ -252,7 +212,7 @@ def _runs(batches):
     token, held, pieces = None, [], []
     for batch in batches:
         t = batch.column("token").to_numpy()
-        cols = [batch.column(k).to_numpy() for k in ("doc", "n", "ell", "comp")]
+        cols = [batch.column(k).to_numpy() for k in ("doc", "n", "ell", "most", "block")]
         cut = np.flatnonzero(np.diff(t)) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(t)]):
             if a == b:
@@ -278,47 +238,49 @@ def _runs(batches):
         yield batch_of()
 
 
-def _cross_pairs(batches, percent, every):
-    """Pairs of different components within each run.
+_MEET = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("need", pa.int32()), ("shared", pa.int64())])
 
-    ``every``: all of them. Otherwise a run picks three members by hash as hubs, so that runs differ, and pairs them
-    with the members of other components.
-    """
-    found, total = [], 0
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for an unordered pair of blocks."""
+    a, b = a.astype(np.uint64), b.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(mix(np.minimum(a, b)) * np.uint64(3) + np.maximum(a, b)).astype(np.int64)
+
+
+def _meetings(batches, percent):
+    """Per run and member the blocks that hold a possible partner, and the least matches a partner there asks for."""
     for batch in batches:
-        weights = batch.column("weight").to_pylist()
-        columns = [batch.column(k) for k in ("doc", "n", "ell", "comp")]
-        for row, (sig, split, weight) in enumerate(zip(batch.column("sig").to_pylist(), batch.column("split").to_pylist(), weights)):
-            doc, n, ell, comp = (np.asarray(c[row].values).astype(np.int64) for c in columns)
-            if (comp == comp[0]).all():
-                continue
-            hubs = np.arange(len(doc)) if every else np.argsort(_scatter(sig, doc))[:3]
-            ok = comp[hubs][:, None] != comp[None, :]
-            ok &= 100 * np.minimum(n[hubs][:, None], n[None, :]) >= percent * np.maximum(n[hubs][:, None], n[None, :])
+        columns, out = [batch.column(k) for k in ("doc", "n", "ell", "most", "block")], []
+        for row, (split, weight) in enumerate(zip(batch.column("split").to_pylist(), batch.column("weight").to_pylist())):
+            doc, n, ell, most, block = (np.asarray(c[row].values).astype(np.int64) for c in columns)
+            alpha = least_overlap(n[:, None], n[None, :], percent)
+            ok = (doc[:, None] != doc[None, :]) & (alpha <= np.minimum(most[:, None], most[None, :]))
             if split:
-                ok &= (hubs < split)[:, None] != (np.arange(len(doc)) < split)[None, :]
-            if every:
-                ok &= hubs[:, None] < np.arange(len(doc))[None, :]
-            h, o = np.nonzero(ok)
-            h = hubs[h]
-            if len(h):
-                found.append((np.minimum(doc[h], doc[o]), np.maximum(doc[h], doc[o]), np.minimum(ell[h], ell[o]), np.full(len(h), weight)))
-                total += len(h)
-            if total > 200_000:
-                yield _summed(found)
-                found, total = [], 0
-    if found:
-        yield _summed(found)
+                ok &= (np.arange(len(doc)) < split)[:, None] != (np.arange(len(doc)) < split)[None, :]
+            # What two prefixes share, and all that stands behind the one that ends first, bounds the overlap.
+            behind = -(-percent * n // 100) - ell
+            need = np.maximum(np.minimum(ell[:, None], ell[None, :]), alpha - np.maximum(behind[:, None], behind[None, :]))
+            need = np.where(ok, need, np.iinfo(np.int32).max)
+            names, at = np.unique(block, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            least = np.minimum.reduceat(need[:, order], np.searchsorted(at[order], np.arange(len(names))), axis=1)
+            d, b = np.nonzero(least < np.iinfo(np.int32).max)
+            if len(d):
+                out.append((_key(block[d], names[b]), doc[d], least[d, b], np.full(len(d), weight)))
+        if out:
+            yield _summed(out)
 
 
 def _summed(found):
-    x, y, need, shared = (np.concatenate(c) for c in zip(*found))
-    order = np.lexsort((y, x))
-    x, y, need, shared = x[order], y[order], need[order], shared[order]
-    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    key, doc, need, shared = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((doc, key))
+    key, doc, need, shared = key[order], doc[order], need[order], shared[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
     return pa.RecordBatch.from_arrays(
-        [pa.array(x[first]), pa.array(y[first]), pa.array(need[first], pa.int32()), pa.array(np.add.reduceat(shared, first), pa.int64())],
-        schema=_PAIR,
+        [pa.array(key[first]), pa.array(doc[first]), pa.array(np.minimum.reduceat(need, first), pa.int32()),
+         pa.array(np.add.reduceat(shared, first), pa.int64())],
+        schema=_MEET,
     )
 
 
@@ -371,77 +333,78 @@ def _held(batches, bits):
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _verify(batches, size, percent):
-    """Per key the texts of its documents first (y null), then its pairs: links that connect what was not connected.
-
-    A pair whose ends the links found so far connect needs no comparison.
-    """
-    hasher, key, found = WordHasher(), None, ([], [])
-    sets: dict[int, list[np.ndarray]] = {}
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices over the shingles that repeat."""
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    token, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    again = count[place] > 1
+    number = (count > 1).cumsum() - 1
+    owner, place = owner[again], number[place[again]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for start in range(0, int((count > 1).sum()), columns):
+        a, b = np.searchsorted(place, (start, start + columns))
+        part = np.zeros((len(sets), columns), dtype=np.float32)
+        part[owner[a:b], place[a:b] - start] = 1
+        out += part @ part.T
+    return out
+
+
+def _spanning(docs: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links among a key's documents, without those that connect what is connected. Rows may share an id."""
+    sizes = np.array([len(v) for v in sets])
+    shared = overlaps(sets)
+    linked = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & (shared > 0)
     up: dict[int, int] = {}
 
     def top(v):
-        while up.get(v, v) != v:
-            up[v] = up.get(up[v], up[v])
-            v = up[v]
+        while (w := up.get(v, v)) != v:
+            up[v] = up.get(w, w)
+            v = w
         return v
 
-    def linked(a, b):
-        for mine in sets.get(a, ()):
-            for s in sets.get(b, ()):
-                shared = len(np.intersect1d(mine, s, assume_unique=True))
-                if 100 * shared >= percent * (len(mine) + len(s) - shared) and shared:
-                    return True
-        return False
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        a, b = top(docs[i]), top(docs[j])
+        if a != b:
+            up[a] = b
+            out.append((docs[i], docs[j]))
+    return out
+
 
+def _verify(batches, size, percent):
+    """Rows (key, doc, text) sorted by key: the links found among the documents of each key."""
+    hasher, key, docs, sets = WordHasher(), None, [], []
+    found: list[tuple[int, int]] = []
     for batch in batches:
-        columns = (batch.column(k).to_pylist() for k in ("key", "x", "y"))
-        for own, x, y, s in zip(*columns, shingle_sets(hasher, batch.column("text"), size)):
+        for own, doc, s in zip(batch.column("key").to_pylist(), batch.column("doc").to_pylist(), shingle_sets(hasher, batch.column("text"), size)):
             if own != key:
-                key, sets, up = own, {}, {}
-            if y is None:
-                sets.setdefault(x, []).append(s)
-            elif (a := top(x)) != (b := top(y)) and linked(x, y):
-                up[a] = b
-                found[0].append(x)
-                found[1].append(y)
-        if len(found[0]) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], schema=_LINK)
-            found = ([], [])
-    if found[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], schema=_LINK)
+                if len(docs) > 1:
+                    found += _spanning(docs, sets, percent)
+                key, docs, sets = own, [], []
+            docs.append(doc)
+            sets.append(s)
+    if len(docs) > 1:
+        found += _spanning(docs, sets, percent)
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found)], schema=_LINK)
 
 
 #: Documents of one block, about; two blocks at most meet in a task.
-BLOCK_DOCS = 128
+BLOCK_DOCS = 192
 
 
-def blocks(shared: DataFrame) -> DataFrame:
-    """``doc, block``: documents that most often meet the same hub share a block of bounded size."""
-    met = shared.groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("c"))
-    family = met.groupBy("doc").agg(F.max_by("hub", F.struct("c", "hub")).alias("family"))
+def blocks(postings: DataFrame) -> DataFrame:
+    """``doc, block``: documents that most often share a list's first document share a block of bounded size."""
+    first = postings.groupBy("token").agg(F.min("doc").alias("first"))
+    met = postings.join(first, "token").groupBy("doc", "first").agg(F.count(F.lit(1)).alias("c"))
+    family = met.groupBy("doc").agg(F.max_by("first", F.struct("c", "first")).alias("family"))
     parts = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
     rows = spread_join(family, parts, ["family"], F.xxhash64("doc"), "inner")
     return rows.select("doc", F.xxhash64("family", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("block"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, where: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links among the pairs (x, y) that connect all that the pairs' links connect.
-
-    Pairs go by the two blocks of their documents, so a text travels once per pair of blocks and not once per pair.
-    """
-    for c in ("x", "y"):
-        pairs = pairs.join(where.select(F.col("doc").alias(c), F.col("block").alias(f"b{c}")), c)
-    pairs = staged(
-        pairs.select(F.xxhash64(F.least("bx", "by"), F.greatest("bx", "by")).alias("key"), "x", "y"), "near-pairs"
-    )
-    wanted = pairs.select("key", F.explode(F.array("x", "y")).alias("doc")).distinct()
-    held = texts.join(wanted, "doc").select("key", F.col("doc").alias("x"), F.lit(None).cast("long").alias("y"), "text")
-    rows = held.unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
-    rows = rows.repartition("key").sortWithinPartitions("key", F.col("y").isNotNull(), "x", "y")
-    return arrow_map(rows, partial(_verify, size=size, percent=percent), "a long, b long")
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
@@ -463,52 +426,43 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = listed.where(named).groupBy("digest").agg(
         F.min(F.struct("doc", "n", "ell", "prefix")).alias("r")
     )
-    postings = sets.select("r.doc", "r.n", "r.ell", F.posexplode("r.prefix").alias("at", "token"))
-    postings = postings.select("token", "doc", "n", "ell", "at").repartition("token").sortWithinPartitions("token", "n", "doc")
-    shared = staged(
-        arrow_map(postings, partial(_shared_lists, percent=percent), "token long, doc long, n int, ell int, at int, hub long, need int, counts int"),
-        "near-postings",
-    )
-    bits = spark.sparkContext.broadcast(may_hold(shared.select("doc")))
-    texts = staged(arrow_map(slim, partial(_held, bits=bits), "doc long, text string"), "near-texts")
-
-    pairs = shared.where("doc <> hub").groupBy("hub", "doc").agg(F.sum("counts").alias("seen"), F.min("need").alias("need"))
-    pairs = pairs.where("seen >= need").select(F.col("hub").alias("x"), F.col("doc").alias("y"))
-    where = staged(blocks(shared), "near-blocks")
-    links = staged(verified(pairs, texts, where, size, percent), "near-links")
-    every = False
-    while True:
-        comp = staged(components(links), "near-components")
-        lists = shared.join(comp.withColumnsRenamed({"node": "doc", "root": "comp"}), "doc", "left")
-        lists = staged(lists.select("token", "doc", "n", "ell", "at", F.coalesce("comp", "doc").alias("comp")), "near-lists")
-        sizes = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
-            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own")
-        ).where("m * m > own")
-        left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs"), F.sum("m").alias("entries")).first()
-        if every or not left["pairs"]:
-            break
-        every = not left["pairs"] > DENSE * left["entries"]
-        open_lists = lists.join(sizes.select("token"), "token", "left_semi")
-        fresh = _next_links(open_lists, texts, where, size, percent, every)
-        if not every and not fresh.limit(1).count():
-            every, fresh = True, _next_links(open_lists, texts, where, size, percent, True)
-        links = staged(links.unionByName(fresh), "near-links")
-    return _labelled(listed, comp)
-
-
-def _next_links(lists: DataFrame, texts: DataFrame, where: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
-    lists = lists.repartition("token").sortWithinPartitions("token", F.col("n").desc(), "doc")
+    postings = sets.select("r.doc", "r.n", "r.ell", F.explode("r.prefix").alias("token"))
+    postings = postings.select("token", "doc", "n", "ell").repartition("token").sortWithinPartitions("token", "doc")
+    shared = staged(arrow_map(postings, _shared_lists, "token long, doc long, n int, ell int"), "near-postings")
+    shared = staged(_open_lists(_open_lists(shared, percent), percent), "near-postings")
+    lists = shared.join(blocks(shared), "doc").select("token", "doc", "n", "ell", "most", "block")
     runs = arrow_map(
-        lists.select("token", "doc", "n", "ell", "comp"), _runs,
-        "sig long, doc array<long>, n array<int>, ell array<int>, comp array<long>, split int",
+        lists.repartition("token").sortWithinPartitions("token", F.col("n").desc(), "doc"), _runs,
+        "sig long, doc array<long>, n array<int>, ell array<int>, most array<int>, block array<long>, split int",
     )
     # Near copies share many shingles whose lists are equal: one row stands for all of them.
     merged = runs.groupBy("sig").agg(
-        *[F.first(c).alias(c) for c in ("doc", "n", "ell", "comp", "split")], F.count(F.lit(1)).alias("weight")
+        *[F.first(c).alias(c) for c in ("doc", "n", "ell", "most", "block", "split")], F.count(F.lit(1)).alias("weight")
     )
-    pairs = arrow_map(merged, partial(_cross_pairs, percent=percent, every=every), "x long, y long, need int, shared long")
-    pairs = pairs.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
-    return staged(verified(pairs.where("shared >= need").select("x", "y"), texts, where, size, percent), "near-links")
+    meet = arrow_map(merged, partial(_meetings, percent=percent), "key long, doc long, need int, shared long")
+    meet = meet.groupBy("key", "doc").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    meet = staged(meet.select("key", "doc"), "near-meetings")
+    bits = spark.sparkContext.broadcast(may_hold(meet.select("doc").distinct()))
+    texts = arrow_map(slim, partial(_held, bits=bits), "doc long, text string")
+    rows = texts.join(meet, "doc").select("key", "doc", "text").repartition("key").sortWithinPartitions("key", "doc")
+    links = staged(arrow_map(rows, partial(_verify, size=size, percent=percent), "a long, b long"), "near-links")
+    return _labelled(listed, components(links))
+
+
+def _open_lists(lists: DataFrame, percent: int) -> DataFrame:
+    """Postings that may still give a link, with ``most``, the largest overlap each document can reach.
+
+    A prefix shingle that no other document has cannot be shared; a set without those bounds the overlap, and a
+    document whose bound is below any linking overlap leaves all lists.
+    """
+    lists = lists.select("token", "doc", "n", "ell")
+    mixed = lists.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("token")
+    rows = lists.join(mixed, "token", "left_semi")
+    least = F.ceil(F.col("n") * percent / 100)
+    # A prefix has n - least + ell shingles; those in no list are nobody else's.
+    most = F.col("n") - (F.col("n") - least + F.col("ell") - F.count(F.lit(1)))
+    bounds = rows.groupBy("doc", "n", "ell").agg(most.cast("int").alias("most")).where(F.col("most") >= least)
+    return rows.join(bounds, ["doc", "n", "ell"]).select("token", "doc", "n", "ell", "most")
 
 
 def _labelled(listed: DataFrame, comp: DataFrame) -> DataFrame:
