@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import arrow_map, free_name, spread_join, staged, tuned
+from spendlake.llm.bloom import held, may_hold
+from spendlake.llm.common import arrow_map, spread_join, staged, tuned
 from spendlake.llm.components import components
 from spendlake.llm.words import WordHasher, mix, shingle_sets
 
@@ -30,8 +31,7 @@ CELLS = 1 << 20
 BLOCK = 1 << 12
 #: Cost of verifying a candidate in posting-list entries, and how fast candidates fall with the share of a set asked for.
 VERIFY_COST, FALL = 200.0, 3.0
-#: Bits of the filter that keeps only texts with candidates; its size is fixed.
-FILTER_BITS = 1 << 24
+
 _NULL = -(1 << 63)
 _SKETCH = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
 _LISTS = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("ell", pa.int32()), ("prefix", pa.list_(pa.int64()))])
@@ -166,12 +166,6 @@ def _repeated(batches):
             yield [c[keep] for c in cols]
 
 
-def _scatter(token: int, doc: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        v = (doc.astype(np.uint64) ^ np.uint64(token & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15)
-        return (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 #: Members of one run row; longer lists are cut into pieces, and every two pieces meet in a row of their own.
 PIECE = 1024
 _RUN = pa.schema(
@@ -284,48 +278,9 @@ def _summed(found):
     )
 
 
-def _filter_bits(batches):
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for batch in batches:
-        for at in _probes(batch.column(0).to_numpy(zero_copy_only=False)):
-            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    for k in range(0, len(bits), 1 << 16):
-        if bits[k : k + (1 << 16)].any():
-            yield pa.RecordBatch.from_pydict({"block": [k >> 16], "counts": [bits[k : k + (1 << 16)].tobytes()]}, schema=_SKETCH)
-
-
-def _or_bits(batches):
-    bits: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, part in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-            part = np.frombuffer(part, dtype=np.uint8)
-            bits[block] = bits[block] | part if block in bits else part
-    if bits:
-        yield pa.RecordBatch.from_pydict({"block": list(bits), "counts": [v.tobytes() for v in bits.values()]}, schema=_SKETCH)
-
-
-def _probes(ids: np.ndarray):
-    v = _scatter(0, ids)
-    for k in range(3):
-        yield ((v >> np.uint64(40 - 19 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def may_hold(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids; FILTER_BITS bits whatever their number."""
-    parts = arrow_map(ids, _filter_bits, "block int, counts binary").repartition("block")
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in arrow_map(parts, _or_bits, "block int, counts binary").collect():
-        part = np.frombuffer(row["counts"], dtype=np.uint8)
-        bits[row["block"] << 16 : (row["block"] << 16) + len(part)] = part
-    return bits
-
-
 def _held(batches, bits):
-    known = bits.value
     for batch in batches:
-        ok = np.ones(len(batch), dtype=bool)
-        for at in _probes(batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)):
-            ok &= (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        ok = held(bits.value, batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False))
         if ok.any():
             yield batch.filter(pa.array(ok))
 

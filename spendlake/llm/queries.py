@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import chat, decontam, exact_dedup, ngram_join, packing, quality_fm, toxicity, warc, wavelet
+from spendlake.llm import chat, decontam, exact_dedup, ngram_join, packing, quality_fm, suffix_dedup, toxicity, warc, wavelet
 from spendlake.llm.common import scratch_path, table, tuned
 
 
@@ -49,7 +49,12 @@ def op3_offset_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(tuned(spark).read.parquet(out))
 
 
+def op9_sparse_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op9_sparse_prefix_doubling": op9_sparse_prefix_doubling,
     "op3_offset_chat_masks": op3_offset_chat_masks,
     "op1_warc_zstd": op1_warc_zstd,
     "op2_wavelet_token_shards": op2_wavelet_token_shards,
