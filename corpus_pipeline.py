@@ -1,26 +1,58 @@
-"""Corpus pipeline: every stage reads what its predecessor kept."""
+"""Corpus pipeline: classify, drop copies, drop near copies, decontaminate, pack.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
+``documents``; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import exact_dedup
+from spendlake.llm import decontam, exact_dedup, ngram_join, packing, quality_fm
 from spendlake.llm.common import staged, table
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labelled documents among those it is given."""
+    return quality_fm.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    return exact_dedup.drop_exact_copies(docs).select("doc_id", "text", "lang", "source", "n_chars")
+    return exact_dedup.drop_exact_copies(docs).select(*COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id stays."""
+    return ngram_join.drop_near_copies(docs).select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, with the digest of their ids."""
+    return packing.piece_digests(packing.pack(docs))
 
 
 STAGES = [
+    ("quality", quality_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
+#: A fitted classifier has no SQL; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
