@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spendlake.llm.common import arrow_map, free_name
 from spendlake.llm.labels import fold_of, training_sample
@@ -177,7 +178,7 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
 
     text, length = free_name(docs, "text_in"), free_name(docs, "length_in")
     rows = docs.select("*", docs["text"].alias(text), docs["n_chars"].cast("long").alias(length))
-    fields = docs.schema.add(score, "double")
+    fields = StructType([*docs.schema.fields, StructField(score, DoubleType())])
     return arrow_map(rows, score_batches, fields)
 
 

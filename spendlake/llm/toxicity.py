@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spendlake.llm.common import arrow_map, free_name
 from spendlake.llm.labels import fold_of, training_sample
@@ -274,7 +275,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(p)], names=[*batch.schema.names[:-1], score])
 
     rows = docs.select("*", docs["text"].alias(free_name(docs, "text_in")))
-    return arrow_map(rows, score_batches, docs.schema.add(score, "double"))
+    return arrow_map(rows, score_batches, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:

@@ -1,0 +1,399 @@
+"""Corpus operators on odd input against brute force: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import io
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from spendlake.llm import (
+    chat, decontam, exact_dedup, ngram_join, packing, quality_fm, suffix_dedup, tokens, toxicity, warc, wavelet,
+)
+
+
+def fold(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def rows_of(df, *names):
+    return Counter(tuple(r[n] for n in names) for r in df.collect())
+
+
+# --- exact copies
+
+def test_exact_groups(docs):
+    source = [(r.doc_id, fold(r.text)) for r in docs.collect()]
+    groups = defaultdict(list)
+    for d, t in source:
+        groups[t].append(d)
+    top = lambda v: max((d for d in v if d is not None), default=None)
+    want = Counter((d, top(groups[t]), len(groups[t]), d == top(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for d, t in source)
+    assert rows_of(exact_dedup.exact_groups(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+
+
+def test_exact_drop_keeps_one_row_per_text_and_all_columns(docs):
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(fold(r.text) for r in kept.collect()) == sorted({fold(r.text) for r in docs.collect()})
+
+
+@pytest.mark.parametrize("table_bytes", [1, 300, 1 << 20])
+def test_grace_grouping_spills_recursively(table_bytes):
+    rng = random.Random(1)
+    contents = [bytes([rng.randrange(4)]) * rng.randrange(40) for _ in range(3000)]
+    records = [(hashlib.sha256(c).digest(), k, 0, 0, c) for k, c in enumerate(contents)]
+    got = {c: sorted(a for a, _, _ in found) for _, c, found in exact_dedup.GraceGrouper(table_bytes, 1).groups(iter(records))}
+    want = defaultdict(list)
+    for k, c in enumerate(contents):
+        want[c].append(k)
+    assert got == want
+
+
+def test_grace_table_compares_content_not_digests():
+    same = b"\0" * 32
+    found = list(exact_dedup.GraceGrouper().groups(iter([(same, 1, 0, 0, b"a"), (same, 2, 0, 0, b"b"), (same, 3, 0, 0, b"a")])))
+    assert {c: [a for a, _, _ in f] for _, c, f in found} == {b"a": [1, 3], b"b": [2]}
+
+
+# --- near copies
+
+def sets_of(rows):
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0d]+", fold(t))
+        yield d, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_brute(rows):
+    items = list(sets_of(rows))
+    up = {d: d for d, _ in items}
+
+    def top(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for i, (a, x) in enumerate(items):
+        for b, y in items[:i]:
+            if None not in (a, b) and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                lo, hi = sorted((top(a), top(b)))
+                up[hi] = lo
+    return Counter((d, len(s), None if d is None else top(d)) for d, s in items)
+
+
+def test_near_groups(docs):
+    want = near_brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert rows_of(ngram_join.near_groups(docs), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_near_groups_in_small_blocks_and_pieces(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for g in range(4):
+        base = [f"w{g}_{i}" for i in range(120)]
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 8])):
+                copy[rng.randrange(120)] = f"u{rng.random()}"
+            rows.append((len(rows), " ".join(copy[: rng.choice([120, 120, 100, 90])])))
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(ngram_join.near_groups(df), "doc_id", "n_shingles", "component_id") == near_brute(rows)
+
+
+def test_long_lists_are_cut_into_pieces_that_all_meet(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "PIECE", 3)
+    n = 10
+    batch = pa.RecordBatch.from_pydict(
+        {"token": [7] * n, "doc": list(range(n)), "n": [9] * n, "ell": [1] * n, "most": [9] * n, "block": list(range(n))}
+    )
+    batch = batch.cast(pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("ell", pa.int32()), ("most", pa.int32()), ("block", pa.int64())]))
+    met = set()
+    for out in ngram_join._runs(iter([batch])):
+        for doc, split in zip(out.column("doc").to_pylist(), out.column("split").to_pylist()):
+            parts = (doc[:split], doc[split:]) if split else (doc, doc)
+            met |= {frozenset((a, b)) for a in parts[0] for b in parts[1] if a != b}
+    assert met == {frozenset((a, b)) for a in range(n) for b in range(a)}
+
+
+def test_overlaps_are_exact():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 200)).astype(np.uint64)) for _ in range(20)]
+    got = ngram_join.overlaps(sets, columns=16)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20) if i != j)
+
+
+# --- decontamination
+
+def words13(text):
+    return re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", fold(text))
+
+
+def test_contamination(spark, docs):
+    all_rows = [(r.doc_id, r.text) for r in docs.collect()]
+    long = words13(next(t for _, t in all_rows if t and len(t) > 1500))
+    items = [(1, " ".join(long[20:60])), (2, "one"), (10, "Two, THREE"), (3, None), (4, "..."), (None, " ".join(long[100:113])), (2, "c d e"), (5, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    wins = [("" if i is None else str(i), w[k : k + min(13, len(w))]) for i, t in items for w in [words13(t)] if w for k in range(max(1, len(w) - 12))]
+    want = Counter()
+    for d, t in all_rows:
+        w, hit, names = words13(t), set(), set()
+        for name, win in wins:
+            for k in range(len(w) - len(win) + 1):
+                if w[k : k + len(win)] == win:
+                    hit |= set(range(k, k + len(win)))
+                    names.add(name)
+        sha = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        want[d, len(w), len(hit), len(names), sha, len(hit) > 0 and 20 * len(hit) >= len(w)] += 1
+    got = rows_of(decontam.contamination(docs, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == want
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
+
+
+def test_contamination_stays_native(spark, docs):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    plan = decontam.contamination(docs, bench)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# --- tokens, packing, shards
+
+def test_pieces_encode_like_whole_texts():
+    rng, encoder, plain = random.Random(1), tokens.encoder(tokens.vocabulary_path()), tokens.load(tokens.vocabulary_path())
+    parts = ["a", "Be", "ñ", "ß", "日本", "\n", " ", "  ", "\t", "\x85", "\xa0", "'s", "1", ".", ",", "!!", "😀", "<|endoftext|>", "x​"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def ids_of(text, end):
+    return [*tokens.load(tokens.vocabulary_path()).encode(text or "", add_special_tokens=False).ids, end]
+
+
+def test_packing_is_lossless(docs):
+    pieces = packing.pack(docs).collect()
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(ids_of(r.text, 1))
+    tokens_in = Counter(t for v in texts.values() for ids in v for t in ids)
+    assert Counter(t for r in pieces for t in np.frombuffer(bytes(r.ids), "<u4").tolist()) == tokens_in
+    for r in pieces:
+        ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        assert any(ids == v[r.start : r.start + r.length] and r.doc_tokens == len(v) for v in texts[r.doc_id])
+    whole = packing.sequences(packing.pack(docs)).collect()
+    assert all(sum(r.lengths) == len(r.ids) // 4 <= 2048 for r in whole)
+
+
+def test_cuts():
+    assert packing.cuts(2048 * 2 + 1024 + 65) == [2048, 2048, 1024, 64, 1]
+    assert all(sum(packing.cuts(n)) == n for n in range(1, 5000, 7))
+
+
+def test_wavelet_shard_answers():
+    rng = np.random.default_rng(0)
+    for n, top in ((1, 1), (5, 3), (200_000, 50_257)):
+        ids = rng.integers(0, top, n).astype(np.uint32)
+        shard = wavelet.Shard(io.BytesIO(wavelet.build(ids, [None, 4], [n - 1, 1])))
+        assert (shard.all() == ids).all() and shard.documents()[0] == [None, 4]
+        for i in rng.integers(0, n, 10):
+            t, at = int(ids[i]), np.flatnonzero(ids == ids[i])
+            assert shard.access(int(i)) == t and shard.count(t) == len(at)
+            assert [shard.find(t, j) for j in (0, len(at) - 1)] == [at[0], at[-1]]
+            assert shard.count(t, 1, int(i)) == ((at >= 1) & (at < i)).sum()
+        assert shard.count(60_000) == 0
+        with pytest.raises(IndexError):
+            shard.find(int(ids[0]), n)
+
+
+def test_wavelet_rows(docs):
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode()))
+    got, at = wavelet.token_shards(docs, shard_tokens=500).orderBy("start").collect(), 0
+    assert len(got) == len(rows)
+    for g, r in zip(got, rows):
+        assert (g.doc_id, g.start, g.n_tokens) == (r.doc_id, at, len(ids_of(r.text, 2)))
+        at += g.n_tokens
+
+
+# --- archives
+
+def test_archives(spark):
+    pages = [(1, "u", "same"), (2, "u\r\nx", "same"), (3, None, None), (4, "u", ""), (None, "u", "same"), (2, "v", "same"), (9, "w", "é" * 9000), (7, "w", "Same")]
+    df = spark.createDataFrame([(*p, "x", True) for p in pages], "page_id long, url string, html string, sha string, first boolean")
+    got = rows_of(warc.archived(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    want = Counter()
+    for p, _, h in pages:
+        top = max(q for q, _, g in pages if (g or "") == (h or "") and q is not None)
+        body = (h or "").encode()
+        want[p, len(body), warc.digest(body), "response" if p == top else "revisit", None if p == top else top] += 1
+    assert got == want
+    assert warc.archived(df.limit(0)).count() == 0
+
+
+def archive(records, dictionary=b""):
+    out = io.BytesIO()
+    w = warc.Writer(out, dictionary)
+    for headers, block in records:
+        w.record(headers, block)
+    return out.getvalue()
+
+
+HEADERS = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Date", "2020-01-01T00:00:00Z")]
+
+
+def test_archive_format():
+    rng = random.Random(2)
+    samples = [(" ".join(rng.choice(["alpha", "beta", "<p>", "</p>", "delta"]) for _ in range(400))).encode() for _ in range(60)]
+    dictionary = warc.train_dictionary(samples, 4096)
+    data = archive([(HEADERS, s) for s in samples], dictionary)
+    assert dictionary and int.from_bytes(data[:4], "little") == warc.SKIPPABLE
+    assert [warc.parse(f)[1] for f in warc.frames(memoryview(data))] == samples
+    with pytest.raises(warc.BadRecord):
+        list(warc.frames(memoryview(data[:-3])))
+    with pytest.raises(warc.BadRecord):
+        list(warc.frames(memoryview(data + b"junk")))
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        b"HTTP/1.1\r\n\r\n", b"WARC/1.1\r\nWARC-Type: x\r\n\r\n\r\n\r\n", b"WARC/1.1\r\nno colon\r\n\r\n\r\n\r\n",
+        b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: i\r\nWARC-Date: d\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n",
+        b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: i\r\nWARC-Date: d\r\nWARC-Block-Digest: sha1:X\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n",
+    ],
+)
+def test_broken_records_are_refused(raw):
+    with pytest.raises(warc.BadRecord):
+        warc.parse(raw)
+
+
+# --- conversations
+
+def test_chat_round_trip(spark):
+    odd = ["<|endoftext|>", "<|", "\\", "\\<|", " lead", "trail ", "", None, "日本 😀", "\n\n", "</turn>", "x" * 30_000]
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice(["assistant", "user", None, "a<|b"]), rng.choice(odd)) for c in (1, 2, 3, None) for t in [*range(6), None]]
+    rows.append(rows[0])
+    df = spark.createDataFrame([(*r, "e", 1) for r in rows], "conv_id long, turn long, role string, text string, turns string, ids int")
+    want = set()
+    for c in (1, 2, 3, None):
+        turns = sorted(((t is not None, t or 0, r or "", x or "") for k, t, r, x in rows if k == c), key=lambda v: (*v[:2], v[2].encode(), v[3].encode()))
+        loss = "".join(x for *_, r, x in turns if r == "assistant")
+        said = "".join(f"{r}\n{x}\n" for *_, r, x in turns)
+        want.add((c, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    got = chat.digests(chat.formatted(df))
+    assert set(rows_of(got, "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == want
+    assert chat.digests(chat.formatted(df.limit(0))).count() == 0
+
+
+def test_token_slices_follow_overlap():
+    starts, stops = np.array([0, 2, 2, 5, 9]), np.array([2, 5, 5, 9, 12])
+    assert chat.token_slices(starts, stops, [(0, 2), (3, 6), (9, 9), (9, 30)]) == [(0, 1), (1, 4), (4, 4), (4, 5)]
+
+
+# --- repeats
+
+def repeats_brute(rows, size):
+    grams = Counter(b[i : i + size] for _, b in rows for i in range(len(b) - size + 1))
+    out = Counter()
+    for d, b in rows:
+        gone = np.zeros(len(b) + 1, dtype=int)
+        for i in range(len(b) - size + 1):
+            if grams[b[i : i + size]] > 1:
+                gone[i] += 1
+                gone[i + size] -= 1
+        gone = gone.cumsum()[:-1] > 0
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out[d, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("settled", [4096, 2])
+def test_repeats(docs, monkeypatch, settled):
+    monkeypatch.setattr(suffix_dedup, "SETTLED", settled)
+    got = suffix_dedup.removal_digests(suffix_dedup.without_repeats(docs))
+    want = repeats_brute([(r.doc_id, (r.text or "").encode()) for r in docs.collect()], 200)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+# --- classifiers
+
+def labelled(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows, labels = [], []
+    for d in range(300):
+        bad, toxic = d % 4 == 0, d % 3 == 0
+        text = " ".join(word() for _ in range(60))
+        text = text.upper() + "!!" * 20 if bad else text
+        text = text + (" you scumbag." if toxic else " fine.")
+        rows.append((d, text, len(text)))
+        labels.append((d, int(not bad), int(toxic)))
+    labels += [(0, None, None), (None, 1, 1), (1, 1, 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("run, label", [(quality_fm.quality, "quality"), (toxicity.toxicity, "toxic")])
+def test_classifiers_learn_and_score_everything(spark, docs, no_docs, run, label):
+    known, labels = labelled(spark)
+    got = run(known, labels).join(labels.where(f"{label} IS NOT NULL"), "doc_id").where("held_out").toPandas()
+    assert len(got) and (got.predicted == got[label]).mean() > 0.95
+    odd = run(docs, labels)
+    assert odd.columns == ["doc_id", "held_out", "score", "predicted"] and odd.count() == docs.count()
+    assert odd.where("score IS NULL OR score < 0 OR score > 1 OR held_out IS NULL").count() == 0
+    assert run(no_docs, labels).count() == 0
+    assert run(known, labels.limit(0)).count() == 300
+
+
+def test_held_out_labels_are_never_used(spark):
+    known, labels = labelled(spark)
+    for run, folds, held in ((quality_fm.quality, 5, 0), (toxicity.toxicity, 4, 2)):
+        from spendlake.llm.labels import fold_of
+        from pyspark.sql import functions as F
+
+        flipped = labels.withColumns(
+            {c: F.when(fold_of(F.col("doc_id"), folds) == held, 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")}
+        )
+        assert rows_of(run(known, labels), "doc_id", "score") == rows_of(run(known, flipped), "doc_id", "score")
+
+
+def test_keep_good_keeps_columns(spark, docs):
+    kept = quality_fm.keep_good(docs, labelled(spark)[1])
+    assert kept.columns == docs.columns
+
+
+def test_pair_sum_identity():
+    rng = np.random.default_rng(0)
+    m = quality_fm.Machine(0.3, rng.normal(size=quality_fm.SIZE), rng.normal(size=(quality_fm.SIZE, 3)))
+    at, x = rng.integers(0, quality_fm.SIZE, 12), rng.normal(size=12)
+    pairs = sum(m.factors[at[i]] @ m.factors[at[j]] * x[i] * x[j] for i in range(12) for j in range(i))
+    assert np.isclose(m.margins(at, x, np.array([0]))[0], 0.3 + m.linear[at] @ x + pairs)
+
+
+def kinds(text):
+    reader = toxicity.Reader(toxicity.Model({"moron": 1.0}, {"scum": 1.0}, toxicity.PRIOR, -2.0))
+    return {k for k, v in zip(toxicity.KINDS, reader.features(text)) if v > 0}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("a moron.", {"I"}), ("you moron!", {"It"}), ("Moron, you", {"It"}), ("you are not a moron", {"Int"}), ("not never a moron", {"I"}),
+        ("she said moron", {"Ir"}), ("she said you kill", {"Hrt"}), ("scumbags; we kill them", {"I", "Ht"}), ("not one two three four moron", {"I"}),
+        ("moron, not a moron", {"I"}), ("fine", set()), ("", set()),
+    ],
+)
+def test_clause_grammar(text, want):
+    assert kinds(text) == want
+
+
+@pytest.mark.parametrize(
+    "run",
+    [exact_dedup.exact_groups, ngram_join.near_groups, packing.pack, wavelet.token_shards, suffix_dedup.without_repeats, exact_dedup.drop_exact_copies],
+)
+def test_empty_tables(no_docs, run):
+    assert run(no_docs).count() == 0
