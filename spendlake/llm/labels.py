@@ -15,11 +15,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """``docs`` rows with a column ``y`` in {0, 1}, at most ``rows`` labelled documents.
 
     Documents of the held-out fold never take part. Repeated labels of a document are averaged and a tie counts as 1;
-    null labels and ids are ignored. The sample is those with the smallest hash of their id.
+    null labels and ids are ignored. The hash of the id decides who is in the sample.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.where(fold_of(F.col("doc_id"), folds) != held_out)
     known = known.groupBy(F.col("doc_id").alias("known_id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
-    # The order is that of the hash: a fixed number of rows per task goes to the last one.
-    picked = known.orderBy(F.xxhash64("known_id"), "known_id").limit(rows)
+    # One hash class of about the wanted size is ordered, so what the last task gets does not grow with the table.
+    classes = max(1, known.count() // (rows + 4 * int(rows**0.5)))
+    picked = known.where(F.pmod(F.xxhash64("known_id"), F.lit(classes)) == 0).orderBy(F.xxhash64("known_id"), "known_id").limit(rows)
     return docs.join(picked, docs["doc_id"] == picked["known_id"]).drop("known_id")

@@ -203,8 +203,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     groups = rows.where("long").groupBy("sha").agg(F.max("page_id").alias("of"), F.count(F.lit(1)).alias("c")).where("c > 1")
     rows = spread_join(rows, groups.select("sha", "of", F.lit(True).alias("shared")), ["sha"], F.xxhash64("page_id"))
     first = ~(F.coalesce("shared", F.lit(False)) & F.col("long")) | F.col("page_id").eqNullSafe(F.col("of"))
-    cut = pages.where("length(html) > 0").select(F.substring("html", 1, TRAIN_BYTES).alias("cut"), F.xxhash64("html").alias("order"))
-    samples = [r["cut"].encode()[:TRAIN_BYTES] for r in cut.orderBy("order", "cut").limit(TRAIN_PAGES).collect()]
+    full = pages.where("length(html) > 0").select(F.substring("html", 1, TRAIN_BYTES).alias("cut"), F.xxhash64("page_id", "url").alias("order"))
+    classes = max(1, full.count() // TRAIN_PAGES)
+    cut = full.where(F.pmod("order", F.lit(classes)) == 0).limit(2 * TRAIN_PAGES).collect()
+    samples = sorted(r["cut"].encode()[:TRAIN_BYTES] for r in cut)
     dictionary = spark.sparkContext.broadcast(train_dictionary(samples))
     write = partial(_write, folder=folder, dictionary=dictionary, archive_bytes=archive_bytes)
     return arrow_map(rows.select("page_id", "url", "html", first.alias("first"), "of"), write, "path string, records long")
