@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 #: Pieces remembered per worker; beyond it the memory starts anew. Longer pieces are not remembered.
-REMEMBERED, LONGEST = 300_000, 40
+REMEMBERED, LONGEST = 700_000, 40
 
 # A single space between characters that no one takes for white space: no token crosses it.
 _GAP = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")

@@ -36,18 +36,20 @@ FRAME, SHARD_TOKENS = 1 << 16, 1 << 21
 def build(ids: np.ndarray, docs: list[int | None], lengths: list[int]) -> bytes:
     """The bytes of one shard."""
     planes = max(1, int(ids.max()).bit_length() if len(ids) else 1)
-    level, zeros, ones, offsets, frames, at = ids.astype(np.uint32), [], [], [], [], 0
+    level = ids.astype(np.uint16 if planes <= 16 else np.uint32)
+    zeros, ones, offsets, frames, at = [], [], [], [], 0
     pack = zstandard.ZstdCompressor(level=1)
     for plane in range(planes - 1, -1, -1):
-        bits = ((level >> np.uint32(plane)) & np.uint32(1)).astype(bool)
-        counts = np.add.reduceat(bits, np.arange(0, len(bits), FRAME), dtype=np.int64) if len(bits) else np.zeros(0, np.int64)
-        ones.append([0, *counts.cumsum().tolist()])
-        starts = []
+        bits = (level & level.dtype.type(1 << plane)) != 0
+        packed, starts, sums = np.packbits(bits, bitorder="little"), [], [0]
         for k in range(0, len(bits), FRAME):
-            frame = pack.compress(np.packbits(bits[k : k + FRAME], bitorder="little").tobytes())
+            raw = packed[k // 8 : (k + FRAME) // 8]
+            sums.append(sums[-1] + int(np.bitwise_count(raw).sum(dtype=np.int64)))
+            frame = pack.compress(raw)
             starts.append(at)
             frames.append(frame)
             at += len(frame)
+        ones.append(sums)
         offsets.append([*starts, at])
         level = np.concatenate((level[~bits], level[bits]))
         zeros.append(int(len(bits) - ones[-1][-1]))
@@ -83,13 +85,16 @@ class Shard:
         ids = [None if gone else d for d, gone in zip(np.frombuffer(raw, "<i8", n).tolist(), null)]
         return ids, np.frombuffer(raw, "<i8", n, 9 * n)
 
+    def _packed(self, plane: int, k: int) -> np.ndarray:
+        at = self.head["offsets"][plane]
+        self.file.seek(self.base + at[k])
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.file.read(at[k + 1] - at[k])), np.uint8)
+
     def _frame(self, plane: int, k: int) -> np.ndarray:
         bits = self.kept.get((plane, k))
         if bits is None:
-            at = self.head["offsets"][plane]
-            self.file.seek(self.base + at[k])
-            raw = zstandard.ZstdDecompressor().decompress(self.file.read(at[k + 1] - at[k]))
-            bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: min(FRAME, self.tokens - k * FRAME)]
+            frame = self.head["frame"]
+            bits = np.unpackbits(self._packed(plane, k), bitorder="little")[: min(frame, self.tokens - k * frame)]
             if len(self.kept) >= self.kept_frames:
                 self.kept.pop(next(iter(self.kept)))
             self.kept[plane, k] = bits
@@ -148,17 +153,15 @@ class Shard:
         return at
 
     def all(self) -> np.ndarray:
-        """All ids, by one pass over the planes."""
-        n = self.tokens
-        ids, place = np.zeros(n, dtype=np.uint32), np.arange(n, dtype=np.int32)
-        for plane in range(self.planes):
-            parts = [self._frame(plane, k) for k in range(-(-n // self.head["frame"]))]
-            bits = np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
-            own = bits[place]
-            ids = ids << np.uint32(1) | own
-            ranks = bits.cumsum(dtype=np.int32) - bits
-            place = np.where(own, np.int32(self.head["zeros"][plane]) + ranks[place], place - ranks[place])
-        return ids
+        """All ids: the planes' partitions undone, from the last to the first."""
+        ids = np.zeros(self.tokens, dtype=np.uint16 if self.planes <= 16 else np.uint32)
+        for plane in range(self.planes - 1, -1, -1):
+            parts = [self._packed(plane, k) for k in range(len(self.head["offsets"][plane]) - 1)]
+            bits = np.unpackbits(np.concatenate(parts), bitorder="little")[: self.tokens].astype(bool) if parts else np.zeros(0, bool)
+            below, ids = ids, np.empty_like(ids)
+            ids[~bits], ids[bits] = np.split(below, [self.head["zeros"][plane]])
+            ids |= bits * ids.dtype.type(1 << (self.planes - 1 - plane))
+        return ids.astype(np.uint32)
 
 
 _SHARDS = pa.schema([("path", pa.string()), ("part", pa.int32()), ("file", pa.int32()), ("tokens", pa.int64()), ("documents", pa.int64())])
