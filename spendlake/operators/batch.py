@@ -12,9 +12,6 @@ from spendlake.operators.entities import FIELDS, GRAM, match_entities
 from spendlake.operators.versions import latest_versions
 from spendlake.session import staged
 
-# Keywords that are tested as literals; a longer list goes through the gram join.
-LITERAL_KEYWORDS = 200
-
 HAY_GRAMS = f"""array_distinct(flatten(transform(sequence(1, {GRAM}), n ->
   transform(sequence(1, greatest(length(_hay) - n + 1, 1)), i -> substring(_hay, i, n)))))"""
 
@@ -103,28 +100,32 @@ def matching_rows(filters: DataFrame, notices: DataFrame, catalog: DataFrame | N
     return fits.select(*columns).unionByName(on_agency.select(*columns))
 
 
-def keyword_rows(filters: DataFrame, notices: DataFrame, literal_limit: int = LITERAL_KEYWORDS) -> DataFrame:
+def keyword_rows(filters: DataFrame, notices: DataFrame) -> DataFrame:
     """Matches of the filters that have only a keyword.
 
-    Up to ``literal_limit`` keywords are tested in one pass over the rows. Beyond that every
-    filter probes with one gram of its keyword, the grams of the rows join on it, and the
-    substring test runs on those pairs.
+    Each distinct text of the rows is looked at once. Its grams keep only those that some keyword probes for, each
+    keyword by the gram that the fewest texts have; the substring test decides on these pairs of texts and keywords.
+    Rows then join their text's keywords by the hash of the text and the text itself.
     """
     wanted = normal_filters(filters).where(
         F.col("company").isNull() & F.col("agency").isNull() & F.col("keyword").isNotNull()
-    ).withColumn("_term", F.lower("keyword"))
+    )
     rows = notices.withColumn("_hay", _hay())
-    terms = [r[0] for r in wanted.select("_term").distinct().limit(literal_limit + 1).collect()]
-    if len(terms) <= literal_limit:
-        known = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-        hits = F.filter(known, lambda t: F.contains(F.col("_hay"), t))
-        pairs = rows.withColumn("_term", F.explode(hits)).alias("n")
-        joined = pairs.join(wanted.alias("f"), F.col("n._term") == F.col("f._term"))
-    else:
-        # The last gram separates better than the first: many titles share a beginning.
-        cut = F.substring("_term", F.greatest(F.length("_term") - GRAM + 1, F.lit(1)), GRAM)
-        exploded = rows.withColumn("_gram", F.explode(F.expr(HAY_GRAMS))).alias("n")
-        joined = exploded.join(wanted.withColumn("_gram", cut).alias("f"), F.col("n._gram") == F.col("f._gram"))
+    texts = staged(rows.select("_hay").distinct().withColumn("_text", F.xxhash64("_hay")), "keyword-texts")
+    grams = texts.select("_text", F.explode(F.expr(HAY_GRAMS)).alias("_gram"))
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("keyword") - GRAM + 1, F.lit(1))), lambda i: F.substring("keyword", i, F.lit(GRAM)))
+    probes = wanted.select("keyword").distinct().select("keyword", F.explode(F.array_distinct(cuts)).alias("_gram"))
+    # Grams that nobody asks for leave before anything is shuffled by gram.
+    asked = staged(grams.join(probes.select("_gram").distinct(), "_gram", "left_semi"), "keyword-grams")
+    volumes = asked.groupBy("_gram").agg(F.count(F.lit(1)).alias("volume"))
+    best = probes.join(volumes, "_gram", "left").groupBy("keyword").agg(
+        F.min(F.struct(F.coalesce("volume", F.lit(0)).alias("volume"), "_gram")).alias("best")
+    ).where("best.volume > 0").select("keyword", "best._gram")
+    pairs = asked.join(best, "_gram").select("_text", "keyword").join(texts, "_text").where(F.contains("_hay", F.col("keyword")))
+    pairs = staged(pairs.select(F.col("_hay").alias("_same"), "_text", "keyword").distinct(), "keyword-pairs").alias("p")
+    keyed = rows.withColumn("_text", F.xxhash64("_hay")).alias("n")
+    found = keyed.join(pairs, (F.col("n._text") == F.col("p._text")) & (F.col("n._hay") == F.col("p._same")))
+    joined = found.join(wanted.alias("f"), F.col("p.keyword") == F.col("f.keyword"))
     return joined.where(_other_tests("f")).select("f.filter_id", *[F.col(f"n.{c}") for c in notices.columns])
 
 

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from spendlake.operators.filters import SpendFilter
 from spendlake.operators.versions import latest_versions
 
-DEFAULT_LIMIT = 100
-MAX_LIMIT = 1000
-
 # Export headers and the columns behind them.
 EXPORT_COLUMNS = (
     ("Supplier", "supplier"),
@@ -24,10 +21,6 @@ EXPORT_COLUMNS = (
 )
 
 
-def clamp_limit(limit: int | None, default: int = DEFAULT_LIMIT, top: int = MAX_LIMIT) -> int:
-    return min(limit, top) if limit and limit > 0 else default
-
-
 def search_projection(df: DataFrame) -> DataFrame:
     day = F.when(F.col("release_date") > F.lit("1970-01-01").cast("timestamp"), F.to_date("release_date"))
     return df.select(
@@ -44,7 +37,9 @@ def matching_contracts(notices: DataFrame, f: SpendFilter) -> DataFrame:
 
 
 def top_contracts(contracts: DataFrame, limit: int | None = None) -> DataFrame:
-    return contracts.orderBy(F.desc("amount"), "source", "contract_id").limit(clamp_limit(limit))
+    """Largest amounts first: the first ``limit`` rows, or all of them without a limit."""
+    ordered = contracts.orderBy(F.desc("amount"), "source", "contract_id")
+    return ordered.limit(limit) if limit and limit > 0 else ordered
 
 
 def search_contracts(notices: DataFrame, f: SpendFilter, limit: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.operators.filters import SpendFilter
-from spendlake.operators.versions import CONTRACT, latest_versions
+from spendlake.operators.versions import CONTRACT, latest_versions, unique_releases
 
 
 def as_double(c: str, name: str | None = None) -> Column:
@@ -14,6 +14,14 @@ def as_double(c: str, name: str | None = None) -> Column:
     return F.col(c).cast("double").alias(name or c)
 
 
+def once(notices: DataFrame) -> DataFrame:
+    """Rows of a lake with each release once: a load that runs again may have stored it twice.
+
+    Rows without release ids are not from a lake and stay as they are.
+    """
+    return unique_releases(notices) if "release_id" in notices.columns else notices
+
+
 def latest_amounts(df: DataFrame, keys: tuple[str, ...] = CONTRACT) -> DataFrame:
     """(keys, amount) of the newest version, reading only the columns the choice needs."""
     slim = df.select(*keys, "amount", "release_date", "release_id")
@@ -43,8 +51,8 @@ def summarise(contracts: DataFrame) -> DataFrame:
 
 
 def total_all_versions(notices: DataFrame, f: SpendFilter, partitioned: bool = False) -> DataFrame:
-    """Plain sum over matching rows, every stored version counted."""
-    rows = f.apply(notices, partitioned)
+    """Plain sum over matching rows, every version counted once however often it is stored."""
+    rows = once(f.apply(notices, partitioned))
     return rows.agg(
         F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("total")
     ).select(
@@ -56,7 +64,7 @@ def total_all_versions(notices: DataFrame, f: SpendFilter, partitioned: bool = F
 
 def spend_by_year_and_agency(notices: DataFrame, limit: int = 20) -> DataFrame:
     """The default report: stored rows by financial year and agency, largest totals first."""
-    grouped = notices.groupBy("fy", "agency").agg(
+    grouped = once(notices).groupBy("fy", "agency").agg(
         F.sum("amount").alias("total"), F.count(F.lit(1)).alias("records")
     )
     top = grouped.orderBy(F.desc("total"), "fy", "agency").limit(limit)
@@ -64,7 +72,7 @@ def spend_by_year_and_agency(notices: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def monthly_spend(notices: DataFrame) -> DataFrame:
-    grouped = notices.groupBy("source", "month").agg(
+    grouped = once(notices).groupBy("source", "month").agg(
         F.sum("amount").alias("total"), F.count(F.lit(1)).alias("records")
     )
     return grouped.select("source", "month", as_double("total", "total_amount"), "records")

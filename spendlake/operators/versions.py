@@ -8,6 +8,8 @@ the rows of one contract in order, as a window would make it do.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +50,14 @@ def version_flags(df: DataFrame, keys: Sequence[str] = CONTRACT) -> DataFrame:
 
     One version per timestamp is accepted, so a version is an update exactly when it is later
     than the first timestamp of its contract. Versions without a timestamp are never accepted
-    over a dated one.
+    over a dated one; a contract that has only such versions keeps one of them, no update.
     """
     keys = tuple(keys)
-    dated = df.where(F.col("release_date").isNotNull())
-    accepted = keep_first(dated, (*keys, "release_date"), ("release", F.col("release_id")))
-    first = dated.groupBy(*keys).agg(F.min("release_date").alias("_first_date"))
-    joined = accepted.join(first, list(keys))
-    return joined.withColumn("is_update", F.col("release_date") > F.col("_first_date")).select(
-        *df.columns, "is_update"
-    )
+    accepted = keep_first(df, (*keys, "release_date"), ("release", F.col("release_id")))
+    # The versions accepted are one per timestamp already, so the first date needs no second scan.
+    first = accepted.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("release_date").alias("_first_date"))
+    same = [accepted[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = accepted.join(first, reduce(and_, same))
+    kept = joined.where(F.col("release_date").isNotNull() | F.col("_first_date").isNull())
+    later = F.coalesce(F.col("release_date") > F.col("_first_date"), F.lit(False))
+    return kept.withColumn("is_update", later).select(*df.columns, "is_update")

@@ -166,6 +166,9 @@ SELECT source, contract_id, release_id, supplier, agency, title, CAST(amount AS
 SELECT source, contract_id, release_id, CAST(amount AS DOUBLE) AS amount, release_day AS release_date,
   row_number() OVER (PARTITION BY source, contract_id ORDER BY release_date) > 1 AS is_update FROM acc""",
     "search_contracts": f"WITH {NOTICES}, {_FOUND}, top AS ({_TOP.format(n=100)}) SELECT {_RESULT} FROM top",
+    "search_all_rows": f"WITH {NOTICES}, {_FOUND} SELECT {_RESULT} FROM best",
+    "replayed_load_totals": f"""WITH {NOTICES}
+SELECT source, month, CAST(sum(amount) AS DOUBLE) AS total_amount, count(*) AS records FROM notices GROUP BY source, month""",
     "search_summary": f"""WITH {NOTICES}, {_FOUND}, top AS ({_TOP.format(n=25)})
 SELECT (SELECT count(*) FROM top) AS count, (SELECT CAST(coalesce(sum(amount), 0) AS DOUBLE) FROM top) AS total_spend,
   (SELECT count(*) FROM best) AS count_all, (SELECT CAST(coalesce(sum(amount), 0) AS DOUBLE) FROM best) AS total_spend_all""",

@@ -14,7 +14,8 @@ from spendlake.operators.filters import SpendFilter, notice_predicate
 from spendlake.plans.answers import answer_questions
 from spendlake.sources.disclosure import distinct_disclosures
 from spendlake.sources.notice import first_listed
-from spendlake.session import staged
+from spendlake.session import scratch_path, staged
+from spendlake.sources import lake
 from spendlake.sources.testdata import notices, table
 
 NOW = date(2002, 1, 1)
@@ -64,6 +65,11 @@ def search_contracts(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_contracts(notices(spark, sf), WIDE_FILTER, 100)
 
 
+def search_all_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a limit every match is returned."""
+    return search.search_contracts(notices(spark, sf), WIDE_FILTER)
+
+
 def search_summary(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_summary(notices(spark, sf), WIDE_FILTER, 25)
 
@@ -89,6 +95,14 @@ def monthly_spend(spark: SparkSession, sf: str) -> DataFrame:
     return spend.monthly_spend(notices(spark, sf, "source", "month", "amount"))
 
 
+def replayed_load_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly totals of a lake into which the same notices were loaded twice."""
+    path = scratch_path(spark, "replayed")
+    for _ in range(2):
+        lake.write(notices(spark, sf), path)
+    return spend.monthly_spend(lake.read(spark, path))
+
+
 def incremental_union_total(spark: SparkSession, sf: str) -> DataFrame:
     """Stored years and a fresh load that overlaps them by six months."""
     rows = notices(spark, sf, "source", "contract_id", "release_id", "amount", "release_date")
@@ -252,9 +266,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         spend_by_fy_agency_top20, total_spend_filtered, total_spend_default_source, total_spend_all_versions,
-        latest_contract_versions, contract_version_flags, search_contracts, search_summary,
+        latest_contract_versions, contract_version_flags, search_contracts, search_all_rows, search_summary,
         search_sorted_by_title, search_export, portal_notice_filter, monthly_spend, incremental_union_total,
-        dedupe_composite, first_listed_contracts, entity_tokens_identifier, sanitize_partition_keys,
+        dedupe_composite, replayed_load_totals, first_listed_contracts, entity_tokens_identifier, sanitize_partition_keys,
         entity_catalog, find_agencies, find_companies, find_companies_top, resolve_entities_batch,
         batch_spend_lookup, keyword_spend_lookup, entity_semi_join_spend, answer_spend_questions,
     )

@@ -56,18 +56,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SMALL_SPLIT = 4 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small scan out over all cores.
-
-    A file with one row group is read by one task, which leaves the other cores idle in the work
-    that follows. Only scans below ``SMALL_SPLIT`` bytes per core are dealt out, so the shuffle is
-    tiny; anything larger has enough splits of its own and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if cores > 1 and size < SMALL_SPLIT * cores else df

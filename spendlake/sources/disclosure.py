@@ -18,7 +18,6 @@ from spendlake.operators.versions import keep_first
 from spendlake.session import staged
 from spendlake.sources.notice import finish
 
-HEADER_ROWS = 25
 CELLS_SCHEMA = "file string, row_no long, cells array<string>"
 
 # Header texts of each field, in order of preference.
@@ -104,15 +103,19 @@ def header_index(cells: Column | str) -> Column:
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
-    """(file, header_row, idx): the first of the leading rows that has a date and a value column."""
-    leading = cells.where(F.col("row_no") <= HEADER_ROWS)
-    indexed = leading.select("file", F.col("row_no").alias("header_row"), header_index("cells").alias("idx"))
+    """(file, header_row, idx): the first row of the file that has a date and a value column."""
+    # Every header text of both columns is part of the joined row, so few rows need the full look.
+    joined = collapse_spaces(F.lower(F.concat_ws(" ", "cells")))
+    likely = [F.exists(F.array(*[F.lit(h) for h in HEADERS[k]]), lambda h: F.contains(joined, h)) for k in ("award_date", "value")]
+    indexed = cells.where(likely[0] & likely[1]).select("file", F.col("row_no").alias("header_row"), header_index("cells").alias("idx"))
     usable = indexed.where(F.col("idx.award_date").isNotNull() & F.col("idx.value").isNotNull())
     return keep_first(usable, ("file",), ("row", F.col("header_row")))
 
 
-def files_without_header(cells: DataFrame) -> DataFrame:
-    return cells.select("file").distinct().join(header_rows(cells), "file", "left_anti")
+def file_rejects(cells: DataFrame) -> DataFrame:
+    """(raw_file, reject_reason) of the files that have no header row and so give no notices."""
+    bare = cells.select("file").distinct().join(header_rows(cells), "file", "left_anti")
+    return bare.select(F.col("file").alias("raw_file"), F.lit("no header row").alias("reject_reason"))
 
 
 def to_notices(cells: DataFrame, resources: DataFrame | None = None) -> DataFrame:

@@ -266,9 +266,14 @@ def test_questions(spark, question, company, agency):
     assert (got["company"], got["agency"]) == (company, agency)
 
 
+def test_questions_of_a_megabyte(spark):
+    long = "how much was spent on " + "a  by\t" * 200_000
+    assert rows(spark, [long], questions.parse_question("c"))[0]["company"] == "a"
+
+
 def test_fallback_keyword(spark):
     raw = ["Total spending with 'Acme Co'?", "Deloitte?!", "x" * 81, " ", "money spent on  roads. And more"]
-    assert rows(spark, raw, questions.fallback_keyword("c")) == ["Acme Co", "Deloitte", None, None, "roads"]
+    assert rows(spark, raw, questions.fallback_keyword("c")) == ["Acme Co", "Deloitte", "x" * 81, None, "roads"]
 
 
 def test_answer_text(spark):

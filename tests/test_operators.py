@@ -59,7 +59,6 @@ def test_guards():
     with pytest.raises(ValueError):
         SpendFilter(source="vic").require_term()
     assert lookback_start(dt.date(2024, 2, 29), 1) == dt.date(2023, 3, 1)
-    assert search.clamp_limit(0) == 100 and search.clamp_limit(5000) == 1000 and search.clamp_limit(7) == 7
 
 
 def test_portal_filter_end_rule(spark):
@@ -89,7 +88,7 @@ def test_latest_version_and_total_do_not_depend_on_order(spark):
 def test_version_flags(spark):
     got = versions.version_flags(notices(spark, *VERSIONS)).collect()
     assert sorted((r["source"], r["release_id"], r["is_update"]) for r in got) == [
-        ("federal", "a", False), ("federal", "b", True), ("vic", "e", False),
+        ("federal", "a", False), ("federal", "b", True), ("federal", "d", False), ("vic", "e", False),
     ]
 
 
@@ -226,12 +225,37 @@ def test_batch_lookup_equals_single_lookups(spark):
         assert (got[fid]["contracts"], float(got[fid]["total"])) == (want["contracts"], want["total_spend"]), fid
 
 
-def test_keyword_routes_agree(spark):
-    df, _, table, _ = batch_fixture(spark)
-    literal = batch.keyword_rows(table, df).select("filter_id", "release_id")
-    grams = batch.keyword_rows(table, df, literal_limit=0).select("filter_id", "release_id")
-    assert sorted(map(tuple, literal.collect())) == sorted(map(tuple, grams.collect()))
-    assert grams.count() > 0
+def test_keyword_rows_equal_a_test_of_every_row(spark):
+    df, filters, table, day = batch_fixture(spark)
+    got = sorted(map(tuple, batch.keyword_rows(table, df).select("filter_id", "release_id").collect()))
+    want = []
+    for fid, keyword, company, agency, source, start, end in filters:
+        if keyword and not company and not agency:
+            f = SpendFilter(keyword, "", "", source or "", day(start), day(end))
+            want += [(fid, r["release_id"]) for r in f.apply(df).select("release_id").collect()]
+    assert got == sorted(want) and got
+
+
+def test_given_limits_are_kept(spark):
+    df = spark.range(1500).select(
+        F.lit("nsw").alias("source"), F.col("id").cast("string").alias("contract_id"), F.col("id").cast("decimal(18,2)").alias("amount")
+    )
+    assert search.top_contracts(df, 1200).count() == 1200 and search.top_contracts(df).count() == 1500
+
+
+def test_undated_contract_keeps_a_row_without_update(spark):
+    rows = [("nsw", "A", "1", None), ("nsw", "A", "2", None), ("nsw", "B", "3", None), ("nsw", "B", "4", dt.datetime(2024, 1, 1)), (None, "C", "5", None)]
+    df = spark.createDataFrame(rows, "source string, contract_id string, release_id string, release_date timestamp")
+    got = {(r.source, r.contract_id, r.release_id, r.is_update) for r in versions.version_flags(df).collect()}
+    assert got == {("nsw", "A", "1", False), ("nsw", "B", "4", False), (None, "C", "5", False)}
+
+
+def test_totals_do_not_count_a_release_twice(spark):
+    df = notices(spark, ROW)
+    twice = df.unionByName(df)
+    assert spend.monthly_spend(twice).collect() == spend.monthly_spend(df).collect()
+    assert spend.spend_by_year_and_agency(twice).collect() == spend.spend_by_year_and_agency(df).collect()
+    assert spend.total_all_versions(twice, SpendFilter()).collect() == spend.total_all_versions(df, SpendFilter()).collect()
 
 
 def test_filter_without_terms_has_no_total(spark):
@@ -256,7 +280,7 @@ def test_answers(spark):
     assert got[2]["total_spend"] == 140.0
     assert got[3]["answer"] == "Total spend by Department of Health (VIC) over the past 20 years: $45.00"
     assert got[4]["answer"] == "Total spend on Acme Pty Ltd (VIC) over the past 20 years: $5.00"
-    assert got[5]["answer"] is None and got[5]["total_spend"] is None
+    assert got[5]["total_spend"] == 0.0 and got[5]["keyword"] == "y" * 90
 
 
 def test_coverage(spark):

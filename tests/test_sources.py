@@ -116,7 +116,7 @@ def test_disclosure_files(spark, tmp_path):
     (tmp_path / "d.csv").write_text("no,header,here\n1,2,3\n")
     cells = disclosure.staged_cells(spark, str(tmp_path / "*.csv"))
     name = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
-    assert [r["f"] for r in disclosure.files_without_header(cells).select(name("file").alias("f")).collect()] == ["d.csv"]
+    assert [r["f"] for r in disclosure.file_rejects(cells).select(name("raw_file").alias("f")).collect()] == ["d.csv"]
     owners = cells.select("file").distinct().withColumn("organization", F.lit("Owner"))
     found = disclosure.to_notices(cells, owners).withColumn("f", name("raw_file"))
     got = {r["contract_id"]: r for r in accepted(found).collect()}
@@ -175,7 +175,7 @@ def test_vic_rows_and_details(spark):
     detail = "<body>Public <b>Body</b> Dept  of Works Contract Number 9 <h2>Supplier Information</h2> 1 Acme Pty Ltd ABN 1 ACN 2</body>"
     details = portals.vic_details(pages.extract_details(page(spark, "vic", detail, "https://www.x.test/contract/view?id=1")))
     found = portals.vic_notices(pages.extract_listings(page(spark, "vic", VIC)), details)
-    assert sorted(r["reject_reason"] for r in rejected(found).collect()) == ["no date", "unlikely contract id"]
+    assert sorted(r["reject_reason"] for r in rejected(found).collect()) == ["no date", "too few cells", "unlikely contract id"]
     row = first_listed(accepted(found)).collect()
     assert len(row) == 1
     assert (row[0]["contract_id"], row[0]["title"], row[0]["agency"]) == ("C-1001", "Roads (Current)", "Dept of Works")
@@ -289,3 +289,30 @@ def test_repeats_within_the_delay_are_dropped(spark, tmp_path):
     load.start_changes(totals, str(tmp_path / "t"), str(tmp_path / "s")).awaitTermination()
     rows = load.current_rows(spark, str(tmp_path / "t"), ["window_start", "window_end", "source"]).collect()
     assert [(r["records"], float(r["total"])) for r in rows] == [(2, 101.0)]
+
+
+def test_header_far_down_the_file(spark):
+    cells = [["note", str(k)] for k in range(40)] + [["Agency", "Award contract date", "Contract value"], ["A", "2024-07-10", "$5"]]
+    df = spark.createDataFrame([("f", k, c) for k, c in enumerate(cells, start=1)], disclosure.CELLS_SCHEMA)
+    assert disclosure.to_notices(df).select("agency").collect() == [("A",)]
+
+
+def listing(spark, html, source):
+    pages_in = spark.createDataFrame([(source, "https://x.test/p", html)], "source string, url string, html string")
+    return pages.extract_listings(pages_in)
+
+
+def test_deep_pages_parse(spark):
+    deep = "<p><font>" * 100_000 + "<table><tr><th>Contract</th><th>Buyer</th></tr><tr><td>C1</td><td>B</td></tr></table>"
+    got = listing(spark, deep, "sa").select(F.size("tables").alias("n")).first()
+    assert got["n"] == 1
+
+
+def test_single_sa_result(spark):
+    html = "<table><tr><th>Contract reference</th><th>Buyer</th><th>Value</th></tr><tr><td>C1</td><td>B</td><td>$5</td></tr></table>"
+    assert portals.sa_notices(listing(spark, html, "sa")).count() == 1
+
+
+def test_short_vic_rows_are_rejected_with_a_reason(spark):
+    html = "<table><tr><th>Contract</th><th>Title</th><th>Value</th></tr><tr><td>C100</td><td>T</td></tr></table>"
+    assert portals.vic_notices(listing(spark, html, "vic")).select("reject_reason").collect() == [("too few cells",)]
