@@ -313,7 +313,7 @@ _RELEASED = """released AS (SELECT *,
     CASE WHEN floor(l_quantity) = 2 THEN 'error page' WHEN floor(l_quantity) = 1 THEN 'not a contract release' END AS bad
   FROM notices)"""
 _SHOW = "supplier, agency, title, CAST(amount AS DOUBLE) AS amount, release_day AS release_date"
-_PORTAL = "SELECT *, '' AS empty FROM notices WHERE source = '{0}'"
+_PORTAL = "SELECT * REPLACE ('{0}' AS source), '' AS empty FROM notices"
 
 SQL |= {
     "month_windows": f"WITH {_REQUESTS}, {_MONTHS} SELECT request_id, source, window_start, window_end, month FROM windows",
@@ -424,8 +424,8 @@ listed AS (SELECT source, amount FROM (SELECT *, CASE WHEN source = 'nsw' AND am
 every AS (SELECT 'federal' AS source, amount FROM federal UNION ALL SELECT 'qld', amount FROM qld UNION ALL SELECT source, amount FROM listed)
 SELECT source, count(*) AS records, CAST(sum(amount) AS DOUBLE) AS total_amount FROM every GROUP BY source""",
     "page_links": """WITH l AS (SELECT url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin,
-    unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages)
-SELECT url, count(*) AS links, max(origin || href) AS last_link FROM l GROUP BY url""",
+    unnest(CASE WHEN html LIKE '%<a href="/%' THEN regexp_extract_all(html, '<a href="(/[^"]*)"', 1) ELSE [NULL] END) AS href FROM pages)
+SELECT url, count(href) AS links, max(origin || href) AS last_link FROM l GROUP BY url""",
     "challenge_pages": """SELECT page_id, length(html) % 7 IN (0, 1) AS blocked FROM pages""",
     "page_link_ids": """WITH u AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin,
     regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages),

@@ -204,7 +204,8 @@ def disclosure_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csv_header_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    cells = disclosure_cells(spark, sf)
+    # The cells are read for the headers, the rows and the owners: they are computed once.
+    cells = staged(disclosure_cells(spark, sf), "cells")
     owners = cells.select("file").distinct().withColumn("organization", F.lit("Department of Works"))
     found = accepted(disclosure.to_notices(cells, owners))
     return _shown(found, "release_id", "raw_file", "month")
@@ -213,11 +214,12 @@ def csv_header_mapping(spark: SparkSession, sf: str) -> DataFrame:
 # --- portal pages ------------------------------------------------------------------------------
 
 
-def _portal_rows(spark: SparkSession, sf: str, source: str) -> DataFrame:
+def _portal_rows(spark: SparkSession, sf: str, only: str | None) -> DataFrame:
+    """All line items as a portal would list them, or those of one jurisdiction."""
     rows = notices(
         spark, sf, "source", "contract_id", "release_id", "supplier", "agency", "title", "amount", "release_date", "contract_end"
     )
-    return rows.where(F.col("source") == source)
+    return rows.where(F.col("source") == only) if only else rows
 
 
 def _page(source: str, url: Column, *parts: str | Column) -> list[Column]:
@@ -233,9 +235,9 @@ def _portal_shown(df: DataFrame) -> DataFrame:
     return _shown(accepted(df), "source", "release_id", "contract_end")
 
 
-def nsw_listing(spark: SparkSession, sf: str) -> DataFrame:
+def nsw_listing(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
     """Cards: the notice id is in the link, the award id in the details."""
-    rows = _portal_rows(spark, sf, "nsw")
+    rows = _portal_rows(spark, sf, only)
     day = lambda c: F.date_format(c, "d-MMM-yyyy")
     return rows.select(
         *_page(
@@ -255,9 +257,9 @@ def portal_nsw_notices(spark: SparkSession, sf: str) -> DataFrame:
     return _portal_shown(portals.nsw_notices(pages.extract_listings(nsw_listing(spark, sf))))
 
 
-def vic_listing(spark: SparkSession, sf: str) -> DataFrame:
+def vic_listing(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
     """A results table with two rows, the second of them malformed; names are on the detail page."""
-    rows = _portal_rows(spark, sf, "vic")
+    rows = _portal_rows(spark, sf, only)
     day = lambda c: F.date_format(c, "d MMM yyyy")
     return rows.select(
         *_page(
@@ -272,7 +274,7 @@ def vic_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vic_detail_pages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _portal_rows(spark, sf, "vic")
+    rows = _portal_rows(spark, sf, None)
     return rows.select(
         *_page(
             "vic", F.concat(F.lit("https://portal.example.test/view?id="), "release_id"),
@@ -287,9 +289,9 @@ def portal_vic_notices(spark: SparkSession, sf: str) -> DataFrame:
     return _portal_shown(portals.vic_notices(pages.extract_listings(vic_listing(spark, sf)), details))
 
 
-def sa_listing(spark: SparkSession, sf: str) -> DataFrame:
+def sa_listing(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
     """A menu table before the results table; the award date is missing for small amounts."""
-    rows = _portal_rows(spark, sf, "sa")
+    rows = _portal_rows(spark, sf, only)
     awarded = F.when(F.col("amount") > 30000, F.date_format("release_date", "dd/MM/yyyy")).otherwise("")
     return rows.select(
         *_page(
@@ -308,8 +310,8 @@ def portal_sa_notices(spark: SparkSession, sf: str) -> DataFrame:
     return _portal_shown(portals.sa_notices(pages.extract_listings(sa_listing(spark, sf))))
 
 
-def wa_listing(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _portal_rows(spark, sf, "wa")
+def wa_listing(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
+    rows = _portal_rows(spark, sf, only)
     return rows.select(
         *_page(
             "wa", F.concat(F.lit("https://portal.example.test/wa?n="), "release_id"),
@@ -322,7 +324,7 @@ def wa_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 def wa_detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Contract pages of the larger contracts only; the others stay without a supplier."""
-    rows = _portal_rows(spark, sf, "wa").where(F.col("amount") > 40000)
+    rows = _portal_rows(spark, sf, None).where(F.col("amount") > 40000)
     return rows.select(
         *_page(
             "wa", F.concat(F.lit("https://portal.example.test/view?id="), "release_id"),
@@ -340,7 +342,8 @@ def portal_wa_notices(spark: SparkSession, sf: str) -> DataFrame:
 def all_sources_total(spark: SparkSession, sf: str) -> DataFrame:
     """Every adapter united in one notice table: first-listed portal rows, then spend per source."""
     def listed(adapter, listing) -> DataFrame:
-        return first_listed(accepted(adapter(pages.extract_listings(listing(spark, sf)))))
+        only = listing.__name__.split("_")[0]
+        return first_listed(accepted(adapter(pages.extract_listings(listing(spark, sf, only)))))
 
     portal_frames = [
         listed(portals.nsw_notices, nsw_listing), listed(portals.vic_notices, vic_listing),
@@ -379,11 +382,11 @@ def page_link_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    """All links of the landed pages, resolved."""
+    """Links of all landed pages, resolved; a url that is landed twice has the links of both pages."""
     found = pages.extract_links(table(spark, sf, "pages").select("url", "html"))
-    links = found.select("url", F.explode("hrefs").alias("href"))
+    links = found.select("url", F.explode_outer("hrefs").alias("href"))
     return links.groupBy("url").agg(
-        F.count(F.lit(1)).alias("links"), F.max(resolve_url("url", "href")).alias("last_link")
+        F.count("href").alias("links"), F.max(resolve_url("url", "href")).alias("last_link")
     )
 
 
