@@ -133,9 +133,9 @@ _FILTERS = """filters AS (
   FROM customer)"""
 
 _QUESTIONS = """q AS (
-  SELECT s_suppkey AS question_id, s_suppkey % 6 AS style, s_name, replace(s_name, '#', ' ') AS spaced, c_mktsegment AS seg,
+  SELECT s_suppkey AS question_id, s_suppkey % 6 AS style, s_name, replace(s_name, '#', ' ') AS spaced, coalesce(c_mktsegment, 'BUILDING') AS seg,
          CASE WHEN s_nationkey < 8 THEN 'nsw' END AS hint
-  FROM supplier JOIN customer ON s_suppkey = c_custkey),
+  FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey),
 stats AS (SELECT source, supplier, count(*) AS n FROM notices GROUP BY ALL),
 -- style 4 is searched by keyword and has a supplier candidate in its source, style 5 has none
 cand AS (SELECT DISTINCT question_id, s.source AS cs FROM q JOIN stats s ON s.supplier = q.s_name || ' Pty Ltd'

@@ -235,11 +235,11 @@ def entity_semi_join_spend(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spend_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """One question per supplier; its key picks the phrasing and its customer namesake the agency."""
+    """One question per supplier; its key picks the phrasing and its customer namesake, if any, the agency."""
     suppliers, customers = table(spark, sf, "supplier"), table(spark, sf, "customer")
     joined = suppliers.join(
-        customers.select("c_custkey", "c_mktsegment"), suppliers["s_suppkey"] == customers["c_custkey"]
-    )
+        customers.select("c_custkey", "c_mktsegment"), suppliers["s_suppkey"] == customers["c_custkey"], "left"
+    ).withColumn("c_mktsegment", F.coalesce("c_mktsegment", F.lit("BUILDING")))
     spaced = F.regexp_replace("s_name", "#", " ")
     texts = F.array(
         F.concat(F.lit("How much did the Department of "), "c_mktsegment", F.lit(" spend on "), spaced, F.lit("?")),

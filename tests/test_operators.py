@@ -365,3 +365,11 @@ def test_corrupt_files_are_opt_in(spark, tmp_path):
     with pytest.raises(Exception):
         lake.read(spark, str(path)).count()
     assert lake.read(spark, str(path), skip_corrupt=True).count() == 1
+
+
+def test_sql_limit_and_json_lines(spark, tmp_path):
+    lake.write(notices(spark, *VERSIONS), str(tmp_path / "lake"))
+    rows = lake.sql(spark, str(tmp_path / "lake"), "SELECT release_id, supplier FROM notices ORDER BY release_id", limit=2)
+    lake.json_lines(rows, str(tmp_path / "out"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(lines) == ['{"release_id":"a","supplier":"A"}', '{"release_id":"b","supplier":"A"}']
