@@ -61,13 +61,14 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], by: Column
     One key may hold a third of ``left``: its rows are dealt out by ``by`` over ``ways`` copies of the
     right row, so no task gets them all. Keys compare null-safe.
     """
-    a, b = left.alias("l"), right
     salt = free_name(left, "salt")
     a = left.withColumn(salt, F.pmod(by, F.lit(ways)).cast("int"))
     b = right.select(
         *[F.col(c).alias(f"r_{c}") if c in on else F.col(c) for c in right.columns],
         F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("r_salt"),
     )
+    # Estimates do not see the copies: without the hint Spark may broadcast what it takes for a small table.
+    b = b.hint("merge")
     match = a[salt] == b["r_salt"]
     for c in on:
         match = match & a[c].eqNullSafe(b[f"r_{c}"])
