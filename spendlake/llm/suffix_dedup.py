@@ -85,13 +85,20 @@ def _anchors(batches, window, gram, bits):
                     c.extend(v if isinstance(v, list) else v.tolist())
                 columns[-1].extend([raw[a:b] for a, b in zip(first.tolist(), (last + window).tolist())])
                 size += n
-            if size > 20_000:
+            if size > 5_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANCHORS)], schema=_ANCHORS)
                 columns, size = [[] for _ in _ANCHORS], 0
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANCHORS)], schema=_ANCHORS)
 
 
+def _picked(batches, bits):
+    for batch in batches:
+        ok = held(bits.value, batch.column(0).to_numpy())
+        if ok.any():
+            yield batch.filter(pa.array(ok))
+
+
 _UNIT = pa.schema(
     [("rank", pa.int64()), ("context", pa.int64()), ("lead", pa.int32()), ("windows", pa.int32()), ("skip", pa.int32()), ("copies", pa.int64()),
      ("bytes", pa.binary())]
@@ -225,17 +232,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     path = scratch_path(spark, "repeat-anchors")
     anchors.write.option("compression", "zstd").parquet(path)
     anchors = spark.read.schema(fields).parquet(path)
-    contexts = anchors.groupBy("context").agg(
-        F.first("gram").alias("gram"), F.first("reach").alias("lead"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"),
-        F.count(F.lit(1)).alias("copies"),
+    # One occurrence stands for each context; its bytes are fetched only if another context shares its gram.
+    keyed = anchors.withColumn("key", F.xxhash64("context", "doc_id", "th", "first"))
+    contexts = staged(
+        keyed.groupBy("context").agg(
+            F.first("gram").alias("gram"), F.first("reach").alias("lead"), F.first("windows").alias("windows"), F.min("key").alias("key"),
+            F.count(F.lit(1)).alias("copies"),
+        ),
+        "repeat-contexts",
     )
-    path = scratch_path(spark, "repeat-contexts")
-    contexts.write.option("compression", "zstd").parquet(path)
-    contexts = spark.read.schema(contexts.schema).parquet(path)
     shared = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1")
-    units = contexts.join(shared.select("gram"), "gram", "left_semi").select(
-        "context", "lead", "windows", F.lit(0).alias("skip"), "copies", "bytes"
-    )
+    asked = contexts.join(shared.select("gram"), "gram", "left_semi").select("key", "context", "lead", "windows", F.lit(0).alias("skip"), "copies")
+    asked = staged(asked, "repeat-asked")
+    chosen = spark.sparkContext.broadcast(may_hold(asked.select("key")))
+    picked = arrow_map(keyed.select("key", "bytes"), partial(_picked, bits=chosen), "key long, bytes binary")
+    units = picked.join(asked, "key").select("context", "lead", "windows", "skip", "copies", "bytes")
     found = [contexts.where("copies > 1").select("context", F.lit(0).alias("begin"), F.col("windows").alias("stop"))]
     width, unit = (window - gram + 2) // 2, "rank long, context long, lead int, windows int, skip int, copies long, bytes binary"
     while True:
