@@ -120,6 +120,14 @@ def test_long_lists_are_cut_into_pieces_that_all_meet(monkeypatch):
     assert met == {frozenset((a, b)) for a in range(n) for b in range(a)}
 
 
+def test_near_drop_keeps_the_first_of_each_component(docs):
+    roots = {(d, root) for d, _, root in near_brute([(r.doc_id, r.text) for r in docs.collect()])}
+    kept = ngram_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    gone = {d for d, root in roots if d != root}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id not in gone)
+
+
 def test_overlaps_are_exact():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 300, rng.integers(0, 200)).astype(np.uint64)) for _ in range(20)]
