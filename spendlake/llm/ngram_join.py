@@ -34,7 +34,7 @@ VERIFY_COST, FALL = 200.0, 3.0
 
 _NULL = -(1 << 63)
 _SKETCH = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-_LISTS = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("ell", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+_LISTS = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("ell", pa.int32()), ("level", pa.int32()), ("last", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
 
 def least_overlap(a, b, percent: int):
@@ -132,7 +132,10 @@ def _prefixes(batches, size, percent, levels):
             base = int(base_prefix(n, percent))
             ell = matches_for(own, base, noise) if n else 1
             digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            for k, v in zip(rows, (doc, digest, n, ell, ordered[: base + ell - 1].view(np.int64) if n else [])):
+            end = base + ell - 2
+            # Where the prefix ends in the order; the hash is shifted, since the order takes it without a sign.
+            level, last = (int(own[end]), int(ordered[end]) + _NULL) if n else (0, 0)
+            for k, v in zip(rows, (doc, digest, n, ell, level, last, ordered[: end + 1].view(np.int64) if n else [])):
                 rows[k].append(v)
         yield pa.RecordBatch.from_pydict({k: pa.array(v, _LISTS.field(k).type) for k, v in rows.items()}, schema=_LISTS)
 
@@ -175,7 +178,7 @@ _RUN = pa.schema(
 
 
 def _runs(batches):
-    """Posting lists, sorted by token and falling size, as rows; equal lists get equal signatures.
+    """Posting lists, sorted by token and by where prefixes end, as rows in that order; equal lists get equal signatures.
 
     ``split`` is the number of members that belong to the first of two pieces (0 for a row of one piece).
     """
@@ -183,7 +186,7 @@ def _runs(batches):
 
     def put(cols, split):
         nonlocal size
-        sig = hashlib.blake2b(cols[0].tobytes() + split.to_bytes(4, "little"), digest_size=8).digest()
+        sig = hashlib.blake2b(b"".join(c.tobytes() for c in cols) + split.to_bytes(4, "little"), digest_size=8).digest()
         for k, v in zip(rows, (int.from_bytes(sig, "little", signed=True), *cols, split)):
             rows[k].append(v)
         size += len(cols[0])
@@ -249,13 +252,14 @@ def _meetings(batches, percent):
         for row, (split, weight) in enumerate(zip(batch.column("split").to_pylist(), batch.column("weight").to_pylist())):
             doc, n, ell, most, block = (np.asarray(c[row].values).astype(np.int64) for c in columns)
             alpha = least_overlap(n[:, None], n[None, :], percent)
-            ok = (doc[:, None] != doc[None, :]) & (alpha <= np.minimum(most[:, None], most[None, :]))
+            # The prefix that ends first is that of the earlier member; only its document's bound holds.
+            first = np.minimum(np.arange(len(doc))[:, None], np.arange(len(doc))[None, :])
+            ok = (doc[:, None] != doc[None, :]) & (alpha <= most[first])
             if split:
                 ok &= (np.arange(len(doc)) < split)[:, None] != (np.arange(len(doc)) < split)[None, :]
             # What two prefixes share, and all that stands behind the one that ends first, bounds the overlap.
             behind = -(-percent * n // 100) - ell
-            need = np.maximum(np.minimum(ell[:, None], ell[None, :]), alpha - np.maximum(behind[:, None], behind[None, :]))
-            need = np.where(ok, need, np.iinfo(np.int32).max)
+            need = np.where(ok, alpha - behind[first], np.iinfo(np.int32).max)
             names, at = np.unique(block, return_inverse=True)
             order = np.argsort(at, kind="stable")
             least = np.minimum.reduceat(need[:, order], np.searchsorted(at[order], np.arange(len(names))), axis=1)
@@ -373,7 +377,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(slim, size))
     listed = staged(
-        arrow_map(slim, partial(_prefixes, size=size, percent=percent, levels=levels), "doc long, digest binary, n int, ell int, prefix array<long>"),
+        arrow_map(slim, partial(_prefixes, size=size, percent=percent, levels=levels), "doc long, digest binary, n int, ell int, level int, last long, prefix array<long>"),
         "near-prefixes",
     )
     # One class per set: its smallest id stands for it, and copies are folded before they travel.
@@ -384,10 +388,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     postings = sets.select("r.doc", "r.n", "r.ell", F.explode("r.prefix").alias("token"))
     postings = postings.select("token", "doc", "n", "ell").repartition("token").sortWithinPartitions("token", "doc")
     shared = staged(arrow_map(postings, _shared_lists, "token long, doc long, n int, ell int"), "near-postings")
-    shared = staged(_open_lists(_open_lists(shared, percent), percent), "near-postings")
-    lists = shared.join(blocks(shared), "doc").select("token", "doc", "n", "ell", "most", "block")
+    shared = staged(_bounded_lists(shared, listed.where(named), percent), "near-postings")
+    lists = shared.join(blocks(shared), "doc").select("token", "doc", "n", "ell", "most", "block", "level", "last")
     runs = arrow_map(
-        lists.repartition("token").sortWithinPartitions("token", F.col("n").desc(), "doc"), _runs,
+        lists.repartition("token").sortWithinPartitions("token", "level", "last", "doc"), _runs,
         "sig long, doc array<long>, n array<int>, ell array<int>, most array<int>, block array<long>, split int",
     )
     # Near copies share many shingles whose lists are equal: one row stands for all of them.
@@ -404,20 +408,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _labelled(listed, components(links))
 
 
-def _open_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """Postings that may still give a link, with ``most``, the largest overlap each document can reach.
+def _bounded_lists(lists: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """Postings that another document shares, with where their document's prefix ends (``level, last``) and ``most``.
 
-    A prefix shingle that no other document has cannot be shared; a set without those bounds the overlap, and a
-    document whose bound is below any linking overlap leaves all lists.
+    A prefix shingle that no other prefix holds is in no document whose prefix ends later, but one whose prefix ends
+    earlier may hold it behind that. So ``most``, which leaves such shingles out, bounds the overlap with the former only.
+    Rows that share an id, a size and a number of matches take the first and the last of their ends.
     """
-    lists = lists.select("token", "doc", "n", "ell")
     mixed = lists.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("token")
     rows = lists.join(mixed, "token", "left_semi")
-    least = F.ceil(F.col("n") * percent / 100)
-    # A prefix has n - least + ell shingles; those in no list are nobody else's.
-    most = F.col("n") - (F.col("n") - least + F.col("ell") - F.count(F.lit(1)))
-    bounds = rows.groupBy("doc", "n", "ell").agg(most.cast("int").alias("most")).where(F.col("most") >= least)
-    return rows.join(bounds, ["doc", "n", "ell"]).select("token", "doc", "n", "ell", "most")
+    # A prefix has n - least + ell shingles; behind it are least - ell.
+    most = F.ceil(F.col("n") * percent / 100) - F.col("ell") + F.count(F.lit(1))
+    bounds = rows.groupBy("doc", "n", "ell").agg(most.cast("int").alias("most"))
+    end = F.struct("level", "last")
+    ends = listed.groupBy("doc", "n", "ell").agg(F.array_distinct(F.array(F.min(end), F.max(end))).alias("ends"))
+    bounds = bounds.join(ends, ["doc", "n", "ell"]).select("doc", "n", "ell", "most", F.explode("ends").alias("end"))
+    return rows.join(bounds, ["doc", "n", "ell"]).select("token", "doc", "n", "ell", "most", "end.level", "end.last")
 
 
 def _labelled(listed: DataFrame, comp: DataFrame) -> DataFrame:

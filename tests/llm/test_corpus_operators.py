@@ -103,6 +103,26 @@ def test_near_groups_in_small_blocks_and_pieces(spark, monkeypatch):
     assert rows_of(ngram_join.near_groups(df), "doc_id", "n_shingles", "component_id") == near_brute(rows)
 
 
+def test_contained_documents_link_whichever_prefix_ends_first(spark):
+    """Isolated pairs at 0.75 to 0.9 where the larger one's own shingles are rarer, and pairs that ask for unequal matches."""
+    words = lambda name, n: [f"{name}_{i}" for i in range(n)]
+    texts = []
+    for n in (20, 75, 76, 150, 301):
+        for percent in (74, 75, 76, 80, 85, 90):
+            base = words(f"p{n}_{percent}", n + 4)
+            texts += [base, base + words(f"own{n}_{percent}", n * (100 - percent) // percent)]
+    for g in range(3):
+        # The core is frequent but stands behind the prefixes of its 40 hosts: only the smaller document asks for many matches.
+        core = words(f"core{g}", 78)
+        texts += [words(f"host{g}_{k}", 400) + core for k in range(40)]
+        texts += [[f"rare{g}", *core], [f"rare{g}", *core, *words(f"more{g}", 25)]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = near_brute(rows)
+    assert len({c for _, _, c in want}) < len(rows) - 25
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(ngram_join.near_groups(df), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_long_lists_are_cut_into_pieces_that_all_meet(monkeypatch):
     import pyarrow as pa
 
