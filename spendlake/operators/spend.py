@@ -17,7 +17,8 @@ def as_double(c: str, name: str | None = None) -> Column:
 def once(notices: DataFrame) -> DataFrame:
     """Rows of a lake with each release once: a load that runs again may have stored it twice.
 
-    Rows without release ids are not from a lake and stay as they are.
+    A contract listed again with another day or amount is another version and stays, and so do notices without a release
+    id that differ anywhere. Rows without that column are not from a lake and stay as they are.
     """
     return unique_releases(notices) if "release_id" in notices.columns else notices
 

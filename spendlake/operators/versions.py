@@ -40,9 +40,19 @@ def latest_versions(df: DataFrame, keys: Sequence[str] = CONTRACT) -> DataFrame:
     return keep_first(df, keys, ("age", newest_first()), ("release", F.col("release_id")))
 
 
+#: What a stored release is known by. A portal's release id is its contract id, so the listing's day and amount belong to it.
+RELEASE = ("source", "release_id", "contract_id", "release_date", "amount")
+
+
 def unique_releases(df: DataFrame, *order: tuple[str, Column]) -> DataFrame:
-    """One row per (source, release id): a release stored twice counts once."""
-    return keep_first(df, ("source", "release_id"), *order)
+    """Releases stored twice count once: one row per ``RELEASE``, as far as ``df`` has its columns.
+
+    Rows without a release id are the same only if they agree in every column.
+    """
+    blank = F.trim(F.coalesce("release_id", F.lit(""))) == ""
+    keys = [c for c in RELEASE if c in df.columns]
+    whole = F.when(blank, F.struct(*[F.col(c) for c in df.columns]))
+    return keep_first(df.withColumn("_whole", whole), (*keys, "_whole"), *order).drop("_whole")
 
 
 def version_flags(df: DataFrame, keys: Sequence[str] = CONTRACT) -> DataFrame:

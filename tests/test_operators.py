@@ -99,6 +99,36 @@ def test_stored_twice_counts_once(spark):
     assert got == {"federal": 200.0, "vic": 7.0}
 
 
+def test_lake_totals_keep_notices_without_ids_and_listings_again(spark, tmp_path):
+    """Loaded twice: notices with a null release id, and portal contracts listed with other dates or amounts."""
+    keys = ("source", "contract_id", "release_id", "supplier", "agency", "title", "amount", "day", "raw_file", "raw_row")
+    rows = [
+        ("nsw", "N1", None, "S", "A", "t", "10", "2020-07-01", "p1", 1),
+        ("nsw", "N1", None, "S", "A", "t", "10", "2020-07-01", "p1", 2),
+        ("nsw", "N2", None, "S", "A", "t", "20", "2020-07-02", "p1", 3),
+        ("federal", "F1", None, "S", "A", "t", "30", "2020-07-02", None, None),
+        ("federal", "F1", None, "S2", "A", "t", "30", "2020-07-02", None, None),
+        ("vic", "V1", "V1", "S", "A", "t", "100", "2020-07-03", "p1", 1),
+        ("vic", "V1", "V1", "S", "A", "t", "100", "2020-07-04", "p1", 1),
+        ("vic", "V1", "V1", "S", "A", "t", "150", "2020-07-04", "p1", 1),
+        # The same listing, read from another place on the page.
+        ("vic", "V1", "V1", "S", "A", "t", "150", "2020-07-04", "p2", 7),
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} {'long' if k == 'raw_row' else 'string'}" for k in keys))
+    df = finish(df.withColumns({"release_date": F.to_timestamp("day"), "amount": F.col("amount").cast("decimal(18,2)")}))
+    path = str(tmp_path / "lake")
+    for _ in range(2):
+        lake.write(df, path)
+    stored = lake.read(spark, path)
+    got = {r["source"]: (r["total_amount"], r["records"]) for r in spend.monthly_spend(stored).collect()}
+    assert got == {"nsw": (40.0, 3), "federal": (60.0, 2), "vic": (350.0, 3)}
+    year = spend.spend_by_year_and_agency(stored).first()
+    assert (year["total_amount"], year["records"]) == (450.0, 8)
+    for source, (total, n) in got.items():
+        r = spend.total_all_versions(stored, SpendFilter(source=source)).first()
+        assert (r["total_spend"], r["rows"]) == (total, n)
+
+
 def test_hot_contract(spark):
     """One contract holds most rows; brute force agrees."""
     rng = random.Random(7)
