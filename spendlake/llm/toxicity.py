@@ -1,11 +1,11 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
-
-A clause is read as a string of symbols: insult, threat, target, negation, report, other. Four sequential transducers
-are composed into one machine. The first marks what stands after a word of reported speech, the second what a negation
-precedes closely, the third what a target in the clause is aimed at, and the last reduces the clause to its strongest
-match when it ends. A document's score is a logistic function of the matched clauses of each kind, weighted by how
-strongly their words point to toxic documents. Insults are learned from labelled documents as words and as word
-beginnings, since toxic words inflect freely.
+"""Toxicity by a finite-state grammar over clauses.
+
+A clause is read as a string of symbols: insult, threat, target, negation, report, other; a lookup gives a word its
+symbol. Three sequential transducers are composed into one machine. The first marks what stands after a word of reported
+speech, the second what a negation precedes closely, and the last reduces the clause to its strongest match when it ends,
+with a mark if the clause names a target anywhere. Arcs carry no weights: a document's score is a logistic function of the
+matched clauses of each kind, weighted beside the machine by how strongly their words point to toxic documents. Insults
+are learned from labelled documents as words and as word beginnings, since toxic words inflect freely.
 """
 
 from __future__ import annotations
