@@ -26,13 +26,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 @lru_cache(maxsize=2)
 def load(path: str):
-    """The tokenizer; strings of special tokens in a text are ordinary text."""
+    """The tokenizer with the library's own settings; strings of special tokens in a text give their ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def byte_letters() -> dict[int, str]:
@@ -88,16 +86,31 @@ class Encoder:
     """Encodes texts piece by piece, each piece up to the next safe gap, and remembers what pieces gave.
 
     The vocabulary's own splitting starts a token at a single space between two visible characters wherever it stands,
-    and makes a single line feed between them a token, so the ids of a text are those of its pieces in order.
+    and makes a single line feed between them a token, so the ids of a text are those of its pieces in order. Added
+    tokens of the vocabulary are cut out first, as the library does: what stands before and after one is encoded alone.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.after_space, self.first = _Pieces(self.tokenizer, " "), _Pieces(self.tokenizer, "")
         self.line_feed = self.first["\n"]
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that take in or depend on what stands around them are not supported")
+        self.added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}
+        # Of added tokens that start at one place the library takes the longest.
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; none for null and empty texts."""
+        if not text:
+            return b""
+        if self.cuts and self.cuts.search(text):
+            return b"".join(self.added[t] if k % 2 else self._between(t) for k, t in enumerate(self.cuts.split(text)))
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if not text:
             return b""
         if _plain(text):

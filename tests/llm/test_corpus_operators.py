@@ -199,6 +199,18 @@ def test_pieces_encode_like_whole_texts():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_special_strings_encode_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    rng, encoder, plain = random.Random(2), tokens.encoder(tokens.vocabulary_path()), Tokenizer.from_file(tokens.vocabulary_path())
+    of = lambda text: np.frombuffer(encoder.encode(text), "<u4").tolist()
+    assert of("a <|endoftext|>b") == [*of("a "), 50256, *of("b")]
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|", "|>", "a", "Be c", "ñ", " ", "  ", "\n", "\t", ".", "'s", "\xa0"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 10)))
+        assert of(text) == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def ids_of(text, end):
     return [*tokens.load(tokens.vocabulary_path()).encode(text or "", add_special_tokens=False).ids, end]
 
