@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import chat, decontam, exact_dedup, ngram_join, packing, quality_fm, suffix_dedup, toxicity, warc, wavelet
+from spendlake.llm import chat, collisions, decontam, exact_dedup, ngram_join, packing, quality_fm, suffix_dedup, toxicity, warc, wavelet
 from spendlake.llm.common import scratch_path, table, tuned
 
 
@@ -53,7 +53,12 @@ def op9_sparse_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op11_collision_counting": op11_collision_counting,
     "op9_sparse_prefix_doubling": op9_sparse_prefix_doubling,
     "op3_offset_chat_masks": op3_offset_chat_masks,
     "op1_warc_zstd": op1_warc_zstd,
@@ -78,7 +83,24 @@ _BASE32 = (
 
 _ESCAPE = "replace(replace({}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
 
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
 SQL = {
+    "op11_collision_counting": f"""
+        WITH RECURSIVE vec AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE label IS NOT NULL AND {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id <> b.vec_id
+            AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98
+        ), reach(a, b) AS (
+            SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+               vec_id <= coalesce(low, vec_id) AS kept
+        FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a) USING (vec_id)
+        LEFT JOIN (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a) USING (vec_id)
+    """,
     "op3_offset_chat_masks": f"""
         WITH turn AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
