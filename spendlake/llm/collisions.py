@@ -30,9 +30,9 @@ from spendlake.llm.words import mix
 
 COSINE = 0.98
 #: Share of the pairs at the threshold that may be missed, and vectors of a cell that the number of cells aims at.
-MISS, CELL = 1e-6, 2048
+MISS, CELL = 1e-6, 1024
 #: Vectors of one label and cell that one task compares; larger cells are cut into parts that meet two by two.
-PART = 4096
+PART = 1024
 #: Width of a cell and half a window, in units of 1 / sqrt(dimensions) and of the largest distance over that.
 WIDTH, WINDOW = 2.0, 2.0
 
@@ -84,10 +84,10 @@ def calibrated(dim: int, cells: int, cosine: float, miss: float = MISS) -> tuple
         orders += 1
 
 
-def cells_for(dim: int, vectors: int, cosine: float) -> int:
-    """Directions that cut ``vectors`` unrelated vectors into cells of about CELL."""
+def cells_for(dim: int, vectors: int, cosine: float, cell: int = CELL) -> int:
+    """Directions that cut ``vectors`` unrelated vectors into cells of about ``cell``."""
     _, shared = chances(dim, 0, cosine)
-    k = math.ceil(math.log(max(1.0, vectors / CELL)) / -math.log(shared))
+    k = math.ceil(math.log(max(1.0, vectors / cell)) / -math.log(shared))
     return min(k, max(0, dim - 1))
 
 
@@ -119,19 +119,19 @@ def unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.sqrt((m * m).sum(axis=1))[:, None], ok
 
 
-def _shape(dim: int, largest: int, cosine: float, miss: float) -> tuple[int, int, int]:
-    cells = cells_for(dim, largest, cosine)
+def _shape(dim: int, largest: int, cosine: float, miss: float, cell: int) -> tuple[int, int, int]:
+    cells = cells_for(dim, largest, cosine, cell)
     return cells, *calibrated(dim, cells, cosine, miss)
 
 
-def _placed(batches, largest, cosine, miss):
+def _placed(batches, **shape):
     """Per batch, vector length and order: (order, batch, rows, matrix, keys of their cells, places)."""
     for batch in batches:
         label = batch.column("label").to_numpy().astype(np.int64).astype(np.uint64)
         for rows, m in matrices(batch.column("v")):
             unit, ok = unit_rows(m)
             rows, m = rows[ok], m[ok]
-            cells, orders, _ = _shape(m.shape[1], largest, cosine, miss)
+            cells, orders, _ = _shape(m.shape[1], **shape)
             h, s = projected(unit, cells, orders)
             for o in range(orders):
                 key = mix(mix(mix(h[:, o] + np.uint64(o)) ^ label[rows]) + np.uint64(m.shape[1])).astype(np.int64)
@@ -157,13 +157,13 @@ def _points(batches, bits, hot, dtype, **shape):
 class _Group:
     """Vectors of one label and cell (or of two parts of it), sorted along the order."""
 
-    def __init__(self, order: int, s, cls, node, mult, v, part, cross: bool, dtype: str, largest: int, cosine: float, miss: float):
+    def __init__(self, order: int, s, cls, node, mult, v, part, cross: bool, dtype: str, **shape):
         self.order, self.cls, self.node, self.mult, self.part, self.cross = order, cls, node, mult, part, cross
         self.raw = np.frombuffer(b"".join(v), dtype=dtype).reshape(len(v), -1).astype(np.float64)
         self.unit, _ = unit_rows(self.raw)
-        self.cosine = cosine
+        self.cosine = cosine = shape["cosine"]
         dim = self.raw.shape[1]
-        cells, orders, self.needed = _shape(dim, largest, cosine, miss)
+        cells, orders, self.needed = _shape(dim, **shape)
         self.window = half_window(dim, cosine)
         self.h, self.s = projected(self.unit, cells, orders)
 
@@ -266,7 +266,7 @@ def _parted(rows: DataFrame, full: DataFrame) -> DataFrame:
 
 def near_vectors(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    cosine: float = COSINE, miss: float = MISS,
+    cosine: float = COSINE, miss: float = MISS, cell: int = CELL, part: int = PART,
 ) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
@@ -290,12 +290,12 @@ def near_vectors(
         "vector-classes",
     )
     sizes = classes.groupBy("label").count().agg(F.max("count").alias("most")).first()
-    shape = {"largest": int(sizes["most"] or 0), "cosine": cosine, "miss": miss}
+    shape = {"largest": int(sizes["most"] or 0), "cosine": cosine, "miss": miss, "cell": cell}
     points = "key long, s double, ord int, cls long, node long, mult long, v binary"
     dtype = "<f4" if isinstance(rows.schema[vector_col].dataType.elementType, FloatType) else "<f8"
     keys = arrow_map(classes, partial(_keys, **shape), "key long")
-    full = keys.groupBy("key").count().where(F.col("count") > PART)
-    full = staged(full.select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "vector-cells")
+    full = keys.groupBy("key").count().where(F.col("count") > part)
+    full = staged(full.select("key", F.ceil(F.col("count") / part).cast("int").alias("parts")), "vector-cells")
     bits = spark.sparkContext.broadcast(may_hold(full.select("key")))
     common = arrow_map(classes, partial(_points, bits=bits, hot=False, dtype=dtype, **shape), points)
     hot = arrow_map(classes, partial(_points, bits=bits, hot=True, dtype=dtype, **shape), points)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import chat, collisions, decontam, exact_dedup, ngram_join, packing, quality_fm, suffix_dedup, toxicity, warc, wavelet
+from spendlake.llm import chat, collisions, decontam, exact_dedup, feast, heap_kmeans, ngram_join, packing, quality_fm, suffix_dedup, toxicity, warc, wavelet
 from spendlake.llm.common import scratch_path, table, tuned
 
 
@@ -57,7 +57,17 @@ def op11_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_kmeans.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feast.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op12_heap_kmeans": op12_heap_kmeans,
+    "op13_feast_whitening": op13_feast_whitening,
     "op11_collision_counting": op11_collision_counting,
     "op9_sparse_prefix_doubling": op9_sparse_prefix_doubling,
     "op3_offset_chat_masks": op3_offset_chat_masks,
@@ -85,7 +95,34 @@ _ESCAPE = "replace(replace({}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92
 
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
+#: Centroids of round n, from the members that round n - 1 gave them; an empty one stays.
+_ROUND = """
+    near{n} AS MATERIALIZED (
+        SELECT vec_id, arg_min(struct_pack(c := c, d := d), struct_pack(d := d, c := c)) AS best FROM (
+            SELECT x.vec_id, m.c, CAST(sum((x.x - m.x) * (x.x - m.x)) AS BIGINT) AS d
+            FROM comp x JOIN mid{n} m USING (i) GROUP BY x.vec_id, m.c) GROUP BY vec_id
+    ), mid{m} AS MATERIALIZED (
+        SELECT c, i, CAST(coalesce(f, x) AS BIGINT) AS x FROM mid{n} LEFT JOIN (
+            SELECT best.c AS c, i, floor(sum(x) / count(*)) AS f FROM near{n} JOIN comp USING (vec_id) GROUP BY best.c, i) USING (c, i)
+    )"""
+
 SQL = {
+    "op12_heap_kmeans": f"""
+        WITH vec AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {_USABLE} AND len(embedding) = 64
+        ), comp AS MATERIALIZED (
+            SELECT vec_id, i, CAST(floor(256 * v[i]) AS BIGINT) AS x FROM vec, unnest(range(1, 65)) AS u(i)
+        ), start AS (
+            SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM vec
+        ), mid0 AS MATERIALIZED (SELECT c, i, x FROM start JOIN comp USING (vec_id) WHERE c < 40),
+        {",".join(_ROUND.format(n=n, m=n + 1) for n in range(6))},
+        digest AS (
+            SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM mid5 GROUP BY c
+        ), own AS (SELECT vec_id, best.c AS c, best.d AS distance FROM near5)
+        SELECT vec_id, CAST(c AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM own JOIN digest USING (c)
+    """,
     "op11_collision_counting": f"""
         WITH RECURSIVE vec AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
