@@ -31,7 +31,7 @@ from spendlake.llm.words import mix
 COSINE = 0.98
 #: Share of the pairs at the threshold that may be missed, and vectors of a cell that the number of cells aims at.
 MISS, CELL = 1e-6, 1024
-#: Vectors of one label and cell that one task compares; larger cells are cut into parts that meet two by two.
+#: Vectors of one label and cell that are compared at once, about; larger cells are cut into parts that meet two by two.
 PART = 1024
 #: Width of a cell and half a window, in units of 1 / sqrt(dimensions) and of the largest distance over that.
 WIDTH, WINDOW = 2.0, 2.0
@@ -295,7 +295,7 @@ def near_vectors(
     dtype = "<f4" if isinstance(rows.schema[vector_col].dataType.elementType, FloatType) else "<f8"
     keys = arrow_map(classes, partial(_keys, **shape), "key long")
     full = keys.groupBy("key").count().where(F.col("count") > part)
-    full = staged(full.select("key", F.ceil(F.col("count") / part).cast("int").alias("parts")), "vector-cells")
+    full = staged(full.select("key", F.ceil(2 * F.col("count") / part).cast("int").alias("parts")), "vector-cells")
     bits = spark.sparkContext.broadcast(may_hold(full.select("key")))
     common = arrow_map(classes, partial(_points, bits=bits, hot=False, dtype=dtype, **shape), points)
     hot = arrow_map(classes, partial(_points, bits=bits, hot=True, dtype=dtype, **shape), points)
