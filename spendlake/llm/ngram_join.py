@@ -5,14 +5,17 @@ l shingles among the first ``n - ceil(t n) + l`` of each, for every l. A documen
 many others takes a larger l: its prefix grows by one shingle per step, and so does what it must share.
 
 Documents with one and the same set are one class. Posting lists of prefix shingles give the candidates: documents
-that meet often share a block of bounded size, and a document is compared with a block only if the shingles it shares
-with that block's members reach the matches its prefix asks for. No pairs are listed; a task gets the documents of two
-blocks at most, counts all their intersections by matrix products, and returns links that span what it found.
+that meet often share a block of bounded size. First every block is compared with itself and with the leader of its
+family, so the text of a near copy travels once and a family of any size becomes one component. What is linked then
+need not meet again: a document is compared with a further block only if the shingles it shares with members of other
+components there reach the matches its prefix asks for. No pairs are listed; a task gets the documents of two blocks at
+most, counts all their intersections by matrix products, and returns links that span what it found.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import partial
 
 import numpy as np
@@ -34,7 +37,7 @@ VERIFY_COST, FALL = 200.0, 3.0
 
 _NULL = -(1 << 63)
 _SKETCH = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-_LISTS = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("ell", pa.int32()), ("level", pa.int32()), ("last", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+_LISTS = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("ell", pa.int32()), ("level", pa.int32()), ("last", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def least_overlap(a, b, percent: int):
@@ -68,7 +71,7 @@ def _sketch(batches, size):
             cells += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=CELLS).astype(np.uint32)
     if not cells.any():
         return
-    parts = [cells[k : k + BLOCK].tobytes() for k in range(0, CELLS, BLOCK)]
+    parts = [zlib.compress(cells[k : k + BLOCK].tobytes(), 1) for k in range(0, CELLS, BLOCK)]
     yield pa.RecordBatch.from_pydict({"block": list(range(len(parts))), "counts": parts}, schema=_SKETCH)
 
 
@@ -76,7 +79,7 @@ def _add_sketches(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-            add = np.frombuffer(counts, dtype=np.uint32).astype(np.uint64)
+            add = np.frombuffer(zlib.decompress(counts), dtype=np.uint32).astype(np.uint64)
             sums[block] = sums[block] + add if block in sums else add
     if sums:
         # Eighths of a power of two: what the order needs in one byte.
@@ -120,6 +123,65 @@ def matches_for(own: np.ndarray, base: int, noise: float) -> int:
     return best
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit per hash of a set, in two to four times as many bits as it has members (a power of two, 64 at least)."""
+    width = 1 << max(6, (4 * len(s)).bit_length() - 1)
+    bits = np.zeros(width, dtype=np.uint8)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(docs: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """Which documents may link with another one of these.
+
+    A member that only one of two sets has changes one bit at most, so the bits that differ bound the members that do,
+    and these the overlap. A larger bitmap folds to a smaller one; sets whose bitmaps differ by more than one fold
+    differ too much in size.
+    """
+    ok = np.zeros(len(docs), dtype=bool)
+    widths = np.array([len(m) for m in maps])
+    for width in np.unique(widths):
+        own = np.flatnonzero(widths == width)
+        a = np.stack([np.frombuffer(maps[i], dtype=np.uint64) for i in own])
+        wide = np.flatnonzero(widths == 2 * width)
+        folded = [np.frombuffer(maps[i], dtype=np.uint64).reshape(2, -1) for i in wide]
+        other = np.concatenate([a, *[(f[0] | f[1])[None, :] for f in folded]])
+        at = np.concatenate([own, wide])
+        for row, i in enumerate(own):
+            differ = np.bitwise_count(a[row] ^ other[row:]).sum(axis=1, dtype=np.int64)
+            j = at[row:]
+            most = (sizes[i] + sizes[j] - differ) // 2
+            met = (docs[j] != docs[i]) & (most >= least_overlap(sizes[i], sizes[j], percent))
+            if met.any():
+                ok[i] = True
+                ok[j[met]] = True
+    return ok
+
+
+_ASKED = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
+
+
+def _plausible(batches, percent):
+    """Rows (key, doc, n, bits) sorted by key: those that may link with another document of their key."""
+    key, held = None, []
+
+    def close():
+        docs = np.array([h[0] for h in held], dtype=np.int64)
+        ok = may_link(docs, np.array([h[1] for h in held], dtype=np.int64), [h[2] for h in held], percent)
+        keep = np.unique(docs[ok])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), key)), pa.array(keep)], schema=_ASKED) if len(keep) else None
+
+    for batch in batches:
+        for own, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "n", "bits"))):
+            if own != key:
+                if len(held) > 1 and (out := close()) is not None:
+                    yield out
+                key, held = own, []
+            held.append(row)
+    if len(held) > 1 and (out := close()) is not None:
+        yield out
+
+
 def _prefixes(batches, size, percent, levels):
     known = levels.value
     used = known[known > 0]
@@ -135,7 +197,7 @@ def _prefixes(batches, size, percent, levels):
             end = base + ell - 2
             # Where the prefix ends in the order; the hash is shifted, since the order takes it without a sign.
             level, last = (int(own[end]), int(ordered[end]) + _NULL) if n else (0, 0)
-            for k, v in zip(rows, (doc, digest, n, ell, level, last, ordered[: end + 1].view(np.int64) if n else [])):
+            for k, v in zip(rows, (doc, digest, n, ell, level, last, bitmap(s), ordered[: end + 1].view(np.int64) if n else [])):
                 rows[k].append(v)
         yield pa.RecordBatch.from_pydict({k: pa.array(v, _LISTS.field(k).type) for k, v in rows.items()}, schema=_LISTS)
 
@@ -169,27 +231,32 @@ def _repeated(batches):
             yield [c[keep] for c in cols]
 
 
-#: Members of one run row; longer lists are cut into pieces, and every two pieces meet in a row of their own.
+#: Members of one piece of a posting list; longer lists are cut, and every two pieces meet as a list of their own.
 PIECE = 1024
 _RUN = pa.schema(
     [("sig", pa.int64()), ("doc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("ell", pa.list_(pa.int32())),
-     ("most", pa.list_(pa.int32())), ("block", pa.list_(pa.int64())), ("split", pa.int32())]
+     ("most", pa.list_(pa.int32())), ("block", pa.list_(pa.int64())), ("root", pa.list_(pa.int64())),
+     ("met", pa.list_(pa.int32())), ("piece", pa.list_(pa.int32())), ("cross", pa.int32())]
 )
+_MEMBER = ("doc", "n", "ell", "most", "block", "root", "met", "piece")
 
 
 def _runs(batches):
-    """Posting lists, sorted by token and by where prefixes end, as rows in that order; equal lists get equal signatures.
+    """Lists, sorted by token, by their two pieces and by where prefixes end, as rows; equal lists get equal signatures.
 
-    ``split`` is the number of members that belong to the first of two pieces (0 for a row of one piece).
+    ``cross`` is 1 where a list is two pieces of a longer one: members of one piece meet elsewhere.
     """
-    rows, size = {f.name: [] for f in _RUN}, 0
+    rows, size, key, held = {f.name: [] for f in _RUN}, 0, None, []
 
-    def put(cols, split):
+    def close():
         nonlocal size
-        sig = hashlib.blake2b(b"".join(c.tobytes() for c in cols) + split.to_bytes(4, "little"), digest_size=8).digest()
-        for k, v in zip(rows, (int.from_bytes(sig, "little", signed=True), *cols, split)):
-            rows[k].append(v)
-        size += len(cols[0])
+        cols = [np.concatenate(c) for c in zip(*held)]
+        if len(cols[0]) > 1:
+            cross = int(key[1] != key[2])
+            sig = hashlib.blake2b(b"".join(c.tobytes() for c in cols) + bytes([cross]), digest_size=8).digest()
+            for k, v in zip(rows, (int.from_bytes(sig, "little", signed=True), *cols, cross)):
+                rows[k].append(v)
+            size += len(cols[0])
 
     def batch_of():
         nonlocal size
@@ -199,38 +266,25 @@ def _runs(batches):
         size = 0
         return out
 
-    def close(pieces, cols):
-        """Rows for a full piece: itself, and with each earlier piece of the list."""
-        put(cols, 0)
-        for k, (old, least) in enumerate(pieces):
-            if least is not None:
-                put([np.concatenate(c) for c in zip(old, cols)], len(old[0]))
-
-    token, held, pieces = None, [], []
     for batch in batches:
-        t = batch.column("token").to_numpy()
-        cols = [batch.column(k).to_numpy() for k in ("doc", "n", "ell", "most", "block")]
-        cut = np.flatnonzero(np.diff(t)) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(t)]):
+        names = [batch.column(k).to_numpy() for k in ("token", "lo", "hi")]
+        cols = [batch.column(k).to_numpy() for k in _MEMBER]
+        change = np.zeros(max(len(names[0]) - 1, 0), dtype=bool)
+        for c in names:
+            change |= np.diff(c) != 0
+        cut = np.flatnonzero(change) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(names[0])]):
             if a == b:
                 continue
-            if t[a] != token:
+            if (own := tuple(int(c[a]) for c in names)) != key:
                 if held:
-                    close(pieces, [np.concatenate(c) for c in zip(*held)])
-                token, held, pieces = t[a], [], []
-            for c in range(a, b, PIECE):
-                held.append([v[c : min(b, c + PIECE)] for v in cols])
-                if sum(len(h[0]) for h in held) >= PIECE:
-                    full = [np.concatenate(v) for v in zip(*held)]
-                    close(pieces, full)
-                    pieces.append((full, True))
-                    held = []
-                    if size > 50_000:
-                        yield batch_of()
+                    close()
+                key, held = own, []
+            held.append([v[a:b] for v in cols])
         if size > 50_000:
             yield batch_of()
     if held:
-        close(pieces, [np.concatenate(c) for c in zip(*held)])
+        close()
     if rows["sig"]:
         yield batch_of()
 
@@ -246,17 +300,21 @@ def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meetings(batches, percent):
-    """Per run and member the blocks that hold a possible partner, and the least matches a partner there asks for."""
+    """Per run and member the blocks that hold a possible partner, and the least matches a partner there asks for.
+
+    Members of one root are linked already, and members of one block that both met there have been compared.
+    """
     for batch in batches:
-        columns, out = [batch.column(k) for k in ("doc", "n", "ell", "most", "block")], []
-        for row, (split, weight) in enumerate(zip(batch.column("split").to_pylist(), batch.column("weight").to_pylist())):
-            doc, n, ell, most, block = (np.asarray(c[row].values).astype(np.int64) for c in columns)
+        columns, out = [batch.column(k) for k in _MEMBER], []
+        for row, (cross, weight) in enumerate(zip(batch.column("cross").to_pylist(), batch.column("weight").to_pylist())):
+            doc, n, ell, most, block, root, met, piece = (np.asarray(c[row].values).astype(np.int64) for c in columns)
             alpha = least_overlap(n[:, None], n[None, :], percent)
             # The prefix that ends first is that of the earlier member; only its document's bound holds.
             first = np.minimum(np.arange(len(doc))[:, None], np.arange(len(doc))[None, :])
-            ok = (doc[:, None] != doc[None, :]) & (alpha <= most[first])
-            if split:
-                ok &= (np.arange(len(doc)) < split)[:, None] != (np.arange(len(doc)) < split)[None, :]
+            ok = (root[:, None] != root[None, :]) & (alpha <= most[first])
+            ok &= (block[:, None] != block[None, :]) | (met[:, None] & met[None, :] == 0)
+            if cross:
+                ok &= piece[:, None] != piece[None, :]
             # What two prefixes share, and all that stands behind the one that ends first, bounds the overlap.
             behind = -(-percent * n // 100) - ell
             need = np.where(ok, alpha - behind[first], np.iinfo(np.int32).max)
@@ -355,13 +413,58 @@ BLOCK_DOCS = 192
 
 
 def blocks(postings: DataFrame) -> DataFrame:
-    """``doc, block``: documents that most often share a list's first document share a block of bounded size."""
+    """``doc, block, leader, met``: documents that most often share a list's first document share a block of bounded size.
+
+    That first document leads the family and all its blocks. ``met`` is 1 for documents that share as many shingles
+    with their leader as their prefix asks for: these are worth comparing at once.
+    """
     first = postings.groupBy("token").agg(F.min("doc").alias("first"))
-    met = postings.join(first, "token").groupBy("doc", "first").agg(F.count(F.lit(1)).alias("c"))
-    family = met.groupBy("doc").agg(F.max_by("first", F.struct("c", "first")).alias("family"))
-    parts = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
-    rows = spread_join(family, parts, ["family"], F.xxhash64("doc"), "inner")
-    return rows.select("doc", F.xxhash64("family", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("block"))
+    shares = postings.join(first, "token")
+    met = shares.groupBy("doc", "first").agg(F.count(F.lit(1)).alias("c"), F.max("ell").alias("ell"))
+    family = met.groupBy("doc").agg(F.max(F.struct("c", "first", "ell")).alias("f"))
+    family = family.select("doc", F.col("f.first").alias("leader"), (F.col("f.c") >= F.col("f.ell")).cast("int").alias("met"))
+    parts = family.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
+    rows = spread_join(family, parts, ["leader"], F.xxhash64("doc"), "inner")
+    part = F.xxhash64("leader", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    return rows.select("doc", part.alias("block"), "leader", "met")
+
+
+def _compared(slim: DataFrame, listed: DataFrame, asked: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that span what the documents of each key of ``asked`` (``key, doc``) have.
+
+    Bitmaps meet first, at a tenth of the bytes; texts are fetched for documents that may link with one of their key.
+    """
+    maps = listed.select("doc", "n", "bits").join(asked, "doc").select("key", "doc", "n", "bits")
+    maps = maps.repartition("key").sortWithinPartitions("key", "doc")
+    asked = staged(arrow_map(maps, partial(_plausible, percent=percent), "key long, doc long"), "near-plausible")
+    bits = slim.sparkSession.sparkContext.broadcast(may_hold(asked.select("doc").distinct()))
+    texts = arrow_map(slim, partial(_held, bits=bits), "doc long, text string")
+    rows = texts.join(asked, "doc").select("key", "doc", "text").repartition("key").sortWithinPartitions("key", "doc")
+    return staged(arrow_map(rows, partial(_verify, size=size, percent=percent), "a long, b long"), "near-links")
+
+
+def _is_copied(batches, bits, copied):
+    """Rows whose digest may be one of several documents, or those whose digest cannot."""
+    for batch in batches:
+        ok = held(bits.value, batch.column("h").to_numpy()) == copied
+        if ok.any():
+            yield batch.filter(pa.array(ok)).drop_columns(["h"])
+
+
+def _classes(listed: DataFrame) -> DataFrame:
+    """``doc, n, ell, prefix`` of one document per set, the one with the smallest id.
+
+    Only sets that may have copies are shuffled with their prefixes.
+    """
+    key = F.xxhash64("digest")
+    copied = listed.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    bits = listed.sparkSession.sparkContext.broadcast(may_hold(copied.select(key.alias("h"))))
+    rows = listed.select(key.alias("h"), "digest", "doc", "n", "ell", "prefix")
+    schema = "digest binary, doc long, n int, ell int, prefix array<long>"
+    alone = arrow_map(rows, partial(_is_copied, bits=bits, copied=False), schema)
+    several = arrow_map(rows, partial(_is_copied, bits=bits, copied=True), schema)
+    first = several.groupBy("digest").agg(F.min(F.struct("doc", "n", "ell", "prefix")).alias("r"))
+    return alone.select("doc", "n", "ell", "prefix").unionByName(first.select("r.*"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -377,34 +480,47 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(slim, size))
     listed = staged(
-        arrow_map(slim, partial(_prefixes, size=size, percent=percent, levels=levels), "doc long, digest binary, n int, ell int, level int, last long, prefix array<long>"),
+        arrow_map(slim, partial(_prefixes, size=size, percent=percent, levels=levels), "doc long, digest binary, n int, ell int, level int, last long, bits binary, prefix array<long>"),
         "near-prefixes",
     )
     # One class per set: its smallest id stands for it, and copies are folded before they travel.
     named = (F.col("n") > 0) & (F.col("doc") != _NULL)
-    sets = listed.where(named).groupBy("digest").agg(
-        F.min(F.struct("doc", "n", "ell", "prefix")).alias("r")
-    )
-    postings = sets.select("r.doc", "r.n", "r.ell", F.explode("r.prefix").alias("token"))
+    sets = _classes(listed.where(named))
+    postings = sets.select("doc", "n", "ell", F.explode("prefix").alias("token"))
     postings = postings.select("token", "doc", "n", "ell").repartition("token").sortWithinPartitions("token", "doc")
     shared = staged(arrow_map(postings, _shared_lists, "token long, doc long, n int, ell int"), "near-postings")
     shared = staged(_bounded_lists(shared, listed.where(named), percent), "near-postings")
-    lists = shared.join(blocks(shared), "doc").select("token", "doc", "n", "ell", "most", "block", "level", "last")
+    # Families first: a text travels once, to its block, where it meets the leader of its family.
+    homes = staged(blocks(shared), "near-blocks")
+    at_home = homes.where("met = 1").select(F.col("block").alias("key"), "doc")
+    leaders = homes.where("met = 1").select(F.col("block").alias("key"), F.col("leader").alias("doc"))
+    at_home = staged(at_home.unionByName(leaders).distinct(), "near-homes")
+    links = _compared(slim, listed, at_home, size, percent)
+    # What is linked need not meet again: only lists with documents of several roots are looked at.
+    roots = components(links)
+    placed = homes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    lists = shared.join(placed.drop("leader"), "doc")
+    open_ = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c"))
+    open_ = open_.where("low <> high").select("token", F.ceil(F.col("c") / PIECE).cast("int").alias("pieces"))
+    lists = lists.join(open_, "token")
+    lists = lists.withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"))
+    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    lists = lists.withColumn("lo", F.least("piece", "other")).withColumn("hi", F.greatest("piece", "other")).select(
+        "token", "lo", "hi", "level", "last", *_MEMBER
+    )
     runs = arrow_map(
-        lists.repartition("token").sortWithinPartitions("token", "level", "last", "doc"), _runs,
-        "sig long, doc array<long>, n array<int>, ell array<int>, most array<int>, block array<long>, split int",
+        lists.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "level", "last", "doc"), _runs,
+        "sig long, doc array<long>, n array<int>, ell array<int>, most array<int>, block array<long>, root array<long>, "
+        "met array<int>, piece array<int>, cross int",
     )
     # Near copies share many shingles whose lists are equal: one row stands for all of them.
     merged = runs.groupBy("sig").agg(
-        *[F.first(c).alias(c) for c in ("doc", "n", "ell", "most", "block", "split")], F.count(F.lit(1)).alias("weight")
+        *[F.first(c).alias(c) for c in (*_MEMBER, "cross")], F.count(F.lit(1)).alias("weight")
     )
     meet = arrow_map(merged, partial(_meetings, percent=percent), "key long, doc long, need int, shared long")
     meet = meet.groupBy("key", "doc").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
     meet = staged(meet.select("key", "doc"), "near-meetings")
-    bits = spark.sparkContext.broadcast(may_hold(meet.select("doc").distinct()))
-    texts = arrow_map(slim, partial(_held, bits=bits), "doc long, text string")
-    rows = texts.join(meet, "doc").select("key", "doc", "text").repartition("key").sortWithinPartitions("key", "doc")
-    links = staged(arrow_map(rows, partial(_verify, size=size, percent=percent), "a long, b long"), "near-links")
+    links = links.unionByName(_compared(slim, listed, meet, size, percent))
     return _labelled(listed, components(links))
 
 

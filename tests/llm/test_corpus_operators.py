@@ -88,21 +88,62 @@ def test_near_groups(docs):
     assert rows_of(ngram_join.near_groups(docs), "doc_id", "n_shingles", "component_id") == want
 
 
-def test_near_groups_in_small_blocks_and_pieces(spark, monkeypatch):
-    rng = random.Random(3)
-    rows = []
-    for g in range(4):
+def families(groups, size, seed=3):
+    rng, rows = random.Random(seed), []
+    for g in range(groups):
         base = [f"w{g}_{i}" for i in range(120)]
-        for _ in range(30):
+        for _ in range(size):
             copy = list(base)
             for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 8])):
                 copy[rng.randrange(120)] = f"u{rng.random()}"
             rows.append((len(rows), " ".join(copy[: rng.choice([120, 120, 100, 90])])))
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 4)
+    return rows
+
+
+@pytest.mark.parametrize("block, piece", [(4, 1024), (4, 3), (192, 5)])
+def test_near_groups_in_small_blocks_and_pieces(spark, monkeypatch, block, piece):
+    rows = families(4, 30)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(ngram_join.near_groups(df), "doc_id", "n_shingles", "component_id") == near_brute(rows)
 
 
+@pytest.mark.parametrize("size", [200, 800])
+def test_texts_of_a_family_travel_a_bounded_number_of_times(spark, monkeypatch, size):
+    fetched, staged = [], ngram_join.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "near-plausible":
+            fetched.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(ngram_join, "staged", counted)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join([*base[:k % 90], f"own{k}", *base[k % 90 :]])) for k in range(size)]
+    got = ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).select("component_id").distinct()
+    assert got.collect() == [(0,)]
+    # Once, and their leader once more in each of the blocks.
+    assert sum(fetched) < 1.3 * size
+
+
+def test_bitmaps_bound_overlaps():
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[: rng.integers(0, 400)], rng.integers(1, 1 << 63, rng.integers(0, 150), dtype=np.uint64)]) for _ in range(60)]
+    sets = [s for s in sets if len(s)] + [base[:3], base[:4], base[:16], base[:15]]
+    sizes = np.array([len(s) for s in sets])
+    ok = ngram_join.may_link(np.arange(len(sets)), sizes, [ngram_join.bitmap(s) for s in sets], 75)
+    shared = ngram_join.overlaps(sets)
+    linked = 100 * shared >= 75 * (sizes[:, None] + sizes[None, :] - shared)
+    np.fill_diagonal(linked, False)
+    assert (ok | ~linked.any(axis=1)).all()
+    apart = [rng.integers(1, 1 << 63, 300, dtype=np.uint64) for _ in range(20)]
+    assert not ngram_join.may_link(np.arange(20), np.full(20, 300), [ngram_join.bitmap(s) for s in apart], 75).any()
+
+
 def test_contained_documents_link_whichever_prefix_ends_first(spark):
     """Isolated pairs at 0.75 to 0.9 where the larger one's own shingles are rarer, and pairs that ask for unequal matches."""
     words = lambda name, n: [f"{name}_{i}" for i in range(n)]
@@ -123,23 +164,6 @@ def test_contained_documents_link_whichever_prefix_ends_first(spark):
     assert rows_of(ngram_join.near_groups(df), "doc_id", "n_shingles", "component_id") == want
 
 
-def test_long_lists_are_cut_into_pieces_that_all_meet(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(ngram_join, "PIECE", 3)
-    n = 10
-    batch = pa.RecordBatch.from_pydict(
-        {"token": [7] * n, "doc": list(range(n)), "n": [9] * n, "ell": [1] * n, "most": [9] * n, "block": list(range(n))}
-    )
-    batch = batch.cast(pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("ell", pa.int32()), ("most", pa.int32()), ("block", pa.int64())]))
-    met = set()
-    for out in ngram_join._runs(iter([batch])):
-        for doc, split in zip(out.column("doc").to_pylist(), out.column("split").to_pylist()):
-            parts = (doc[:split], doc[split:]) if split else (doc, doc)
-            met |= {frozenset((a, b)) for a in parts[0] for b in parts[1] if a != b}
-    assert met == {frozenset((a, b)) for a in range(n) for b in range(a)}
-
-
 def test_near_drop_keeps_the_first_of_each_component(docs):
     roots = {(d, root) for d, _, root in near_brute([(r.doc_id, r.text) for r in docs.collect()])}
     kept = ngram_join.drop_near_copies(docs)
