@@ -30,8 +30,8 @@ from spendlake.llm.words import WordHasher, mix, shingle_sets
 
 SIZE, PERCENT = 5, 75
 #: Counters of the frequency estimate (its size and that of its broadcast are fixed by this, in bytes).
-CELLS = 1 << 20
-BLOCK = 1 << 12
+CELLS = 1 << 23
+BLOCK = 1 << 15
 #: Cost of verifying a candidate in posting-list entries, and how fast candidates fall with the share of a set asked for.
 VERIFY_COST, FALL = 200.0, 3.0
 
@@ -65,10 +65,10 @@ def _sketch(batches, size):
             held.append(s)
             length += len(s)
             if length > 1 << 18:
-                cells += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(cells, (np.concatenate(held) >> shift).astype(np.int64), 1)
                 held, length = [], 0
         if held:
-            cells += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            np.add.at(cells, (np.concatenate(held) >> shift).astype(np.int64), 1)
     if not cells.any():
         return
     parts = [zlib.compress(cells[k : k + BLOCK].tobytes(), 1) for k in range(0, CELLS, BLOCK)]
@@ -202,33 +202,44 @@ def _prefixes(batches, size, percent, levels):
         yield pa.RecordBatch.from_pydict({k: pa.array(v, _LISTS.field(k).type) for k, v in rows.items()}, schema=_LISTS)
 
 
-_POST = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("ell", pa.int32())])
+_POST = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("ell", pa.int32()), ("first", pa.int64())])
 
 
 def _shared_lists(batches):
-    """Of postings sorted by token, those of tokens with two or more of them."""
-    for part in _repeated(batches):
-        if len(part[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _POST)], schema=_POST)
-
-
-def _repeated(batches):
-    """Columns of the sorted postings whose token stands next to an equal one."""
-    held, seen = None, None  # the last row, not decided yet; the token of the last row, if that was passed on
+    """Of postings sorted by token and document, those of tokens that several documents have, with the first of these."""
+    token, first, held = None, None, []  # rows of the last token while they are of one document
     for batch in batches:
         cols = [batch.column(k).to_numpy() for k in ("token", "doc", "n", "ell")]
-        if held is not None:
-            cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
         if not len(cols[0]):
             continue
-        same = cols[0][1:] == cols[0][:-1]
-        keep = np.r_[cols[0][0] == seen if seen is not None else False, same] | np.r_[same, False]
-        if keep[-1]:
-            held, seen = None, cols[0][-1]
-            yield [c[keep] for c in cols]
+        start = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+        # The first document of every row's token, and whether the token has another one within this batch.
+        of = np.repeat(cols[1][start], np.diff(np.r_[start, len(cols[0])]))
+        several = np.maximum.reduceat((cols[1] != of).astype(np.int8), start).astype(bool)
+        keep = np.repeat(several, np.diff(np.r_[start, len(cols[0])]))
+        out = []
+        if cols[0][0] == token:
+            end = start[1] if len(start) > 1 else len(cols[0])
+            of[:end] = first
+            more = bool(held) is False or bool((cols[1][:end] != first).any())
+            keep[:end] = more
+            if more and held:
+                out += [[*h, np.full(len(h[0]), first)] for h in held]
+                held = []
         else:
-            held, seen = [c[-1:] for c in cols], None
-            yield [c[keep] for c in cols]
+            held = []
+        own = [c[keep] for c in (*cols, of)]
+        if len(own[0]):
+            out.append(own)
+        # Rows of the last token wait, unless it is known to have several documents.
+        if token != cols[0][-1]:
+            token, first, held = cols[0][-1], of[-1], []
+            if not keep[-1]:
+                held = [[c[start[-1] :] for c in cols]]
+        elif not keep[-1]:
+            held.append([c[start[-1] :] for c in cols])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), _POST)], schema=_POST)
 
 
 #: Members of one piece of a posting list; longer lists are cut, and every two pieces meet as a list of their own.
@@ -236,9 +247,9 @@ PIECE = 1024
 _RUN = pa.schema(
     [("sig", pa.int64()), ("doc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("ell", pa.list_(pa.int32())),
      ("most", pa.list_(pa.int32())), ("block", pa.list_(pa.int64())), ("root", pa.list_(pa.int64())),
-     ("met", pa.list_(pa.int32())), ("piece", pa.list_(pa.int32())), ("cross", pa.int32())]
+     ("home", pa.list_(pa.int64())), ("met", pa.list_(pa.int32())), ("piece", pa.list_(pa.int32())), ("cross", pa.int32())]
 )
-_MEMBER = ("doc", "n", "ell", "most", "block", "root", "met", "piece")
+_MEMBER = ("doc", "n", "ell", "most", "block", "root", "home", "met", "piece")
 
 
 def _runs(batches):
@@ -302,17 +313,17 @@ def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _meetings(batches, percent):
     """Per run and member the blocks that hold a possible partner, and the least matches a partner there asks for.
 
-    Members of one root are linked already, and members of one block that both met there have been compared.
+    Members of one root are linked already, and members of one home that both met meet without lists.
     """
     for batch in batches:
         columns, out = [batch.column(k) for k in _MEMBER], []
         for row, (cross, weight) in enumerate(zip(batch.column("cross").to_pylist(), batch.column("weight").to_pylist())):
-            doc, n, ell, most, block, root, met, piece = (np.asarray(c[row].values).astype(np.int64) for c in columns)
+            doc, n, ell, most, block, root, home, met, piece = (np.asarray(c[row].values).astype(np.int64) for c in columns)
             alpha = least_overlap(n[:, None], n[None, :], percent)
             # The prefix that ends first is that of the earlier member; only its document's bound holds.
             first = np.minimum(np.arange(len(doc))[:, None], np.arange(len(doc))[None, :])
             ok = (root[:, None] != root[None, :]) & (alpha <= most[first])
-            ok &= (block[:, None] != block[None, :]) | (met[:, None] & met[None, :] == 0)
+            ok &= (home[:, None] != home[None, :]) | (met[:, None] & met[None, :] == 0)
             if cross:
                 ok &= piece[:, None] != piece[None, :]
             # What two prefixes share, and all that stands behind the one that ends first, bounds the overlap.
@@ -418,9 +429,7 @@ def blocks(postings: DataFrame) -> DataFrame:
     That first document leads the family and all its blocks. ``met`` is 1 for documents that share as many shingles
     with their leader as their prefix asks for: these are worth comparing at once.
     """
-    first = postings.groupBy("token").agg(F.min("doc").alias("first"))
-    shares = postings.join(first, "token")
-    met = shares.groupBy("doc", "first").agg(F.count(F.lit(1)).alias("c"), F.max("ell").alias("ell"))
+    met = postings.groupBy("doc", "first").agg(F.count(F.lit(1)).alias("c"), F.max("ell").alias("ell"))
     family = met.groupBy("doc").agg(F.max(F.struct("c", "first", "ell")).alias("f"))
     family = family.select("doc", F.col("f.first").alias("leader"), (F.col("f.c") >= F.col("f.ell")).cast("int").alias("met"))
     parts = family.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
@@ -429,8 +438,8 @@ def blocks(postings: DataFrame) -> DataFrame:
     return rows.select("doc", part.alias("block"), "leader", "met")
 
 
-def _compared(slim: DataFrame, listed: DataFrame, asked: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links that span what the documents of each key of ``asked`` (``key, doc``) have.
+def _compared(slim: DataFrame, listed: DataFrame, asked: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that span what the documents of each key of ``asked`` (``key, doc``) have, and the rows that may have any.
 
     Bitmaps meet first, at a tenth of the bytes; texts are fetched for documents that may link with one of their key.
     """
@@ -440,7 +449,44 @@ def _compared(slim: DataFrame, listed: DataFrame, asked: DataFrame, size: int, p
     bits = slim.sparkSession.sparkContext.broadcast(may_hold(asked.select("doc").distinct()))
     texts = arrow_map(slim, partial(_held, bits=bits), "doc long, text string")
     rows = texts.join(asked, "doc").select("key", "doc", "text").repartition("key").sortWithinPartitions("key", "doc")
-    return staged(arrow_map(rows, partial(_verify, size=size, percent=percent), "a long, b long"), "near-links")
+    return staged(arrow_map(rows, partial(_verify, size=size, percent=percent), "a long, b long"), "near-links"), asked
+
+
+#: A family is close where one in so many of its members may link with another member of its block.
+CLOSE = 8
+
+
+def _close_families(homes: DataFrame, plausible: DataFrame, roots: DataFrame) -> DataFrame:
+    """``doc, block, met, root, home``: members within one ``home`` that both met need no list to meet.
+
+    That is a block, or a whole family of several blocks if it is close: its lists would hold all its members.
+    """
+    hopeful = homes.join(plausible.select("doc").distinct().withColumn("hopeful", F.lit(1)), "doc", "left")
+    close = hopeful.where("met = 1").groupBy("leader").agg(
+        F.count(F.lit(1)).alias("c"), F.count("hopeful").alias("h"), F.min("block").alias("low"), F.max("block").alias("high")
+    ).where((F.col("low") != F.col("high")) & (CLOSE * F.col("h") >= F.col("c")))
+    placed = homes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    placed = spread_join(placed, close.select("leader", F.lit(True).alias("close")), ["leader"], F.xxhash64("doc"), "left")
+    home = F.when(F.col("close"), F.xxhash64("leader", F.lit("family"))).otherwise(F.col("block"))
+    return placed.select("doc", "leader", "block", "met", "root", "close", home.alias("home"))
+
+
+def _rest_of_families(placed: DataFrame) -> DataFrame:
+    """``key, doc`` of close families: members outside the family's largest component meet every block.
+
+    Members of that component are linked already, so a family that one leader has linked is not compared again.
+    """
+    members = placed.where("met = 1 AND close")
+    main = members.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    members = staged(spread_join(members, main, ["leader"], F.xxhash64("doc"), "inner").select("doc", "leader", "block", F.expr("root <> main").alias("open")), "near-families")
+    parts = members.where("open").groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("parts"))
+    known = spread_join(members, parts, ["leader"], F.xxhash64("doc"), "inner")
+    key = lambda part: F.xxhash64(F.lit("rest"), "block", part)
+    all_ = known.select("block", "doc", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    open_ = known.where("open").select("leader", "doc", F.pmod(F.xxhash64("doc", F.lit("part")), F.col("parts")).cast("int").alias("part"))
+    blocks_ = members.select("leader", "block").distinct()
+    met = open_.join(blocks_, "leader").select("block", "doc", "part")
+    return all_.unionByName(met).select(key(F.col("part")).alias("key"), "doc").distinct()
 
 
 def _is_copied(batches, bits, copied):
@@ -488,20 +534,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = _classes(listed.where(named))
     postings = sets.select("doc", "n", "ell", F.explode("prefix").alias("token"))
     postings = postings.select("token", "doc", "n", "ell").repartition("token").sortWithinPartitions("token", "doc")
-    shared = staged(arrow_map(postings, _shared_lists, "token long, doc long, n int, ell int"), "near-postings")
-    shared = staged(_bounded_lists(shared, listed.where(named), percent), "near-postings")
+    shared = staged(arrow_map(postings, _shared_lists, "token long, doc long, n int, ell int, first long"), "near-postings")
     # Families first: a text travels once, to its block, where it meets the leader of its family.
     homes = staged(blocks(shared), "near-blocks")
     at_home = homes.where("met = 1").select(F.col("block").alias("key"), "doc")
     leaders = homes.where("met = 1").select(F.col("block").alias("key"), F.col("leader").alias("doc"))
     at_home = staged(at_home.unionByName(leaders).distinct(), "near-homes")
-    links = _compared(slim, listed, at_home, size, percent)
+    links, plausible = _compared(slim, listed, at_home, size, percent)
     # What is linked need not meet again: only lists with documents of several roots are looked at.
-    roots = components(links)
-    placed = homes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    lists = shared.join(placed.drop("leader"), "doc")
-    open_ = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c"))
-    open_ = open_.where("low <> high").select("token", F.ceil(F.col("c") / PIECE).cast("int").alias("pieces"))
+    placed = staged(_close_families(homes, plausible, components(links)), "near-places")
+    facts = _bounds(shared, listed.where(named), percent).join(placed.drop("leader", "close"), "doc")
+    lists = shared.drop("first").join(facts, ["doc", "n", "ell"])
+    open_ = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c"),
+                                         F.min("home").alias("from"), F.max("home").alias("to"), F.min("met").alias("met"))
+    open_ = open_.where("low <> high AND (from <> to OR met = 0)").select("token", F.ceil(F.col("c") / PIECE).cast("int").alias("pieces"))
     lists = lists.join(open_, "token")
     lists = lists.withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -511,7 +557,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = arrow_map(
         lists.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "level", "last", "doc"), _runs,
         "sig long, doc array<long>, n array<int>, ell array<int>, most array<int>, block array<long>, root array<long>, "
-        "met array<int>, piece array<int>, cross int",
+        "home array<long>, met array<int>, piece array<int>, cross int",
     )
     # Near copies share many shingles whose lists are equal: one row stands for all of them.
     merged = runs.groupBy("sig").agg(
@@ -519,27 +565,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     meet = arrow_map(merged, partial(_meetings, percent=percent), "key long, doc long, need int, shared long")
     meet = meet.groupBy("key", "doc").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
-    meet = staged(meet.select("key", "doc"), "near-meetings")
-    links = links.unionByName(_compared(slim, listed, meet, size, percent))
+    meet = staged(meet.select("key", "doc").unionByName(_rest_of_families(placed)), "near-meetings")
+    links = links.unionByName(_compared(slim, listed, meet, size, percent)[0])
     return _labelled(listed, components(links))
 
 
-def _bounded_lists(lists: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
-    """Postings that another document shares, with where their document's prefix ends (``level, last``) and ``most``.
+def _bounds(lists: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """Per document of the lists where its prefix ends (``level, last``) and ``most``.
 
     A prefix shingle that no other prefix holds is in no document whose prefix ends later, but one whose prefix ends
     earlier may hold it behind that. So ``most``, which leaves such shingles out, bounds the overlap with the former only.
     Rows that share an id, a size and a number of matches take the first and the last of their ends.
     """
-    mixed = lists.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("token")
-    rows = lists.join(mixed, "token", "left_semi")
     # A prefix has n - least + ell shingles; behind it are least - ell.
     most = F.ceil(F.col("n") * percent / 100) - F.col("ell") + F.count(F.lit(1))
-    bounds = rows.groupBy("doc", "n", "ell").agg(most.cast("int").alias("most"))
+    bounds = lists.groupBy("doc", "n", "ell").agg(most.cast("int").alias("most"))
     end = F.struct("level", "last")
     ends = listed.groupBy("doc", "n", "ell").agg(F.array_distinct(F.array(F.min(end), F.max(end))).alias("ends"))
     bounds = bounds.join(ends, ["doc", "n", "ell"]).select("doc", "n", "ell", "most", F.explode("ends").alias("end"))
-    return rows.join(bounds, ["doc", "n", "ell"]).select("token", "doc", "n", "ell", "most", "end.level", "end.last")
+    return bounds.select("doc", "n", "ell", "most", "end.level", "end.last")
 
 
 def _labelled(listed: DataFrame, comp: DataFrame) -> DataFrame:
