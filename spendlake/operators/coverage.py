@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.functions import calendar as cal
@@ -29,6 +29,32 @@ def missing_windows(windows: DataFrame, coverage: DataFrame) -> DataFrame:
     return windows.join(coverage, ["source", "month"], "left_anti")
 
 
+def merged_ranges(loads: DataFrame) -> DataFrame:
+    """Loaded day ranges (source, start, end, both inclusive) united: ranges that touch or overlap become one.
+
+    Of the loads that start on one day the longest stays, so a source has no more rows to order than it has days.
+    """
+    longest = loads.where(F.col("start") <= F.col("end")).groupBy("source", "start").agg(F.max("end").alias("end"))
+    order = Window.partitionBy("source").orderBy("start")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = longest.withColumn("_new", F.coalesce(F.col("start") > F.date_add(reached, 1), F.lit(True)).cast("int"))
+    numbered = fresh.withColumn("_island", F.sum("_new").over(order))
+    return numbered.groupBy("source", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
+def uncovered_ranges(requests: DataFrame, merged: DataFrame, key: str) -> DataFrame:
+    """(key, source, gap_start, gap_end): days of each request (key, source, start, end) that no merged range covers."""
+    loaded = merged.select("source", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    touching = (F.col("_s") <= F.col("end")) & (F.col("_e") >= F.col("start"))
+    met = requests.join(loaded, "source").where(touching).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_s", "_e"))).alias("_met"))
+    known = requests.join(met, key, "left").withColumn("_met", F.coalesce("_met", F.array().cast("array<struct<_s:date,_e:date>>")))
+    # A gap lies between what ends before it and what starts after it; the request's own ends count as such.
+    begins = F.concat(F.array("start"), F.transform("_met", lambda m: F.date_add(m["_e"], 1)))
+    ends = F.concat(F.transform("_met", lambda m: F.date_sub(m["_s"], 1)), F.array("end"))
+    gaps = F.filter(F.arrays_zip(begins.alias("gap_start"), ends.alias("gap_end")), lambda g: g["gap_start"] <= g["gap_end"])
+    return known.select(key, "source", F.inline(gaps))
+
+
 def coverage_by_request(windows: DataFrame, coverage: DataFrame, key: str) -> DataFrame:
     """Per request: number of windows, number missing, and whether none is."""
     loaded = coverage.withColumn("_loaded", F.lit(True))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlake.functions.calendar import local_day
 from spendlake.functions.text import _col, collapse_spaces
+from spendlake.session import staged
+from spendlake.streaming.commits import CommittedTable
 
 # Order of the parts of a fingerprint.
 PARTS = ("company", "agency", "keyword", "source", "dateType", "lookback", "start", "end")
@@ -46,3 +50,20 @@ def resume_points(requests: DataFrame, checkpoints: DataFrame) -> DataFrame:
     inside = (F.col("checkpoint") > F.col("start")) & (F.col("checkpoint") < F.col("end"))
     return joined.withColumn("search_start", F.when(inside, F.col("checkpoint")).otherwise(F.col("start")))
 
+
+SAVED = ("snapshot_day", "query_key")
+
+
+def fill(spark: SparkSession, store: CommittedTable, requests: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> int:
+    """Compute and store the results of the requests whose (day, fingerprint) is not stored yet; returns how many.
+
+    ``requests`` may hold one fingerprint several times; ``compute`` gets each of the missing ones once.
+    """
+    known = store.read(spark).select(*SAVED)
+    asked = requests.dropDuplicates(list(SAVED))
+    missing = staged(asked.join(known, list(SAVED), "left_anti").select(*requests.columns), "missing-results")
+    count = missing.count()
+    if count:
+        number = max((r["number"] for r in store.commits(spark)), default=-1) + 1
+        store.append(compute(missing), number)
+    return count

@@ -400,7 +400,7 @@ UNION ALL SELECT 'res-' || p_partkey || 'b', 'http://files.example.test/' || p_p
 UNION ALL SELECT 'res-' || p_partkey || 'b', 'xlsx' FROM part""",
     "csv_header_mapping": f"""WITH {NOTICES}, f AS (SELECT *, l_linenumber % 3 AS layout,
     'fy-' || fy || '-' || (l_linenumber % 3) || '.csv' AS raw_file FROM notices)
-SELECT CASE WHEN layout < 2 THEN contract_id ELSE '|' || ' ' || supplier || ' | ' || title END AS contract_id, supplier,
+SELECT CASE WHEN layout < 2 THEN contract_id ELSE '| ' || supplier || ' | ' || title END AS contract_id, supplier,
   CASE layout WHEN 0 THEN agency ELSE 'Department of Works' END AS agency,
   title, CAST(amount AS DOUBLE) AS amount, release_day AS release_date,
   raw_file || '#' || (l_orderkey * 8 + l_linenumber + 30) AS release_id, raw_file, month FROM f""",
@@ -416,7 +416,7 @@ SELECT contract_id, CASE WHEN amount > 40000 THEN supplier || ', Joint Co' ELSE
   CAST(amount AS DOUBLE) AS amount, release_day AS release_date, source, contract_id AS release_id, CAST(NULL AS DATE) AS contract_end FROM p""",
     "all_sources_total": f"""WITH {NOTICES}, {_RELEASED},
 federal AS (SELECT amount FROM released WHERE bad IS NULL),
-qld AS (SELECT DISTINCT CASE WHEN l_linenumber % 3 < 2 THEN contract_id ELSE '|' || ' ' || supplier || ' | ' || title END AS c,
+qld AS (SELECT DISTINCT CASE WHEN l_linenumber % 3 < 2 THEN contract_id ELSE '| ' || supplier || ' | ' || title END AS c,
     release_day, amount FROM notices),
 listed AS (SELECT source, amount FROM (SELECT *, CASE WHEN source = 'nsw' AND amount <= 50000 THEN release_id ELSE contract_id END AS c
     FROM notices WHERE source IN ('nsw', 'vic', 'sa', 'wa') AND (source <> 'vic' OR length(contract_id) >= 4))
@@ -456,3 +456,54 @@ old AS (SELECT source, contract_id, min(release_date) AS first_date FROM notices
 SELECT source, contract_id, release_id, CAST(amount AS DOUBLE) AS amount, release_day AS release_date,
   release_date > first_date AS is_update FROM best JOIN old USING (source, contract_id)""",
 }
+
+SQL["stream_load_resume"] = SQL["ocds_notices"]
+SQL["stream_late_amendment"] = SQL["stream_latest_version"]
+SQL["stream_update_events"] = f"""WITH {NOTICES},
+e AS (SELECT source, contract_id, release_id, amount, release_date, release_day, CAST((9 - l_linenumber) % 3 AS BIGINT) AS batch FROM notices),
+p AS (SELECT *, max(release_date) OVER (PARTITION BY source, contract_id ORDER BY batch
+  RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM e),
+a AS (SELECT * FROM p WHERE newest IS NULL OR release_date > newest
+  QUALIFY row_number() OVER (PARTITION BY source, contract_id, batch, release_date ORDER BY release_id, amount) = 1)
+SELECT source, contract_id, release_id, CAST(amount AS DOUBLE) AS amount, row_number() OVER turn > 1 AS is_update,
+  lag(release_id) OVER turn AS replaced_release, CAST(lag(amount) OVER turn AS DOUBLE) AS replaced_amount, release_day AS release_date, batch
+FROM a WINDOW turn AS (PARTITION BY source, contract_id ORDER BY batch, release_date)"""
+SQL["lake_file_pruned"] = f"""WITH {NOTICES}
+SELECT release_id, supplier, agency, CAST(amount AS DOUBLE) AS amount, fy, month FROM notices
+WHERE contains(lower(supplier), 'supplier#00000000') AND agency = 'Department of MACHINERY' AND source = 'qld'
+  AND release_day BETWEEN DATE '1997-08-01' AND DATE '1999-12-31'"""
+SQL["csv_file_scan"] = f"""WITH {NOTICES}
+SELECT contract_id, supplier, agency,
+  title || CASE WHEN l_linenumber % 2 = 0 THEN chr(10) || 'second "line";' || chr(9) || 'and, more' ELSE '' END AS title,
+  CAST(amount AS DOUBLE) AS amount, release_day AS release_date, month FROM notices"""
+SQL["portal_rejects"] = f"""WITH {NOTICES},
+p AS (SELECT contract_id, unnest(['nsw', 'vic', 'sa', 'wa']) AS source, unnest(['search?n=', 'list/', 'search?p=', 'wa?n=']) AS folder, release_id FROM notices),
+u AS (SELECT *, length('https://portal.example.test/' || folder || release_id) % 7 = 0 AS blocked FROM p)
+SELECT source, 'challenge page' AS reason, count(*) AS rows FROM u WHERE blocked GROUP BY source
+UNION ALL SELECT 'vic', 'unlikely contract id', count(*) + count(*) FILTER (WHERE length(contract_id) < 4) FROM u WHERE NOT blocked AND source = 'vic'
+UNION ALL SELECT 'sa', 'no contract id', count(*) FROM u WHERE NOT blocked AND source = 'sa'"""
+SQL["coverage_gaps"] = f"""WITH {NOTICES}, {_REQUESTS},
+loads AS (SELECT source, contract_id, min(release_day) AS d FROM notices GROUP BY ALL HAVING count(*) = 7),
+loaded AS (SELECT DISTINCT source, d + CAST(unnest(range(7)) AS INTEGER) AS day FROM loads),
+need AS (SELECT request_id, source, CAST(unnest(generate_series(d1, d2, INTERVAL 1 DAY)) AS DATE) AS day FROM requests),
+missing AS (SELECT * FROM need ANTI JOIN loaded USING (source, day)),
+islands AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY request_id ORDER BY day) AS INTEGER) AS island FROM missing)
+SELECT request_id, source, min(day) AS gap_start, max(day) AS gap_end FROM islands GROUP BY request_id, source, island"""
+SQL["manifest_changes"] = """SELECT CAST(page_id AS VARCHAR) AS path,
+  CASE length(html) % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'same' END AS change FROM pages
+UNION ALL SELECT 'gone-' || page_id, 'gone' FROM pages WHERE length(html) % 5 = 2"""
+SQL["ordered_notices"] = f"""WITH {NOTICES}
+SELECT row_number() OVER (ORDER BY release_date, contract_id, release_id, source, amount) AS position, contract_id, release_id,
+  release_day AS release_date FROM notices"""
+SQL["load_progress"] = f"""WITH {NOTICES}, {_RELEASED}
+SELECT count(*) AS read, count(*) FILTER (WHERE bad IS NULL) AS accepted, count(*) FILTER (WHERE bad IS NOT NULL) AS rejected,
+  CAST(0 AS BIGINT) AS undated FROM released WHERE bad IS DISTINCT FROM 'error page'"""
+SQL["daily_snapshot_reuse"] = f"""WITH {NOTICES}, asked AS (SELECT DISTINCT lower(c_mktsegment) AS a FROM customer),
+hits AS (SELECT a, notices.* FROM asked JOIN notices ON contains(lower(agency), a)
+  WHERE source = 'qld' AND release_day BETWEEN DATE '1997-07-01' AND DATE '1998-06-30'),
+best AS ({latest('hits', 'a, source, contract_id')})
+SELECT DATE '2024-03-01' AS snapshot_day,
+  'day=2024-03-01|company=|agency=' || a || '|keyword=|source=qld|dateType=|lookback=|start=1997-07-01|end=1998-06-30' AS query_key,
+  count(contract_id) AS contracts, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total_spend,
+  CAST(CASE WHEN a < 'g' THEN 0 ELSE 1 END AS BIGINT) AS run, CAST(0 AS BIGINT) AS computed_by_last_run
+FROM asked LEFT JOIN best USING (a) GROUP BY a"""

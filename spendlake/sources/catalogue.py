@@ -61,3 +61,17 @@ def stale_resources(found: DataFrame, manifest: DataFrame) -> DataFrame:
 def content_manifest(files: DataFrame) -> DataFrame:
     """Manifest rows (path, size, sha-256) of a ``binaryFile`` scan."""
     return files.select("path", "length", F.sha2("content", 256).alias("content_hash"), "modificationTime")
+
+
+def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, change, content_hash, old_hash) of two manifests: ``new``, ``changed``, ``gone`` or ``same``.
+
+    The content decides, so a file that was only touched is the same. Paths are unique in a manifest.
+    """
+    a = old.select("path", F.col("content_hash").alias("old_hash"))
+    both = a.join(new.select("path", "content_hash"), "path", "full")
+    change = (
+        F.when(F.col("old_hash").isNull(), "new").when(F.col("content_hash").isNull(), "gone")
+        .when(F.col("old_hash") != F.col("content_hash"), "changed").otherwise("same")
+    )
+    return both.select("path", change.alias("change"), "content_hash", "old_hash")

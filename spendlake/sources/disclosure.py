@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import sys
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +10,10 @@ from spendlake.functions.money import parse_money
 from spendlake.functions.text import blank_to_null, collapse_spaces, strip
 from spendlake.operators.versions import keep_first
 from spendlake.session import staged
+from spendlake.sources.csv_cells import CELLS_SCHEMA, read_cells
 from spendlake.sources.notice import finish
 
-CELLS_SCHEMA = "file string, row_no long, cells array<string>"
+__all__ = ["CELLS_SCHEMA", "read_cells"]
 
 # Header texts of each field, in order of preference.
 HEADERS = {
@@ -39,35 +34,6 @@ HEADERS = {
 BARE_REFERENCE = "contract"
 
 
-def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    csv.field_size_limit(sys.maxsize)
-    schema = pa.schema([("file", pa.string()), ("row_no", pa.int64()), ("cells", pa.list_(pa.string()))])
-    for batch in batches:
-        for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-            text = content.decode("utf-8", errors="replace")
-            first = next((r for r in csv.reader(io.StringIO(text, newline="")) if r), [])
-            only = first[0] if len(first) == 1 else ""
-            mark = ";" if ";" in only else "\t" if "\t" in only else ","
-            rows: list[dict] = []
-            records = (r for r in csv.reader(io.StringIO(text, newline=""), delimiter=mark) if r)
-            for row_no, cells in enumerate(records, start=1):
-                rows.append({"file": path, "row_no": row_no, "cells": cells})
-                if len(rows) == 10_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of every CSV file as (file, row_no, cells); the delimiter is sniffed per file.
-
-    Quoted cells may hold line breaks, so a file is read by one task; many files spread over all
-    tasks.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_cells_of, CELLS_SCHEMA)
-
-
 def staged_cells(spark: SparkSession, path: str) -> DataFrame:
     """``read_cells`` written out once.
 

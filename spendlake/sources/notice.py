@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spendlake.functions import calendar as cal
@@ -52,6 +53,22 @@ def reject_report(df: DataFrame) -> DataFrame:
     )
 
 
+def observed_load(df: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Hand the accepted rows to ``write`` and return what was counted on the way.
+
+    The counts are taken in the pass that writes, so the load reads its input once.
+    """
+    seen = Observation()
+    good = F.col("reject_reason").isNull()
+    counted = df.observe(
+        seen, F.count(F.lit(1)).alias("read"), F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected"),
+        F.count_if(good & F.col("release_date").isNull()).alias("undated"),
+    )
+    write(accepted(counted))
+    found = seen.get
+    return {name: int(found[name]) for name in ("read", "accepted", "rejected", "undated")}
+
+
 def first_listed(df: DataFrame) -> DataFrame:
     """One row per contract id of a portal load: the first by page and row."""
     return keep_first(df, ("source", "contract_id"), ("page", F.col("raw_file")), ("row", F.col("raw_row")))
