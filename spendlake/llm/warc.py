@@ -2,14 +2,17 @@
 
 An archive begins with a skippable frame that holds the dictionary, itself compressed if that is smaller. Every record
 is one frame that names its content size. The reader loads the dictionary, decodes frame after frame and checks each
-record: version line, mandatory headers, content length, block and payload digests.
+record: version line, mandatory headers, dates, ids, content length, block and payload digests. The first record of an
+archive says how many follow, so an archive that was cut between two frames is noticed.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
+from datetime import datetime
 from functools import partial
 
 import pyarrow as pa
@@ -27,6 +30,8 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConte
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 DATE = "1970-01-01T00:00:00Z"
+DATE_FORM = re.compile(r"([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.[0-9]{1,9})?Z")
+ID_FORM = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]*:[^\s<>]+>")
 
 #: Pages and bytes the dictionary is trained from, at most, its size, and bytes after which an archive is closed.
 TRAIN_PAGES, TRAIN_BYTES, DICT_BYTES, ARCHIVE_BYTES = 400, 16 << 10, 64 << 10, 8 << 20
@@ -36,6 +41,13 @@ class BadRecord(ValueError):
     """A frame or record that breaks the format."""
 
 
+def number(text: str) -> int:
+    """A decimal number of ASCII digits; what an archive says is taken literally."""
+    if not re.fullmatch("-?[0-9]{1,18}", text):
+        raise BadRecord(f"{text[:40]!r} is no number")
+    return int(text)
+
+
 def digest(data: bytes) -> str:
     """Base32 SHA-1, upper case."""
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -111,10 +123,15 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     for name in MANDATORY:
         if name.lower() not in headers:
             raise BadRecord(f"header {name} is missing")
-    if not headers["content-length"].isdigit():
-        raise BadRecord("content length is no number")
-    n = int(headers["content-length"])
-    if len(rest) != n + 4 or rest[n:] != CRLF + CRLF:
+    if not ID_FORM.fullmatch(headers["warc-record-id"]):
+        raise BadRecord("record id is no URI in angle brackets")
+    date = DATE_FORM.fullmatch(headers["warc-date"])
+    try:
+        datetime.fromisoformat(date[1] if date else "")
+    except ValueError:
+        raise BadRecord("date is no UTC time") from None
+    n = number(headers["content-length"])
+    if n < 0 or len(rest) != n + 4 or rest[n:] != CRLF + CRLF:
         raise BadRecord("block length differs from the content length")
     block = rest[:n]
     if (named := headers.get("warc-block-digest")) and named != f"sha1:{digest(block)}":
@@ -129,7 +146,7 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
         raise BadRecord("response without an HTTP head")
     for line in http.split(CRLF)[1:]:
         name, _, value = line.partition(b":")
-        if name.strip().lower() == b"content-length" and int(value) != len(body):
+        if name.strip().lower() == b"content-length" and number(value.strip().decode("latin-1")) != len(body):
             raise BadRecord("HTTP content length differs")
     if headers.get("warc-payload-digest") != f"sha1:{digest(body)}":
         raise BadRecord("payload digest differs")
@@ -156,6 +173,10 @@ def _write(batches, folder, dictionary, archive_bytes):
 
         def write(out):
             archive = Writer(out, dictionary.value)
+            archive.record(
+                [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(None, path)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")],
+                b"records: %d\r\n" % len(held),
+            )
             for page, url, payload, first, of in held:
                 name = "null" if page is None else str(page)
                 body_digest = f"sha1:{digest(payload)}"
@@ -203,9 +224,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     groups = rows.where("long").groupBy("sha").agg(F.max("page_id").alias("of"), F.count(F.lit(1)).alias("c")).where("c > 1")
     rows = spread_join(rows, groups.select("sha", "of", F.lit(True).alias("shared")), ["sha"], F.xxhash64("page_id"))
     first = ~(F.coalesce("shared", F.lit(False)) & F.col("long")) | F.col("page_id").eqNullSafe(F.col("of"))
+    # Which pages are sampled follows from their hashes, so the archives of a table are the same in every run.
     full = pages.where("length(html) > 0").select(F.substring("html", 1, TRAIN_BYTES).alias("cut"), F.xxhash64("page_id", "url").alias("order"))
     classes = max(1, full.count() // TRAIN_PAGES)
-    cut = full.where(F.pmod("order", F.lit(classes)) == 0).limit(2 * TRAIN_PAGES).collect()
+    cut = full.where(F.pmod("order", F.lit(classes)) == 0).orderBy("order", "cut").limit(2 * TRAIN_PAGES).collect()
     samples = sorted(r["cut"].encode()[:TRAIN_BYTES] for r in cut)
     dictionary = spark.sparkContext.broadcast(train_dictionary(samples))
     write = partial(_write, folder=folder, dictionary=dictionary, archive_bytes=archive_bytes)
@@ -220,29 +242,36 @@ _PAGES = pa.schema(
 
 def _page(record: bytes) -> dict:
     headers, block = parse(record)
-    number = lambda name: None if headers.get(name, "null") == "null" else int(headers[name])
+    told = lambda name: None if headers.get(name, "null") == "null" else number(headers[name])
     kind = headers["warc-type"]
-    row = {"page_id": number("x-page-id"), "url": headers.get("warc-target-uri"), "record_type": kind, "refers_to": number("x-refers-to-page-id")}
+    if kind == "warcinfo":
+        fields = dict(line.split(b":", 1) for line in block.split(CRLF) if b":" in line)
+        return {"record_type": kind, "records": number(fields.get(b"records", b"").strip().decode("latin-1"))}
+    row = {"page_id": told("x-page-id"), "url": headers.get("warc-target-uri"), "record_type": kind, "refers_to": told("x-refers-to-page-id")}
     named = headers.get("warc-payload-digest", "")
     if kind == "response":
         body = payload_of(headers, block)
-        if (told := number("x-payload-length")) is not None and told != len(body):
+        if (length := told("x-payload-length")) is not None and length != len(body):
             raise BadRecord("payload length differs")
         return row | {"payload": body, "payload_bytes": len(body), "payload_digest": named.removeprefix("sha1:")}
-    return row | {"payload": None, "payload_bytes": number("x-payload-length"), "payload_digest": named.removeprefix("sha1:")}
+    return row | {"payload": None, "payload_bytes": told("x-payload-length"), "payload_digest": named.removeprefix("sha1:")}
 
 
 def _read(batches, payloads):
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows, size, place = [], 0, 0
-            records = frames(memoryview(content.as_buffer()))
+            rows, size, place, records = [], 0, 0, None
+            found = frames(memoryview(content.as_buffer()))
             while True:
                 row = dict.fromkeys(_PAGES.names) | {"path": path, "place": place}
                 try:
-                    record = next(records)
+                    record = next(found)
                     size += len(record)
-                    row |= _page(record)
+                    read = _page(record)
+                    if read["record_type"] == "warcinfo":
+                        records = read["records"]
+                        continue
+                    row |= read
                 except StopIteration:
                     break
                 except (BadRecord, zstandard.ZstdError, UnicodeDecodeError) as wrong:
@@ -254,6 +283,8 @@ def _read(batches, payloads):
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema=_PAGES)
                     rows, size = [], 0
+            if records is not None and records != place:
+                rows.append(dict.fromkeys(_PAGES.names) | {"path": path, "place": place, "error": f"{place} of {records} records"})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_PAGES)
 
@@ -262,7 +293,7 @@ def read_archives(spark, folder: str, payloads: bool = True) -> DataFrame:
     """One row per record of the archives under ``folder``; ``error`` says what a record breaks, else it is null.
 
     After a broken frame the rest of its archive cannot be found and is missing; a broken record in a whole frame
-    costs only itself.
+    costs only itself. An archive that holds another number of records than it says ends with a row that says so.
     """
     files = tuned(spark).read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     schema = (

@@ -353,6 +353,45 @@ def test_broken_records_are_refused(raw):
         warc.parse(raw)
 
 
+def page_record(extra=(), block=None, **changed):
+    body = b"<p>x</p>"
+    block = warc.HTTP_HEAD % len(body) + body if block is None else block
+    own = {"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2020-01-01T00:00:00Z", "X-Page-ID": "7",
+           "WARC-Payload-Digest": f"sha1:{warc.digest(body)}"}
+    return [*(own | {k.replace("_", "-"): v for k, v in changed.items()}).items(), *extra], block
+
+
+@pytest.mark.parametrize("headers, block", [
+    page_record(X_Page_ID="x7"), page_record(X_Page_ID="٣"), page_record(X_Page_ID="1" * 30), page_record(WARC_Date="not a date"),
+    page_record(WARC_Date="2020-13-01T00:00:00Z"), page_record(WARC_Record_ID="x"), page_record(block=b"HTTP/1.1 200 OK\r\nContent-Length: abc\r\n\r\n<p>x</p>"),
+    page_record(block="HTTP/1.1 200 OK\r\nContent-Length: ٨\r\n\r\n<p>x</p>".encode()), page_record(block=b"no head"), page_record([("X-Payload-Length", "9")]),
+    page_record(WARC_Type="warcinfo", block=b"records: many\r\n"),
+])
+def test_a_broken_record_costs_only_itself(headers, block):
+    import pyarrow as pa
+
+    good = page_record()
+    data = archive([good, (headers, block), good])
+    rows = [r for b in warc._read(iter([pa.RecordBatch.from_pydict({"path": ["a"], "content": [data]})]), True) for r in b.to_pylist()]
+    assert [r["page_id"] for r in rows] == [7, None, 7] and [r["error"] is None for r in rows] == [True, False, True]
+
+
+def test_content_length_is_ascii_digits():
+    raw = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: ٣\r\n\r\nabc\r\n\r\n".encode()
+    with pytest.raises(warc.BadRecord):
+        warc.parse(raw)
+
+
+def test_an_archive_cut_between_frames_is_noticed():
+    import pyarrow as pa
+
+    info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:i>"), ("WARC-Date", "2020-01-01T00:00:00Z")], b"records: 2\r\n"
+    for kept, errors in ((2, [None, None]), (1, [None, "1 of 2 records"])):
+        data = archive([info, *[page_record()] * kept])
+        rows = [r for b in warc._read(iter([pa.RecordBatch.from_pydict({"path": ["a"], "content": [data]})]), False) for r in b.to_pylist()]
+        assert [r["error"] for r in rows] == errors
+
+
 # --- conversations
 
 def test_chat_round_trip(spark):
