@@ -202,44 +202,72 @@ def _prefixes(batches, size, percent, levels):
         yield pa.RecordBatch.from_pydict({k: pa.array(v, _LISTS.field(k).type) for k, v in rows.items()}, schema=_LISTS)
 
 
-_POST = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("ell", pa.int32()), ("first", pa.int64())])
+_LIST = pa.schema([("sig", pa.int64()), ("docs", pa.list_(pa.int64())), ("first", pa.int64()), ("long", pa.int32())])
 
 
 def _shared_lists(batches):
-    """Of postings sorted by token and document, those of tokens that several documents have, with the first of these."""
-    token, first, held = None, None, []  # rows of the last token while they are of one document
+    """Of postings sorted by token and document, the lists of tokens that several documents have.
+
+    A list of at most PIECE documents is one row, signed by its content; a longer one is several rows signed by its token.
+    """
+    token, first, held, long_ = None, None, [], 0
+    rows, size = {f.name: [] for f in _LIST}, 0
+
+    def put(sig, docs, first, long_):
+        nonlocal size
+        for k, v in zip(rows, (sig, docs, first, long_)):
+            rows[k].append(v)
+        size += len(docs)
+
+    def short(docs):
+        digest = hashlib.blake2b(docs.tobytes(), digest_size=8).digest()
+        put(int.from_bytes(digest, "little", signed=True), docs, docs[0], 0)
+
+    def close():
+        if held:
+            docs = np.concatenate(held)
+            if long_ or len(docs) > PIECE:
+                put(token, docs, first, 1)
+            elif docs[0] != docs[-1]:
+                short(docs)
+
+    def batch_of():
+        nonlocal size
+        out = pa.RecordBatch.from_pydict({k: pa.array(v, _LIST.field(k).type) for k, v in rows.items()}, schema=_LIST)
+        for v in rows.values():
+            v.clear()
+        size = 0
+        return out
+
     for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in ("token", "doc", "n", "ell")]
-        if not len(cols[0]):
+        t, d = batch.column("token").to_numpy(), batch.column("doc").to_numpy()
+        if not len(t):
             continue
-        start = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-        # The first document of every row's token, and whether the token has another one within this batch.
-        of = np.repeat(cols[1][start], np.diff(np.r_[start, len(cols[0])]))
-        several = np.maximum.reduceat((cols[1] != of).astype(np.int8), start).astype(bool)
-        keep = np.repeat(several, np.diff(np.r_[start, len(cols[0])]))
-        out = []
-        if cols[0][0] == token:
-            end = start[1] if len(start) > 1 else len(cols[0])
-            of[:end] = first
-            more = bool(held) is False or bool((cols[1][:end] != first).any())
-            keep[:end] = more
-            if more and held:
-                out += [[*h, np.full(len(h[0]), first)] for h in held]
-                held = []
-        else:
-            held = []
-        own = [c[keep] for c in (*cols, of)]
-        if len(own[0]):
-            out.append(own)
-        # Rows of the last token wait, unless it is known to have several documents.
-        if token != cols[0][-1]:
-            token, first, held = cols[0][-1], of[-1], []
-            if not keep[-1]:
-                held = [[c[start[-1] :] for c in cols]]
-        elif not keep[-1]:
-            held.append([c[start[-1] :] for c in cols])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), _POST)], schema=_POST)
+        start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        end = np.r_[start[1:], len(t)]
+        begin = 0
+        if t[0] == token:
+            held.append(d[: end[0]])
+            if sum(map(len, held)) > PIECE:
+                put(token, np.concatenate(held), first, 1)
+                held, long_ = [], 1
+            begin = 1
+        if begin < len(start):
+            close()
+            last = len(start) - 1
+            for i in begin + np.flatnonzero(d[start[begin:last]] != d[end[begin:last] - 1]):
+                docs = d[start[i] : end[i]]
+                if len(docs) > PIECE:
+                    put(int(t[start[i]]), docs, docs[0], 1)
+                else:
+                    short(docs)
+            token, held, long_ = int(t[start[last]]), [d[start[last] :]], 0
+            first = held[0][0]
+        if size > 50_000:
+            yield batch_of()
+    close()
+    if rows["sig"]:
+        yield batch_of()
 
 
 #: Members of one piece of a posting list; longer lists are cut, and every two pieces meet as a list of their own.
@@ -247,7 +275,8 @@ PIECE = 1024
 _RUN = pa.schema(
     [("sig", pa.int64()), ("doc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("ell", pa.list_(pa.int32())),
      ("most", pa.list_(pa.int32())), ("block", pa.list_(pa.int64())), ("root", pa.list_(pa.int64())),
-     ("home", pa.list_(pa.int64())), ("met", pa.list_(pa.int32())), ("piece", pa.list_(pa.int32())), ("cross", pa.int32())]
+     ("home", pa.list_(pa.int64())), ("met", pa.list_(pa.int32())), ("piece", pa.list_(pa.int32())), ("cross", pa.int32()),
+     ("weight", pa.int64())]
 )
 _MEMBER = ("doc", "n", "ell", "most", "block", "root", "home", "met", "piece")
 
@@ -257,7 +286,7 @@ def _runs(batches):
 
     ``cross`` is 1 where a list is two pieces of a longer one: members of one piece meet elsewhere.
     """
-    rows, size, key, held = {f.name: [] for f in _RUN}, 0, None, []
+    rows, size, key, weight, held = {f.name: [] for f in _RUN}, 0, None, 0, []
 
     def close():
         nonlocal size
@@ -265,7 +294,7 @@ def _runs(batches):
         if len(cols[0]) > 1:
             cross = int(key[1] != key[2])
             sig = hashlib.blake2b(b"".join(c.tobytes() for c in cols) + bytes([cross]), digest_size=8).digest()
-            for k, v in zip(rows, (int.from_bytes(sig, "little", signed=True), *cols, cross)):
+            for k, v in zip(rows, (int.from_bytes(sig, "little", signed=True), *cols, cross, weight)):
                 rows[k].append(v)
             size += len(cols[0])
 
@@ -279,7 +308,7 @@ def _runs(batches):
 
     for batch in batches:
         names = [batch.column(k).to_numpy() for k in ("token", "lo", "hi")]
-        cols = [batch.column(k).to_numpy() for k in _MEMBER]
+        cols, weights = [batch.column(k).to_numpy() for k in _MEMBER], batch.column("weight").to_numpy()
         change = np.zeros(max(len(names[0]) - 1, 0), dtype=bool)
         for c in names:
             change |= np.diff(c) != 0
@@ -290,7 +319,7 @@ def _runs(batches):
             if (own := tuple(int(c[a]) for c in names)) != key:
                 if held:
                     close()
-                key, held = own, []
+                key, weight, held = own, int(weights[a]), []
             held.append([v[a:b] for v in cols])
         if size > 50_000:
             yield batch_of()
@@ -423,15 +452,15 @@ def _verify(batches, size, percent):
 BLOCK_DOCS = 192
 
 
-def blocks(postings: DataFrame) -> DataFrame:
+def blocks(postings: DataFrame, asks: DataFrame) -> DataFrame:
     """``doc, block, leader, met``: documents that most often share a list's first document share a block of bounded size.
 
     That first document leads the family and all its blocks. ``met`` is 1 for documents that share as many shingles
-    with their leader as their prefix asks for: these are worth comparing at once.
+    with their leader as their prefix asks for (``asks``: doc, ell): these are worth comparing at once.
     """
-    met = postings.groupBy("doc", "first").agg(F.count(F.lit(1)).alias("c"), F.max("ell").alias("ell"))
-    family = met.groupBy("doc").agg(F.max(F.struct("c", "first", "ell")).alias("f"))
-    family = family.select("doc", F.col("f.first").alias("leader"), (F.col("f.c") >= F.col("f.ell")).cast("int").alias("met"))
+    met = postings.groupBy("doc", "first").agg(F.sum("weight").alias("c"))
+    family = met.groupBy("doc").agg(F.max(F.struct("c", "first")).alias("f")).join(asks, "doc")
+    family = family.select("doc", F.col("f.first").alias("leader"), (F.col("f.c") >= F.col("ell")).cast("int").alias("met"))
     parts = family.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
     rows = spread_join(family, parts, ["leader"], F.xxhash64("doc"), "inner")
     part = F.xxhash64("leader", F.pmod(F.xxhash64("doc"), F.col("parts")))
@@ -532,11 +561,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # One class per set: its smallest id stands for it, and copies are folded before they travel.
     named = (F.col("n") > 0) & (F.col("doc") != _NULL)
     sets = _classes(listed.where(named))
-    postings = sets.select("doc", "n", "ell", F.explode("prefix").alias("token"))
-    postings = postings.select("token", "doc", "n", "ell").repartition("token").sortWithinPartitions("token", "doc")
-    shared = staged(arrow_map(postings, _shared_lists, "token long, doc long, n int, ell int, first long"), "near-postings")
+    postings = sets.select(F.explode("prefix").alias("token"), "doc").repartition("token").sortWithinPartitions("token", "doc")
+    lists = staged(arrow_map(postings, _shared_lists, "sig long, docs array<long>, first long, long int"), "near-lists")
+    # The shingles of a shared passage have equal lists: one of them stands for all, with their number as its weight.
+    equal = lists.where("long = 0").groupBy("sig").agg(
+        F.first("docs").alias("docs"), F.first("first").alias("first"), F.count(F.lit(1)).alias("weight")
+    )
+    apart = lists.where("long = 1").select("sig", "docs", "first", F.lit(1).cast("long").alias("weight"))
+    shared = equal.unionByName(apart).select(F.col("sig").alias("token"), "first", "weight", F.explode("docs").alias("doc"))
+    shared = staged(shared, "near-postings")
     # Families first: a text travels once, to its block, where it meets the leader of its family.
-    homes = staged(blocks(shared), "near-blocks")
+    homes = staged(blocks(shared, listed.where(named).groupBy("doc").agg(F.max("ell").alias("ell"))), "near-blocks")
     at_home = homes.where("met = 1").select(F.col("block").alias("key"), "doc")
     leaders = homes.where("met = 1").select(F.col("block").alias("key"), F.col("leader").alias("doc"))
     at_home = staged(at_home.unionByName(leaders).distinct(), "near-homes")
@@ -544,7 +579,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # What is linked need not meet again: only lists with documents of several roots are looked at.
     placed = staged(_close_families(homes, plausible, components(links)), "near-places")
     facts = _bounds(shared, listed.where(named), percent).join(placed.drop("leader", "close"), "doc")
-    lists = shared.drop("first").join(facts, ["doc", "n", "ell"])
+    lists = shared.drop("first").join(facts, "doc")
     open_ = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c"),
                                          F.min("home").alias("from"), F.max("home").alias("to"), F.min("met").alias("met"))
     open_ = open_.where("low <> high AND (from <> to OR met = 0)").select("token", F.ceil(F.col("c") / PIECE).cast("int").alias("pieces"))
@@ -552,16 +587,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = lists.withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     lists = lists.withColumn("lo", F.least("piece", "other")).withColumn("hi", F.greatest("piece", "other")).select(
-        "token", "lo", "hi", "level", "last", *_MEMBER
+        "token", "lo", "hi", "level", "last", "weight", *_MEMBER
     )
     runs = arrow_map(
         lists.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "level", "last", "doc"), _runs,
         "sig long, doc array<long>, n array<int>, ell array<int>, most array<int>, block array<long>, root array<long>, "
-        "home array<long>, met array<int>, piece array<int>, cross int",
+        "home array<long>, met array<int>, piece array<int>, cross int, weight long",
     )
     # Near copies share many shingles whose lists are equal: one row stands for all of them.
     merged = runs.groupBy("sig").agg(
-        *[F.first(c).alias(c) for c in (*_MEMBER, "cross")], F.count(F.lit(1)).alias("weight")
+        *[F.first(c).alias(c) for c in (*_MEMBER, "cross")], F.sum("weight").alias("weight")
     )
     meet = arrow_map(merged, partial(_meetings, percent=percent), "key long, doc long, need int, shared long")
     meet = meet.groupBy("key", "doc").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
@@ -571,19 +606,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _bounds(lists: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
-    """Per document of the lists where its prefix ends (``level, last``) and ``most``.
+    """Per document of the lists its size, its matches, where its prefix ends (``level, last``) and ``most``.
 
     A prefix shingle that no other prefix holds is in no document whose prefix ends later, but one whose prefix ends
     earlier may hold it behind that. So ``most``, which leaves such shingles out, bounds the overlap with the former only.
-    Rows that share an id, a size and a number of matches take the first and the last of their ends.
+    Of rows that share an id each has a bound, over the lists of all of them.
     """
+    held = lists.groupBy("doc").agg(F.sum("weight").alias("c"))
+    variants = listed.select("doc", "n", "ell", "level", "last").distinct()
     # A prefix has n - least + ell shingles; behind it are least - ell.
-    most = F.ceil(F.col("n") * percent / 100) - F.col("ell") + F.count(F.lit(1))
-    bounds = lists.groupBy("doc", "n", "ell").agg(most.cast("int").alias("most"))
-    end = F.struct("level", "last")
-    ends = listed.groupBy("doc", "n", "ell").agg(F.array_distinct(F.array(F.min(end), F.max(end))).alias("ends"))
-    bounds = bounds.join(ends, ["doc", "n", "ell"]).select("doc", "n", "ell", "most", F.explode("ends").alias("end"))
-    return bounds.select("doc", "n", "ell", "most", "end.level", "end.last")
+    most = F.ceil(F.col("n") * percent / 100) - F.col("ell") + F.col("c")
+    return variants.join(held, "doc").select("doc", "n", "ell", most.cast("int").alias("most"), "level", "last")
 
 
 def _labelled(listed: DataFrame, comp: DataFrame) -> DataFrame:

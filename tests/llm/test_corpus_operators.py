@@ -164,22 +164,32 @@ def test_contained_documents_link_whichever_prefix_ends_first(spark):
     assert rows_of(ngram_join.near_groups(df), "doc_id", "n_shingles", "component_id") == want
 
 
-def test_shared_lists_need_two_documents():
+@pytest.mark.parametrize("piece", [2, 3, 1024])
+def test_shared_lists_need_two_documents(monkeypatch, piece):
     import pyarrow as pa
 
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
     rng = np.random.default_rng(8)
     for _ in range(200):
-        rows = sorted((int(t), int(d)) for t, d in zip(rng.integers(0, 6, 14), rng.integers(0, 3, 14)))
+        rows = sorted((int(t), int(d)) for t, d in zip(rng.integers(0, 6, 14), rng.integers(0, 4, 14)))
         cuts = sorted({0, 14, *rng.integers(0, 15, 4).tolist()})
         batches = []
         for a, b in zip(cuts, cuts[1:]):
-            t, d = (pa.array([r[k] for r in rows[a:b]], pa.int64()) for k in (0, 1))
-            batches.append(pa.RecordBatch.from_arrays([t, d, pa.array([1] * (b - a), pa.int32()), pa.array([1] * (b - a), pa.int32())], names=["token", "doc", "n", "ell"]))
-        got = [tuple(r.values()) for out in ngram_join._shared_lists(iter(batches)) for r in out.select(["token", "doc", "first"]).to_pylist()]
-        docs = defaultdict(set)
+            columns = [pa.array([r[k] for r in rows[a:b]], pa.int64()) for k in (0, 1)]
+            batches.append(pa.RecordBatch.from_arrays(columns, names=["token", "doc"]))
+        found = [r for out in ngram_join._shared_lists(iter(batches)) for r in out.to_pylist()]
+        lists = defaultdict(list)
         for t, d in rows:
-            docs[t].add(d)
-        assert sorted(got) == [(t, d, min(docs[t])) for t, d in rows if len(docs[t]) > 1]
+            lists[t].append(d)
+        whole = sorted((v for v in lists.values() if len(set(v)) > 1 and len(v) <= piece))
+        assert sorted(r["docs"] for r in found if not r["long"]) == whole
+        cut = defaultdict(list)
+        for r in found:
+            if r["long"]:
+                cut[r["sig"]] += r["docs"]
+                assert r["first"] == lists[r["sig"]][0]
+        assert all(lists[t] == v for t, v in cut.items())
+        assert {t for t, v in lists.items() if len(v) > piece and len(set(v)) > 1} <= set(cut)
 
 
 def test_near_drop_keeps_the_first_of_each_component(docs):
