@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.operators.filters import SpendFilter
-from spendlake.operators.versions import CONTRACT, latest_versions, unique_releases
+from spendlake.operators.versions import CONTRACT, RELEASE, keep_first, latest_versions
 
 
 def as_double(c: str, name: str | None = None) -> Column:
@@ -14,13 +14,21 @@ def as_double(c: str, name: str | None = None) -> Column:
     return F.col(c).cast("double").alias(name or c)
 
 
-def once(notices: DataFrame) -> DataFrame:
-    """Rows of a lake with each release once: a load that runs again may have stored it twice.
+def once(notices: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used`` of a lake with each release once: a load that runs again may have stored it twice.
 
     A contract listed again with another day or amount is another version and stays, and so do notices without a release
-    id that differ anywhere. Rows without that column are not from a lake and stay as they are.
+    id that differ anywhere: only these carry their whole row through the shuffle. Rows without that column are not from
+    a lake and stay as they are.
     """
-    return unique_releases(notices) if "release_id" in notices.columns else notices
+    if "release_id" not in notices.columns:
+        return notices
+    keys = [c for c in RELEASE if c in notices.columns]
+    blank = F.trim(F.coalesce("release_id", F.lit(""))) == ""
+    whole = F.when(blank, F.struct(*[F.col(c) for c in notices.columns])).alias("_whole")
+    rest = [c for c in used if c not in keys]
+    slim = notices.select(*keys, *rest, whole)
+    return (keep_first(slim, (*keys, "_whole")) if rest else slim.distinct()).drop("_whole")
 
 
 def latest_amounts(df: DataFrame, keys: tuple[str, ...] = CONTRACT) -> DataFrame:
@@ -53,7 +61,7 @@ def summarise(contracts: DataFrame) -> DataFrame:
 
 def total_all_versions(notices: DataFrame, f: SpendFilter, partitioned: bool = False) -> DataFrame:
     """Plain sum over matching rows, every version counted once however often it is stored."""
-    rows = once(f.apply(notices, partitioned))
+    rows = once(f.apply(notices, partitioned), "amount")
     return rows.agg(
         F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("total")
     ).select(
@@ -65,7 +73,7 @@ def total_all_versions(notices: DataFrame, f: SpendFilter, partitioned: bool = F
 
 def spend_by_year_and_agency(notices: DataFrame, limit: int = 20) -> DataFrame:
     """The default report: stored rows by financial year and agency, largest totals first."""
-    grouped = once(notices).groupBy("fy", "agency").agg(
+    grouped = once(notices, "fy", "agency", "amount").groupBy("fy", "agency").agg(
         F.sum("amount").alias("total"), F.count(F.lit(1)).alias("records")
     )
     top = grouped.orderBy(F.desc("total"), "fy", "agency").limit(limit)
@@ -73,7 +81,7 @@ def spend_by_year_and_agency(notices: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def monthly_spend(notices: DataFrame) -> DataFrame:
-    grouped = once(notices).groupBy("source", "month").agg(
+    grouped = once(notices, "source", "month", "amount").groupBy("source", "month").agg(
         F.sum("amount").alias("total"), F.count(F.lit(1)).alias("records")
     )
     return grouped.select("source", "month", as_double("total", "total_amount"), "records")
