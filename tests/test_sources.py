@@ -131,6 +131,7 @@ def test_disclosure_files(spark, tmp_path):
 
 
 def test_report_headers(spark):
+    # A header row of a published report.
     headers = ["LIST", "Contract", "Description", "Contract Party", "ABN", "Contract Type", "Revised Value (inc)", "Start Date", "End Date"]
     df = spark.createDataFrame([(headers,), (["x"],)], "cells array<string>")
     got = [r["i"].asDict() for r in df.select(disclosure.header_index("cells").alias("i")).collect()]
