@@ -1,5 +1,7 @@
 """The pipeline against a plain version of its stages."""
 
+import pytest
+
 import corpus_pipeline
 from spendlake.llm import tokens
 from test_corpus_operators import fold, near_brute, words13
@@ -44,3 +46,16 @@ def test_pipeline_against_plain_stages(spark):
     for r in corpus_pipeline.run(spark, SF).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_and_empty_documents(spark, docs, no_docs, name, stage):
+    """Null ids and texts, repeated rows, very long texts, clashing column names, and no rows at all."""
+    assert stage(spark, no_docs, SF).count() == 0
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    if name == "packing":
+        assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+    else:
+        given = {(r.doc_id, r.text) for r in docs.collect()}
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS and rows and {(r.doc_id, r.text) for r in rows} <= given
