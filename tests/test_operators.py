@@ -8,6 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from spendlake.functions import entity
 from spendlake.operators import batch, coverage, entities, search, snapshots, spend, versions
 from spendlake.operators.filters import SpendFilter, lookback_start, notice_predicate
 from spendlake.plans.answers import answer_questions
@@ -403,3 +404,15 @@ def test_sql_limit_and_json_lines(spark, tmp_path):
     lake.json_lines(rows, str(tmp_path / "out"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert sorted(lines) == ['{"release_id":"a","supplier":"A"}', '{"release_id":"b","supplier":"A"}']
+
+
+def test_terms_of_names_are_not_broadcast(spark, tmp_path):
+    """A stored table of names is small, its exploded terms are not: their joins shuffle."""
+    names = spark.range(50).select(F.format_string("Supplier#%09d Pty Ltd", "id").alias("name"))
+    names.write.parquet(str(tmp_path / "names"))
+    stored = spark.read.parquet(str(tmp_path / "names"))
+    known = stored.select(entity.resolve_entity("company", "name", F.lit(None).cast("string")).alias("entity"))
+    found = entities.match_entities(stored.select(F.col("name").alias("text")), known, "company")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert found.where("text = entity.name").count() == 50
