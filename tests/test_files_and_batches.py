@@ -118,6 +118,22 @@ def test_attributes_quotes_and_entities():
     assert [c["href"] for c in cells] == ["http://h.test/p?a=1&b=2", "http://h.test/q/"]
 
 
+def test_pages_of_the_same_tags_are_laid_out_once(monkeypatch):
+    """Texts, links and empty cells of their own, and the elements of the first one."""
+    html = "<table id=t><tr><th>Ref<th>By</tr><tr><td><b class='tablesaw-cell-label'>l</b>{0}</td><td><a HREF='{1}'>{2}</a></td></tr></table>"
+    pages._layouts.clear()
+    made, init = [], pages._Page.__init__
+    monkeypatch.setattr(pages._Page, "__init__", lambda self, tokens: made.append(1) or init(self, tokens))
+    for ref, href, by in [("a", "/x", "b"), ("", "../y?z=1", ""), ("c &lt; d", "", "e"), ("f", "/p//q", "g")]:
+        found = pages._listing(html.format(ref, href, by), "http://h.test/d/e")["tables"][0]["rows"][1]
+        text = ref.replace("&lt;", "<")
+        assert [(c["text"], c["bare"]) for c in found] == [(f"l{text}", text), (by, by)]
+        assert found[1]["href"] == {"/x": "http://h.test/x", "../y?z=1": "http://h.test/y?z=1", "": None, "/p//q": "http://h.test/p//q"}[href]
+    assert len(made) == 1
+    pages._listing(html.replace("id=t", "id=u"), None)
+    assert len(made) == 2
+
+
 # --- file index
 
 @pytest.fixture(scope="module")
