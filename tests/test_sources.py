@@ -317,3 +317,12 @@ def test_single_sa_result(spark):
 def test_short_vic_rows_are_rejected_with_a_reason(spark):
     html = "<table><tr><th>Contract</th><th>Title</th><th>Value</th></tr><tr><td>C100</td><td>T</td></tr></table>"
     assert portals.vic_notices(listing(spark, html, "vic")).select("reject_reason").collect() == [("too few cells",)]
+
+
+def test_nsw_card_labels_are_mapped_once(spark):
+    found = accepted(portals.nsw_notices(pages.extract_listings(page(spark, "nsw", "<p>"))))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries") == 1
+    pair = lambda label, value: F.struct(F.lit(label).alias("label"), F.lit(value).alias("value"))
+    fields = F.array(pair("A", "1"), pair(" b ", "2  3"), pair("a", "4"))
+    assert spark.range(1).select(portals.card_fields(fields).alias("f")).first()["f"] == {"a": "4", "b": "2 3"}
