@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from spendlake.operators.filters import SpendFilter
-from spendlake.plans import source_queries
+from spendlake.plans import source_queries, stream_queries
 from spendlake.session import scratch_path
 from spendlake.sources import csv_cells, file_index, lake, pages
 from spendlake.sources.testdata import notices
@@ -251,6 +251,37 @@ def test_accepted_updates(spark, tmp_path):
     ]
 
 
+def test_accepted_updates_of_committed_batches(spark, tmp_path, monkeypatch):
+    """Batches through both tables, merged after every batch, against a plain loop; no contract is handed to Python."""
+    monkeypatch.setattr(load, "MERGE_AFTER", 0)
+    schema = "source string, contract_id string, release_id string, amount decimal(18,2), release_date timestamp"
+    rng, held, want = random.Random(3), {}, []
+    version = "is_update boolean, replaced_release string, replaced_amount decimal(18,2)"
+    events = CommittedTable(str(tmp_path / "events"), StructType.fromDDL(f"{schema}, {version}"))
+    newest = CommittedTable(str(tmp_path / "newest"), StructType.fromDDL(schema))
+    for turn in range(4):
+        rows = [
+            (rng.choice(["s", None]), rng.choice(["a", "b", "c", None]), f"{turn}-{k}", Decimal(f"{rng.randint(1, 99)}.00"),
+             dt.datetime(2024, 1, rng.randint(1, 28)) if rng.random() < 0.8 else None) for k in range(25)
+        ]
+        for s, c, r, a, d in sorted(rows, key=lambda x: (x[4] or dt.datetime.min, x[2])):
+            age, old = d or dt.datetime.min, held.get((s, c))
+            if old is None or age > old[0]:
+                want.append((turn, s, c, r, a, d, old is not None, *(old[1:] if old else (None, None))))
+                held[s, c] = (age, r, a)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        load.start_accepted_updates(stream, events, newest, str(tmp_path / "c")).awaitTermination()
+    names = ("part_number", "source", "contract_id", "release_id", "amount", "release_date", "is_update", "replaced_release", "replaced_amount")
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in events.read(spark).collect()))) == sorted(map(str, want))
+    assert [r["kind"] for r in newest.commits(spark)] == ["base"]
+
+
+def test_update_events_query_calls_no_python(spark, monkeypatch):
+    monkeypatch.setattr(load, "update_events", None)
+    assert stream_queries.stream_update_events(spark, SF).count() > 0
+
+
 def test_pages_are_dealt_over_tasks(spark):
     listing = source_queries.vic_listing(spark, SF)
     assert "hashpartitioning(release_id" in listing._jdf.queryExecution().executedPlan().toString()
