@@ -116,7 +116,10 @@ def user_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def date_parse_multi(spark: SparkSession, sf: str) -> DataFrame:
-    """Every ship date rendered in every layout and read back by every jurisdiction's parser."""
+    """Every ship date rendered in every layout and read back by every jurisdiction's parser.
+
+    Rows of one date have the same texts, so a date is rendered and read once and counts with its rows.
+    """
     day = F.col("release_date")
     serial = F.datediff(F.to_date(day), F.lit(date(1899, 12, 30)))
     layouts: dict[str, Column] = {
@@ -138,19 +141,19 @@ def date_parse_multi(spark: SparkSession, sf: str) -> DataFrame:
         "qld": cal.parse_date_qld, "catalogue": cal.parse_catalogue_time, "ocds": cal.parse_rfc3339,
     }
     rendered = F.array(*[F.struct(F.lit(n).alias("layout"), c.alias("text")) for n, c in layouts.items()])
-    texts = notices(spark, sf, "release_date").select(day, F.explode(rendered).alias("r")).select(
-        day, "r.layout", "r.text"
-    )
+    dates = notices(spark, sf, "release_date").groupBy(day).agg(F.count(F.lit(1)).alias("n"))
+    texts = dates.select(day, "n", F.explode(rendered).alias("r")).select(day, "n", "r.layout", "r.text")
     parsed = texts.select(
-        day, "layout", *[(parse("text") == day).alias(name) for name, parse in parsers.items()]
+        day, "n", "layout", *[(parse("text") == day).alias(name) for name, parse in parsers.items()]
     )
-    hits = [F.count_if(F.col(name)).alias(name) for name in parsers]
-    misread = sum((F.count_if(~F.col(name)) for name in parsers), F.lit(0))
-    return parsed.groupBy("layout").agg(F.count(F.lit(1)).alias("rows"), *hits, misread.alias("wrong"))
+    rows = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    hits = [rows(F.col(name)).alias(name) for name in parsers]
+    misread = sum((rows(~F.col(name)) for name in parsers), F.lit(0))
+    return parsed.groupBy("layout").agg(F.sum("n").alias("rows"), *hits, misread.alias("wrong"))
 
 
 def money_parse_format(spark: SparkSession, sf: str) -> DataFrame:
-    """Amounts in messy spellings, read back and shown again."""
+    """Amounts in messy spellings, read back and shown again; an amount is spelled and read once and counts with its rows."""
     plain = F.col("amount").cast("string")
     commas = F.format_number("amount", 2)
     spellings: dict[str, Column] = {
@@ -162,15 +165,18 @@ def money_parse_format(spark: SparkSession, sf: str) -> DataFrame:
         "words": F.lit("to be advised"),
     }
     rendered = F.array(*[F.struct(F.lit(n).alias("spelling"), c.alias("text")) for n, c in spellings.items()])
-    texts = notices(spark, sf, "amount").select(F.explode(rendered).alias("r")).select("r.spelling", "r.text")
+    amounts = notices(spark, sf, "amount").groupBy("amount").agg(F.count(F.lit(1)).alias("n"))
+    texts = amounts.select("n", F.explode(rendered).alias("r")).select("n", "r.spelling", "r.text")
     parsed = texts.select(
-        "spelling", parse_money("text").alias("lenient"), parse_money_or_zero("text").alias("or_zero"),
+        "n", "spelling", parse_money("text").alias("lenient"), parse_money_or_zero("text").alias("or_zero"),
         parse_money_strict("text").alias("strict"),
     )
+    rows = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("n")).otherwise(0))
+    total = lambda c: F.sum((F.col(c) * F.col("n")).cast("decimal(28,2)"))
     grouped = parsed.groupBy("spelling").agg(
-        F.count("lenient").alias("lenient_rows"), F.sum("lenient").alias("lenient_sum"),
-        F.sum("or_zero").alias("zero_sum"), F.count("strict").alias("strict_rows"),
-        F.sum("strict").alias("strict_sum"), F.max(format_money("lenient")).alias("top_shown"),
+        rows("lenient").alias("lenient_rows"), total("lenient").alias("lenient_sum"),
+        total("or_zero").alias("zero_sum"), rows("strict").alias("strict_rows"),
+        total("strict").alias("strict_sum"), F.max(format_money("lenient")).alias("top_shown"),
     )
     return grouped.select(
         "spelling", "lenient_rows", as_double("lenient_sum"), as_double("zero_sum"), "strict_rows",

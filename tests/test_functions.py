@@ -12,6 +12,7 @@ from spendlake.functions import calendar as cal
 from spendlake.functions import money, questions, text, urls
 from spendlake.functions.entity import EntityQuery, entity_identifier, entity_tokens, preferred_name, resolve_entity
 from spendlake.functions.jurisdiction import canonical_source, detect_source
+from spendlake.plans import calendar_queries
 
 
 def rows(spark, values, build):
@@ -292,3 +293,19 @@ def test_answer_text(spark):
         "Total spend by B (VIC) over the past 20 years: $1.00", None,
         "Prefetched spend (VIC) over the last 20 years: $1.00 | company=A",
     )
+
+
+def test_serials_in_every_spelling_of_a_number(spark):
+    texts = ["4.4942e4", "+44942", "44942d", "44942.0F", "\x0144942", "0x1.5F1Cp15", ".44942E+5", "1e", "44942-1", "--44942", "9" * 20_000]
+    parsed = cal.parse_date_qld("c")
+    assert rows(spark, texts, F.to_date(parsed).cast("string")) == ["2023-01-16"] * 7 + [None] * 4
+    df = spark.createDataFrame([("10/07/2024",)], "c string").select(parsed)
+    tree = df._jdf.queryExecution().analyzed().toString()
+    assert "THEN try_cast" in tree or "THEN cast" in tree, "texts that are no number are not cast"
+
+
+@pytest.mark.parametrize("name, key", [("date_parse_multi", "release_date"), ("money_parse_format", "amount")])
+def test_each_value_is_parsed_once(spark, name, key):
+    """The values are grouped before they are spelled, so the rows that share one cost no parsing."""
+    plan = calendar_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate"):]
