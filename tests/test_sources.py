@@ -10,6 +10,7 @@ from spendlake.operators.filters import SpendFilter
 from spendlake.operators.spend import latest_amounts, total_spend
 from spendlake.sources import catalogue, disclosure, lake, ocds, pages, portals, registry
 from spendlake.sources.notice import accepted, first_listed, reject_report, rejected, unite
+from spendlake.sources.testdata import notices
 from spendlake.streaming import load
 
 
@@ -326,3 +327,19 @@ def test_nsw_card_labels_are_mapped_once(spark):
     pair = lambda label, value: F.struct(F.lit(label).alias("label"), F.lit(value).alias("value"))
     fields = F.array(pair("A", "1"), pair(" b ", "2  3"), pair("a", "4"))
     assert spark.range(1).select(portals.card_fields(fields).alias("f")).first()["f"] == {"a": "4", "b": "2 3"}
+
+
+def test_rows_without_header_words_meet_no_regular_expression(spark):
+    for field, words in disclosure.HEADER_WORDS.items():
+        assert all(any(w in h for w in words) for h in disclosure.HEADERS[field])
+    cells = spark.createDataFrame([("f", 1, ["a"])], disclosure.CELLS_SCHEMA)
+    plan = disclosure.header_rows(cells)._jdf.queryExecution().optimizedPlan().toString()
+    tests = plan[plan.index("+- Filter"):]
+    assert tests.index("Contains(lower(concat_ws( , cells") < tests.index("regexp_replace")
+
+
+def test_line_items_are_shuffled_once_for_their_buyer(spark):
+    """Orders meet customers before the line items meet both."""
+    plan = notices(spark, "/root/testdata/sf0.001", "source", "agency")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Join" in line or "Relation" in line]
+    assert ["Join" in line for line in lines] == [True, False, True, False, False]
