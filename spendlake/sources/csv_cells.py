@@ -17,7 +17,9 @@ import re
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +74,18 @@ def delimiter(text: str) -> str:
     return ";" if ";" in only else "\t" if "\t" in only else ","
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
-    for batch in batches:
-        for file, at, line in zip(*(batch.column(c).to_pylist() for c in ("file", "range", "line"))):
-            yield file, at, line.decode("utf-8", errors="replace")
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """Neighbouring lines of one range, with its file and place."""
+    files = batch.column("file").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    ranges = batch.column("range").to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero((files[1:] != files[:-1]) | (ranges[1:] != ranges[:-1])) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if end > start:
+            yield (batch.column("file")[start].as_py(), int(ranges[start])), batch.slice(start, end - start)
+
+
+def _texts(lines: pa.Array) -> Iterator[str]:
+    return (line.decode("utf-8", errors="replace") for line in lines.to_pylist())
 
 
 _EFFECTS = pa.schema([("file", pa.string()), ("range", pa.int64()), ("mark", pa.string()), ("effects", pa.list_(pa.int32()))])
@@ -91,18 +101,26 @@ def _effects_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {"file": [key[0]], "range": [key[1]], "mark": [found], "effects": [[effect(tuple(e)) for e in ends]]}, schema=_EFFECTS
         )
 
-    for file, at, line in _lines(batches):
-        if (file, at) != key:
-            if key is not None:
-                yield row()
-            key, ends, opening, mark = (file, at), [[False, True] for _ in MARKS], [], None
-        if not at and mark is None:
-            # Only the first record is kept, until it is complete.
-            opening.append(line + "\n")
-            if line.strip("\r") and not inside_after(line, ",", ends[0][0]):
-                mark = delimiter("".join(opening))
-        for k, m in enumerate(MARKS):
-            ends[k] = [inside_after(line, m, e) for e in ends[k]]
+    for batch in batches:
+        for own, run in _runs(batch):
+            if own != key:
+                if key is not None:
+                    yield row()
+                key, ends, opening, mark = own, [[False, True] for _ in MARKS], [], None
+            lines = run.column("line")
+            if not key[1] and mark is None:
+                # Only the first record is kept, until it is complete.
+                inside = ends[0][0]
+                for line in _texts(lines):
+                    opening.append(line + "\n")
+                    inside = inside_after(line, ",", inside)
+                    if line.strip("\r") and not inside:
+                        mark = delimiter("".join(opening))
+                        break
+            # A line without a quote changes nothing.
+            for line in _texts(lines.filter(pc.match_substring(lines, '"'))):
+                for k, m in enumerate(MARKS):
+                    ends[k] = [inside_after(line, m, e) for e in ends[k]]
     if key is not None:
         yield row()
 
@@ -136,54 +154,60 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines with their place in their range, in which a scan hands them over."""
     key, n = None, 0
     for batch in batches:
-        places = []
-        for own in zip(batch.column("file").to_pylist(), batch.column("range").to_pylist()):
-            key, n = own, n + 1 if own == key else 0
-            places.append(n)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=[*batch.schema.names, "n"])
+        places = [np.empty(0, "int64")]
+        for own, run in _runs(batch):
+            key, n = own, n if own == key else 0
+            places.append(np.arange(n, n + run.num_rows, dtype="int64"))
+            n += run.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(places))], names=[*batch.schema.names, "n"])
 
 
 def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records of every range, whose lines come in order, and the pieces at its ends."""
-    out, key, inside, first, held, seq, mark = [], None, False, False, [], 0, ","
+    key, inside, first, held, ready, seq, mark = None, False, False, [], [], 0, ","
 
-    def put(place, cells, piece):
-        out.append({"file": key[0], "range": key[1], "seq": place, "cells": cells, "piece": piece, "mark": mark})
+    def rows(places, cells, pieces):
+        n = len(places)
+        return pa.RecordBatch.from_pydict(
+            {"file": [key[0]] * n, "range": [key[1]] * n, "seq": places, "cells": cells, "piece": pieces, "mark": [mark] * n}, schema=_PARTS
+        )
+
+    def piece():
+        return rows([HEAD if first else TAIL], [None], ["".join(held)])
 
     def take():
+        """The complete records so far, read together: each of them ends outside a quoted cell."""
         nonlocal seq
-        for cells in records("".join(held), mark):
-            seq += 1
-            put(seq, cells, None)
-
-    def flush():
-        batch = pa.RecordBatch.from_pylist(out, _PARTS)
-        out.clear()
-        return batch
+        found = records("".join(ready), mark)
+        ready.clear()
+        seq += len(found)
+        return rows(range(seq - len(found) + 1, seq + 1), found, [None] * len(found))
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("file", "range", "line", "mark", "inside")]
-        for file, at, line, its_mark, starts in zip(*columns):
-            if (file, at) != key:
+        for own, run in _runs(batch):
+            if own != key:
+                if ready:
+                    yield take()
                 if held:
-                    put(HEAD if first else TAIL, None, "".join(held))
-                key, inside, first, held, seq, mark = (file, at), starts, starts, [], 0, its_mark
-            text = line.decode("utf-8", errors="replace")
-            held.append(text + "\n")
-            inside = inside_after(text, mark, inside)
-            if not inside:
-                if first:
-                    put(HEAD, None, "".join(held))
-                    first = False
-                else:
-                    take()
-                held = []
-        if len(out) >= 10_000:
-            yield flush()
+                    yield piece()
+                inside = first = run.column("inside")[0].as_py()
+                key, held, seq, mark = own, [], 0, run.column("mark")[0].as_py()
+            for text in _texts(run.column("line")):
+                held.append(text + "\n")
+                inside = inside_after(text, mark, inside)
+                if not inside:
+                    if first:
+                        yield piece()
+                        first = False
+                    else:
+                        ready += held
+                    held.clear()
+                    if len(ready) >= 5_000:
+                        yield take()
+    if ready:
+        yield take()
     if held:
-        put(HEAD if first else TAIL, None, "".join(held))
-    if out:
-        yield flush()
+        yield piece()
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import random
 import time
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
@@ -84,6 +85,27 @@ def test_quote_state(line, inside, want):
     assert csv_cells.inside_after(line, ",", inside) == want
 
 
+def test_lines_without_quotes_are_not_walked_and_records_are_read_together(monkeypatch):
+    """A range of 9,000 lines of which 3 have quotes."""
+    lines = [b'"x", y' if k in (5, 6, 7) else b"1,2" for k in range(9000)]
+    n = len(lines)
+    scan = pa.RecordBatch.from_pydict({"file": ["f"] * n, "range": pa.array([0] * n, pa.int64()), "line": lines})
+    walked, read, walk, records = [], [], csv_cells.inside_after, csv_cells.records
+    monkeypatch.setattr(csv_cells, "inside_after", lambda line, *rest: walked.append(line) or walk(line, *rest))
+    monkeypatch.setattr(csv_cells, "records", lambda text, mark: read.append(text) or records(text, mark))
+    found = [r for b in csv_cells._effects_of(iter([scan])) for r in b.to_pylist()]
+    assert [(r["file"], r["range"], r["mark"], r["effects"][0]) for r in found] == [("f", 0, ",", csv_cells.OUT)]
+    assert len(walked) < 30
+    read.clear()
+    numbered = next(csv_cells._numbered(iter([scan])))
+    assert numbered.column("n").to_pylist() == list(range(n))
+    told = pa.RecordBatch.from_arrays(
+        [*numbered.columns, pa.array([","] * n), pa.array([False] * n)], names=[*numbered.schema.names, "mark", "inside"]
+    )
+    parts = [r for b in csv_cells._parts_of(iter([told])) for r in b.to_pylist()]
+    assert [r["seq"] for r in parts] == list(range(1, n + 1)) and parts[5]["cells"] == ["x", " y"] and len(read) < 5
+
+
 # --- markup
 
 def test_nested_tables_take_one_pass():
