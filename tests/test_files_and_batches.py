@@ -186,6 +186,20 @@ def test_index_opens_fewer_files_than_the_folders_hold(spark, indexed):
     assert 0 < opened < folders
 
 
+def test_terms_of_a_file_are_not_shuffled(spark, indexed):
+    """Names are exploded to terms after the only shuffle, and every term of a file is in its filter."""
+    path, index = indexed
+    rows = file_index.describe(lake.read(spark, path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan
+    name = notices(spark, SF, "supplier").first()["supplier"]
+    stored = file_index.read_index(spark, index)
+    found = {r["path"] for r in file_index.may_hold(stored, "company", name).collect()}
+    held = {r["p"] for r in lake.read(spark, path).where(F.col("supplier") == name).select(F.col("_metadata.file_path").alias("p")).collect()}
+    assert held and held <= found and len(found) < stored.count()
+    assert all(len(b["words"]) * 64 == b["bits"] for r in stored.collect() for b in r["blooms"].values())
+
+
 def test_files_after_the_index_are_read_and_gone_ones_are_not(spark):
     path, index = scratch_path(spark, "lake"), scratch_path(spark, "index")
     rows = notices(spark, SF)
