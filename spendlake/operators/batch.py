@@ -12,6 +12,11 @@ from spendlake.operators.entities import FIELDS, GRAM, match_entities
 from spendlake.operators.versions import latest_versions
 from spendlake.session import staged
 
+#: The columns of the notices that a lookup reads.
+LOOKUP_COLUMNS = (
+    "source", "contract_id", "release_id", "supplier", "company_key", "agency", "agency_key", "title", "amount", "release_date",
+)
+
 HAY_GRAMS = f"""array_distinct(flatten(transform(sequence(1, {GRAM}), n ->
   transform(sequence(1, greatest(length(_hay) - n + 1, 1)), i -> substring(_hay, i, n)))))"""
 
@@ -137,10 +142,7 @@ def batch_total_spend(
     Every filter keeps a row: zero without a match, NULL when it has no search term at all.
     Filters that have only a keyword need ``with_keywords``.
     """
-    slim = notices.select(
-        "source", "contract_id", "release_id", "supplier", "company_key", "agency", "agency_key",
-        "title", "amount", "release_date",
-    )
+    slim = notices.select(*LOOKUP_COLUMNS)
     # Equal filters are looked up once: the key of a lookup is the content of its filter.
     fields = ("keyword", "company", "agency", "source", "start", "end")
     keyed = normal_filters(filters).withColumn("_lookup", F.sha2(F.to_json(F.struct(*fields)), 256))

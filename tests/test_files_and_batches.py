@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from spendlake.operators import batch
 from spendlake.operators.filters import SpendFilter
-from spendlake.plans import source_queries, stream_queries
+from spendlake.plans import file_queries, source_queries, stream_queries
 from spendlake.session import scratch_path
 from spendlake.sources import csv_cells, file_index, lake, pages
 from spendlake.sources.testdata import notices
@@ -321,3 +322,11 @@ def test_update_events_query_calls_no_python(spark, monkeypatch):
 def test_pages_are_dealt_over_tasks(spark):
     listing = source_queries.vic_listing(spark, SF)
     assert "hashpartitioning(release_id" in listing._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshot_runs_share_one_copy_of_the_notices(spark, monkeypatch):
+    """Three runs, of which two compute: the notices are written once, with the columns that a lookup reads."""
+    written, staged = [], file_queries.staged
+    monkeypatch.setattr(file_queries, "staged", lambda df, name: written.append((name, tuple(df.columns))) or staged(df, name))
+    assert file_queries.daily_snapshot_reuse(spark, SF).count() > 0
+    assert written == [("snapshot-notices", batch.LOOKUP_COLUMNS)]
