@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
-#: Pieces remembered per worker; beyond it the memory starts anew. Longer pieces are not remembered.
+#: Pieces remembered per worker; beyond it the newer half is forgotten: frequent pieces come early. Longer ones are not remembered.
 REMEMBERED, LONGEST = 700_000, 40
 
 # A single space between characters that no one takes for white space: no token crosses it.
 _GAP = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 _OTHER_SPACE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_TAIL = ".,;:!?"
+# What may end a word and is split from it; an apostrophe may start a token with the letters behind it.
+_TAIL = string.punctuation.replace("'", "")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -52,7 +55,8 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
-            self.clear()
+            for old in list(islice(self, len(self) // 2, None)):
+                del self[old]
         word = piece.rstrip(_TAIL)
         if word.isalpha() and (word.isascii() or _WORD.fullmatch(word)):
             if len(word) < len(piece):

@@ -33,6 +33,35 @@ END_ID = 2
 FRAME, SHARD_TOKENS = 1 << 16, 1 << 21
 
 
+#: Bits that are parted or merged at once, so that their places stay in the processor's cache.
+RUN = 1 << 14
+
+
+def part(level: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The values with bit 0, then those with bit 1, each in their order."""
+    out, zero = np.empty_like(level), 0
+    one = len(bits) - int(np.count_nonzero(bits))
+    for k in range(0, len(bits), RUN):
+        own, values = bits[k : k + RUN], level[k : k + RUN]
+        for places, start in (((~own).nonzero()[0], zero), (own.nonzero()[0], one)):
+            values.take(places, out=out[start : start + len(places)], mode="clip")
+        ones = len(places)
+        zero, one = zero + len(own) - ones, one + ones
+    return out
+
+
+def merged(below: np.ndarray, bits: np.ndarray, zero_count: int) -> np.ndarray:
+    """Undoes ``part``."""
+    out, zero, one = np.empty_like(below), 0, zero_count
+    for k in range(0, len(bits), RUN):
+        own, values = bits[k : k + RUN], out[k : k + RUN]
+        zeros, ones = (~own).nonzero()[0], own.nonzero()[0]
+        values[zeros] = below[zero : zero + len(zeros)]
+        values[ones] = below[one : one + len(ones)]
+        zero, one = zero + len(zeros), one + len(ones)
+    return out
+
+
 def build(ids: np.ndarray, docs: list[int | None], lengths: list[int]) -> bytes:
     """The bytes of one shard."""
     planes = max(1, int(ids.max()).bit_length() if len(ids) else 1)
@@ -51,7 +80,7 @@ def build(ids: np.ndarray, docs: list[int | None], lengths: list[int]) -> bytes:
             at += len(frame)
         ones.append(sums)
         offsets.append([*starts, at])
-        level = np.concatenate((level[~bits], level[bits]))
+        level = part(level, bits)
         zeros.append(int(len(bits) - ones[-1][-1]))
     table = np.array([d or 0 for d in docs], "<i8").tobytes() + np.array([d is None for d in docs], np.uint8).tobytes()
     table = pack.compress(table + np.array(lengths, "<i8").tobytes())
@@ -158,9 +187,8 @@ class Shard:
         for plane in range(self.planes - 1, -1, -1):
             parts = [self._packed(plane, k) for k in range(len(self.head["offsets"][plane]) - 1)]
             bits = np.unpackbits(np.concatenate(parts), bitorder="little")[: self.tokens].astype(bool) if parts else np.zeros(0, bool)
-            below, ids = ids, np.empty_like(ids)
-            ids[~bits], ids[bits] = np.split(below, [self.head["zeros"][plane]])
-            ids |= bits * ids.dtype.type(1 << (self.planes - 1 - plane))
+            ids = merged(ids, bits, self.head["zeros"][plane])
+            ids |= bits.astype(ids.dtype) << ids.dtype.type(self.planes - 1 - plane)
         return ids.astype(np.uint32)
 
 

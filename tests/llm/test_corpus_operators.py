@@ -286,6 +286,24 @@ def test_cuts():
     assert all(sum(packing.cuts(n)) == n for n in range(1, 5000, 7))
 
 
+def test_memory_of_pieces_keeps_the_early_ones(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 8)
+    encoder, plain = tokens.Encoder(tokens.vocabulary_path()), tokens.load(tokens.vocabulary_path())
+    text = "the same of and " + " ".join(f"word{chr(97 + k)}%%%" for k in range(26)) + " a_b it's. it.'s don't!'ll é.%%% x--y ...'s"
+    assert list(np.frombuffer(encoder.encode(text), "<u4")) == plain.encode(text, add_special_tokens=False).ids
+    assert "same" in encoder.after_space
+
+
+def test_wavelet_planes_part_and_merge(monkeypatch):
+    monkeypatch.setattr(wavelet, "RUN", 16)
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 15, 16, 17, 100):
+        values, bits = rng.integers(0, 60_000, n).astype(np.uint16), rng.random(n) < 0.3
+        parted = wavelet.part(values, bits)
+        assert parted.tolist() == [*values[~bits].tolist(), *values[bits].tolist()]
+        assert wavelet.merged(parted, bits, int((~bits).sum())).tolist() == values.tolist()
+
+
 def test_wavelet_shard_answers():
     rng = np.random.default_rng(0)
     for n, top in ((1, 1), (5, 3), (200_000, 50_257)):
