@@ -488,14 +488,20 @@ CLOSE = 8
 def _close_families(homes: DataFrame, plausible: DataFrame, roots: DataFrame) -> DataFrame:
     """``doc, block, met, root, home``: members within one ``home`` that both met need no list to meet.
 
-    That is a block, or a whole family of several blocks if it is close: its lists would hold all its members.
+    That is a block, or a whole family of several blocks if it is close: its lists would hold all its members. A close family
+    counts members that have not met as met, unless they outnumber the others: ``_rest_of_families`` compares them with every
+    block, while a few of them in each list would keep all the family's lists open.
     """
+    met = F.col("met") == 1
     hopeful = homes.join(plausible.select("doc").distinct().withColumn("hopeful", F.lit(1)), "doc", "left")
-    close = hopeful.where("met = 1").groupBy("leader").agg(
-        F.count(F.lit(1)).alias("c"), F.count("hopeful").alias("h"), F.min("block").alias("low"), F.max("block").alias("high")
+    close = hopeful.groupBy("leader").agg(
+        F.count_if(met).alias("c"), F.count(F.when(met, F.col("hopeful"))).alias("h"), F.count(F.lit(1)).alias("members"),
+        F.min(F.when(met, F.col("block"))).alias("low"), F.max(F.when(met, F.col("block"))).alias("high"),
     ).where((F.col("low") != F.col("high")) & (CLOSE * F.col("h") >= F.col("c")))
+    close = close.select("leader", F.lit(True).alias("close"), (F.col("members") <= 2 * F.col("c")).alias("whole"))
     placed = homes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    placed = spread_join(placed, close.select("leader", F.lit(True).alias("close")), ["leader"], F.xxhash64("doc"), "left")
+    placed = spread_join(placed, close, ["leader"], F.xxhash64("doc"), "left")
+    placed = placed.withColumn("met", F.when(F.col("whole"), F.lit(1)).otherwise(F.col("met")))
     home = F.when(F.col("close"), F.xxhash64("leader", F.lit("family"))).otherwise(F.col("block"))
     return placed.select("doc", "leader", "block", "met", "root", "close", home.alias("home"))
 

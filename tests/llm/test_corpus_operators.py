@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spendlake.llm import (
     chat, decontam, exact_dedup, ngram_join, packing, quality_fm, suffix_dedup, tokens, toxicity, warc, wavelet,
@@ -241,6 +242,23 @@ def test_contamination_stays_native(spark, docs):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_close_families_take_in_members_that_have_not_met(spark):
+    """Leader 0: two blocks that met and a few members that did not. Leader 1: most did not."""
+    rows = [(d, d % 2, 0, int(d >= 20)) for d in range(100)] + [(d, 2 + d % 2, 1, int(d < 120)) for d in range(100, 200)]
+    homes = spark.createDataFrame(rows, "doc long, block long, leader long, met int")
+    plausible = spark.createDataFrame([(d,) for d in range(200)], "doc long")
+    roots = spark.createDataFrame([(d, 20) for d in range(20, 60)], "node long, root long")
+    placed = ngram_join._close_families(homes, plausible, roots)
+    got = {r.leader: r.n for r in placed.where("met = 1").groupBy("leader").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: 100, 1: 20} and placed.count() == 200
+    keys = defaultdict(set)
+    for r in ngram_join._rest_of_families(placed).collect():
+        keys[r.key].add(r.doc)
+    met = {frozenset((a, b)) for docs in keys.values() for a in docs for b in docs}
+    linked = set(range(20, 60))
+    assert all(frozenset((a, b)) in met for a in range(100) for b in range(a) if not {a, b} <= linked)
+
+
 # --- tokens, packing, shards
 
 def test_pieces_encode_like_whole_texts():
