@@ -6,12 +6,14 @@ import io
 import random
 import time
 from decimal import Decimal
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from spendlake import session
 from spendlake.operators import batch
 from spendlake.operators.filters import SpendFilter
 from spendlake.plans import file_queries, source_queries, stream_queries
@@ -330,3 +332,21 @@ def test_snapshot_runs_share_one_copy_of_the_notices(spark, monkeypatch):
     monkeypatch.setattr(file_queries, "staged", lambda df, name: written.append((name, tuple(df.columns))) or staged(df, name))
     assert file_queries.daily_snapshot_reuse(spark, SF).count() > 0
     assert written == [("snapshot-notices", batch.LOOKUP_COLUMNS)]
+
+
+def test_landed_pages_are_compressed_and_whole(spark, tmp_path):
+    path = str(tmp_path / "landing")
+    files = source_queries.landed_pages(spark, SF, path)
+    assert files == len([*Path(path).rglob("*.gz")]) and not [*Path(path).rglob("*.txt")]
+    landed = spark.read.schema("value string, source string").text(path).select("value", "source")
+    want = source_queries.release_pages(spark, SF)
+    assert landed.exceptAll(want).isEmpty() and want.exceptAll(landed).isEmpty() and landed.count() == want.count()
+
+
+def test_spent_shuffles_restores_the_setting(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with pytest.raises(ValueError), session.spent_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+        raise ValueError
+    assert spark.conf.get(key, None) == before
