@@ -4,6 +4,7 @@ import csv
 import datetime as dt
 import io
 import random
+import re
 import time
 from decimal import Decimal
 from pathlib import Path
@@ -18,7 +19,8 @@ from spendlake.operators import batch
 from spendlake.operators.filters import SpendFilter
 from spendlake.plans import file_queries, source_queries, stream_queries
 from spendlake.session import scratch_path
-from spendlake.sources import csv_cells, file_index, lake, pages
+from spendlake.sources import csv_cells, file_index, lake, ocds, pages
+from spendlake.sources.notice import reject_report
 from spendlake.sources.testdata import notices
 from spendlake.streaming import load
 from spendlake.streaming.commits import CommittedTable
@@ -350,3 +352,18 @@ def test_spent_shuffles_restores_the_setting(spark):
         assert spark.conf.get(key) == "true"
         raise ValueError
     assert spark.conf.get(key, None) == before
+
+
+def test_page_errors_and_rejects_in_one_pass(spark):
+    release = '{"id": "r%d", "tag": ["%s"], "contracts": [{"id": "c", "value": {"amount": %d}}]}'
+    pages_ = [
+        '{"releases": [' + release % (1, "contract", 5) + "," + release % (2, "planning", 5) + "," + release % (3, "contract", 0) + "]}",
+        '{"releases": []}', '{"errorCode": 0}', '{"errorCode": 500, "message": "x", "releases": [' + release % (4, "contract", 5) + "]}", "broken", None,
+    ]
+    packages = ocds.parse_packages(spark.createDataFrame([(p, "nsw") for p in pages_], "value string, source string"))
+    errors = ocds.package_errors(packages).groupBy("source", F.col("reject_reason").alias("reason")).agg(F.count("*").alias("rows"))
+    want = reject_report(ocds.to_notices(ocds.releases(packages))).unionByName(errors)
+    got = reject_report(ocds.to_notices(ocds.releases_and_errors(packages)))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 5
+    plan = source_queries.ocds_rejects(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and len(re.findall(r"Relation \[l_orderkey", plan)) == 1
