@@ -103,14 +103,14 @@ def verdicts(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: i
     found = spread_join(found, distinct_wins.select("win", "win_words"), ["win"], F.xxhash64("doc_id", "start"), "inner")
     cands = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "len", "win", "win_words")).alias("cands"))
 
-    # Verification: the words at the start must be the window's words.
-    copies = base.dropDuplicates(["doc_id", "th"])
-    text = copies.join(cands.withColumnsRenamed({"doc_id": "cd", "th": "ct"}), copies["doc_id"].eqNullSafe(F.col("cd")) & (copies["th"] == F.col("ct")))
+    # Verification: the words at the start must be the window's words. Repeated rows are compared each and united after
+    # it, when their texts, which would be shuffled for that, are gone.
+    text = base.join(cands.withColumnsRenamed({"doc_id": "cd", "th": "ct"}), base["doc_id"].eqNullSafe(F.col("cd")) & (base["th"] == F.col("ct")))
     text = text.select("doc_id", "th", words(F.col("text")).alias("w"), "cands")
     true = text.select(
         "doc_id", "th",
         F.filter("cands", lambda c: F.slice(F.col("w"), c["start"] + 1, c["len"]) == c["win_words"]).alias("found"),
-    ).where(F.size("found") > 0)
+    ).where(F.size("found") > 0).dropDuplicates(["doc_id", "th"])
     true = staged(true.select("doc_id", "th", F.transform("found", lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["len"]).alias("stop"), c["win"].alias("win"))).alias("found")), "decontam-found")
 
     spans = F.array_sort(F.array_distinct(F.transform("found", lambda c: F.struct(c["start"], c["stop"]))))

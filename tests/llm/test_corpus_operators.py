@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spendlake.llm import (
     chat, decontam, exact_dedup, ngram_join, packing, quality_fm, suffix_dedup, tokens, toxicity, warc, wavelet,
 )
+from spendlake.llm.common import staged
 
 
 def fold(text):
@@ -242,6 +243,27 @@ def test_contamination_stays_native(spark, docs):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_contamination_does_not_group_texts(spark, docs, monkeypatch):
+    """Repeated rows are united after verification: a grouping by id would shuffle every text once more."""
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return staged(df, name)
+
+    monkeypatch.setattr(decontam, "staged", seen)
+    decontam.drop_contaminated(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
+    assert "first(text" not in plans["decontam-found"]
+
+
+def test_staged_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().toString()))
+    before = files()
+    rows = staged(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "grouped")
+    assert not files() - before and rows.count() == 7
+
+
 def test_close_families_take_in_members_that_have_not_met(spark):
     """Leader 0: two blocks that met and a few members that did not. Leader 1: most did not."""
     rows = [(d, d % 2, 0, int(d >= 20)) for d in range(100)] + [(d, 2 + d % 2, 1, int(d < 120)) for d in range(100, 200)]
