@@ -205,6 +205,14 @@ def test_entity_lookup(spark):
     assert entities.find_entities(catalog(spark, *rows), "company", limit=2).count() == 2
 
 
+def test_entity_lookup_tests_names_after_the_sum(spark):
+    """A name stands in many rows of a catalogue; testing one takes far longer than adding its rows."""
+    c = catalog(spark, ("vic", None, "dept_health", "KPMG", "kpmg", 50), ("vic", None, "dept_works", "KPMG", "kpmg", 10)).repartition(2)
+    found = entities.find_entities(c, "company", "kpmg")
+    below = found._jdf.queryExecution().optimizedPlan().toString().rpartition("Aggregate [source")[2]
+    assert "row_count" in below and "Filter" not in below and found.first()["rows"] == 60
+
+
 NAMES = ["Acme Pty Ltd", "ACME Holdings", "KPMG", "Deloitte Touche", "Ernst & Young", "AT&T", "A", "ab", "The Of", "株式会社", "a-b c"]
 QUERIES = ["acme", "KPMG Limited", "e & y", "young and ernst", "a", "ab", "tt", "the", "zzz", "株", "!!!", "touche deloitte pty", "b c", "of the"]
 
