@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spendlake.operators.filters import SpendFilter
 from spendlake.operators.spend import latest_amounts, total_spend
+from spendlake.plans.source_queries import QUERIES
 from spendlake.sources import catalogue, disclosure, lake, ocds, pages, portals, registry
 from spendlake.sources.notice import accepted, first_listed, reject_report, rejected, unite
 from spendlake.sources.testdata import notices
@@ -103,6 +104,12 @@ def test_catalogue(spark):
     assert sorted(r["resource_id"] for r in catalogue.stale_resources(catalogue.resources(df), manifest).collect()) == ["2", "7"]
 
 
+def test_stale_resources_decode_pages_once(spark):
+    """The resources are both the catalogue and the base of the manifest."""
+    found = QUERIES["stale_resources"](spark, "/root/testdata/sf0.001")
+    assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
+
+
 HEADER = "Agency,Supplier name,Award contract date,Contract value,Contract reference number,Contract description\n"
 
 
