@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,11 @@ LOOKUP_COLUMNS = (
     "source", "contract_id", "release_id", "supplier", "company_key", "agency", "agency_key", "title", "amount", "release_date",
 )
 
-HAY_GRAMS = f"""array_distinct(flatten(transform(sequence(1, {GRAM}), n ->
-  transform(sequence(1, greatest(length(_hay) - n + 1, 1)), i -> substring(_hay, i, n)))))"""
+#: The fields that a keyword is looked for in.
+HAY_FIELDS = ("supplier", "title", "agency", "contract_id")
+
+VALUE_GRAMS = f"""array_distinct(flatten(transform(sequence(1, {GRAM}), n ->
+  transform(sequence(1, greatest(length(_value) - n + 1, 1)), i -> substring(_value, i, n)))))"""
 
 
 def normal_filters(filters: DataFrame) -> DataFrame:
@@ -41,8 +46,7 @@ def normal_filters(filters: DataFrame) -> DataFrame:
 
 
 def _hay() -> Column:
-    fields = ("supplier", "title", "agency", "contract_id")
-    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in fields]))
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in HAY_FIELDS]))
 
 
 def _other_tests(filters_alias: str) -> Column:
@@ -60,9 +64,12 @@ def _name_pairs(wanted: DataFrame, names: DataFrame, kind: str) -> DataFrame:
     """(_text, _name, _key): the stored names that match each text of ``wanted``.
 
     The distinct names and the pairs are written out: the match and the row joins read them
-    several times, and none of those reads should scan the notices again.
+    several times, and none of those reads should scan the notices again. Without any text nothing is read.
     """
     name, key = FIELDS[kind]
+    if wanted.where(F.col(kind).isNotNull()).isEmpty():
+        text = F.lit(None).cast("string")
+        return wanted.where(F.lit(False)).select(text.alias("_text"), text.alias("_name"), text.alias("_key"))
     distinct = names.select(F.coalesce(name, F.lit("")).alias("_name"), F.coalesce(key, F.lit("")).alias("_key")).distinct()
     resolved = staged(distinct, f"{kind}-names").withColumn("e", resolve_entity(kind, "_name", "_key"))
     # The stored name travels inside the entity, so the match needs no join to get it back.
@@ -108,29 +115,39 @@ def matching_rows(filters: DataFrame, notices: DataFrame, catalog: DataFrame | N
 def keyword_rows(filters: DataFrame, notices: DataFrame) -> DataFrame:
     """Matches of the filters that have only a keyword.
 
-    Each distinct text of the rows is looked at once. Its grams keep only those that some keyword probes for, each
-    keyword by the gram that the fewest texts have; the substring test decides on these pairs of texts and keywords.
-    Rows then join their text's keywords by the hash of the text and the text itself.
+    A searched text is four fields with spaces between, and nearly every row has another one; but a piece of a keyword
+    without spaces can only stand within a field. So the distinct values of the fields are looked at, not the rows: each
+    keyword takes its longest piece, and of that the gram that the fewest values have. Rows get the keywords of their
+    four values by the values themselves, and the substring test on the whole text decides.
     """
     wanted = normal_filters(filters).where(
         F.col("company").isNull() & F.col("agency").isNull() & F.col("keyword").isNotNull()
     )
-    rows = notices.withColumn("_hay", _hay())
-    texts = staged(rows.select("_hay").distinct().withColumn("_text", F.xxhash64("_hay")), "keyword-texts")
-    grams = texts.select("_text", F.explode(F.expr(HAY_GRAMS)).alias("_gram"))
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("keyword") - GRAM + 1, F.lit(1))), lambda i: F.substring("keyword", i, F.lit(GRAM)))
-    probes = wanted.select("keyword").distinct().select("keyword", F.explode(F.array_distinct(cuts)).alias("_gram"))
+    value_of = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in HAY_FIELDS}
+    values = reduce(DataFrame.unionByName, [notices.select(v.alias("_value")).distinct() for v in value_of.values()]).distinct()
+    values = staged(values, "keyword-values")
+    pieces = F.array_sort(F.split("keyword", " "), lambda a, b: F.length(b) - F.length(a))
+    asked = wanted.select("keyword").distinct().withColumn("_piece", F.get(pieces, F.lit(0)))
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_piece") - GRAM + 1, F.lit(1))), lambda i: F.substring("_piece", i, F.lit(GRAM)))
+    probes = asked.select("keyword", "_piece", F.explode(F.array_distinct(cuts)).alias("_gram"))
     # Grams that nobody asks for leave before anything is shuffled by gram.
-    asked = staged(grams.join(probes.select("_gram").distinct(), "_gram", "left_semi"), "keyword-grams")
-    volumes = asked.groupBy("_gram").agg(F.count(F.lit(1)).alias("volume"))
-    best = probes.join(volumes, "_gram", "left").groupBy("keyword").agg(
+    grams = values.select("_value", F.explode(F.expr(VALUE_GRAMS)).alias("_gram"))
+    found = staged(grams.join(probes.select("_gram").distinct(), "_gram", "left_semi"), "keyword-grams")
+    volumes = found.groupBy("_gram").agg(F.count(F.lit(1)).alias("volume"))
+    best = probes.join(volumes, "_gram", "left").groupBy("keyword", "_piece").agg(
         F.min(F.struct(F.coalesce("volume", F.lit(0)).alias("volume"), "_gram")).alias("best")
-    ).where("best.volume > 0").select("keyword", "best._gram")
-    pairs = asked.join(best, "_gram").select("_text", "keyword").join(texts, "_text").where(F.contains("_hay", F.col("keyword")))
-    pairs = staged(pairs.select(F.col("_hay").alias("_same"), "_text", "keyword").distinct(), "keyword-pairs").alias("p")
-    keyed = rows.withColumn("_text", F.xxhash64("_hay")).alias("n")
-    found = keyed.join(pairs, (F.col("n._text") == F.col("p._text")) & (F.col("n._hay") == F.col("p._same")))
-    joined = found.join(wanted.alias("f"), F.col("p.keyword") == F.col("f.keyword"))
+    ).where("best.volume > 0").select("keyword", "_piece", "best._gram")
+    pairs = found.join(best, "_gram").where(F.contains("_value", F.col("_piece")))
+    # A value holds no more pieces than it has substrings.
+    pairs = staged(pairs.groupBy("_value").agg(F.collect_set("keyword").alias("_found")), "keyword-pairs")
+    rows = notices.withColumn("_hay", _hay())
+    for c, v in value_of.items():
+        mine = pairs.select(F.col("_value").alias(f"_at_{c}"), F.col("_found").alias(f"_in_{c}"))
+        rows = rows.join(mine, v == F.col(f"_at_{c}"), "left").drop(f"_at_{c}")
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.flatten(F.array(*[F.coalesce(f"_in_{c}", none) for c in HAY_FIELDS])))
+    keyed = rows.select(*notices.columns, "_hay", F.explode(every).alias("_keyword")).alias("n")
+    joined = keyed.join(wanted.alias("f"), F.col("n._keyword") == F.col("f.keyword"))
     return joined.where(_other_tests("f")).select("f.filter_id", *[F.col(f"n.{c}") for c in notices.columns])
 
 

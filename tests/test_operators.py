@@ -13,6 +13,7 @@ from spendlake.operators import batch, coverage, entities, search, snapshots, sp
 from spendlake.operators.filters import SpendFilter, lookback_start, notice_predicate
 from spendlake.plans.answers import answer_questions
 from spendlake.schemas import LEGACY_ROW
+from spendlake.session import staged
 from spendlake.sources import lake
 from spendlake.sources.notice import finish
 
@@ -275,6 +276,37 @@ def test_keyword_rows_equal_a_test_of_every_row(spark):
     assert got == sorted(want) and got
 
 
+def test_keywords_across_fields_and_the_values_that_are_looked_at(spark, monkeypatch):
+    """Every row has a contract id of its own, but its name, title and agency are those of many rows."""
+    rows = [("nsw", f"C{i}", f"r{i}", "Acme Pty", "Health", "Road works", i + 1, "2020-01-01") for i in range(40)]
+    rows.append(("nsw", "C99", "r99", None, None, "Ltd road", 5, "2020-01-01"))
+    keywords = {"a": "PTY road W", "b": "works health c3", "c": "acme", "d": "road", "e": "pty  road", "f": " ltd ROAD ", "g": "absent", "h": "h C7"}
+    table = spark.createDataFrame(list(keywords.items()), "filter_id string, keyword string")
+    sizes = {}
+
+    def seen(df, name):
+        out = staged(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(batch, "staged", seen)
+    df = notices(spark, *rows)
+    got = sorted(map(tuple, batch.keyword_rows(table, df).select("filter_id", "release_id").collect()))
+    texts = {r["release_id"]: " ".join((r[c] or "").lower() for c in ("supplier", "title", "agency", "contract_id")) for r in df.collect()}
+    assert got == sorted((f, r) for f, k in keywords.items() for r, t in texts.items() if k.strip().lower() in t)
+    # 41 contract ids, two titles, one name, one agency and the empty text of the missing ones; no row's whole text.
+    assert sizes["keyword-values"] == 46
+
+
+def test_names_nobody_asks_for_are_not_read(spark, monkeypatch):
+    df = notices(spark, ("nsw", "C1", "r1", "Acme", "ATO", "Road", 5, "2020-01-01"))
+    table = spark.createDataFrame([("k", "road")], "filter_id string, keyword string")
+    names = []
+    monkeypatch.setattr(batch, "staged", lambda df, name: names.append(name) or staged(df, name))
+    assert [tuple(r) for r in batch.batch_total_spend(table, df, with_keywords=True).collect()] == [("k", 1, 5)]
+    assert not [n for n in names if n.endswith("-names")]
+
+
 def test_given_limits_are_kept(spark):
     df = spark.range(1500).select(
         F.lit("nsw").alias("source"), F.col("id").cast("string").alias("contract_id"), F.col("id").cast("decimal(18,2)").alias("amount")
