@@ -309,3 +309,15 @@ def test_each_value_is_parsed_once(spark, name, key):
     """The values are grouped before they are spelled, so the rows that share one cost no parsing."""
     plan = calendar_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Generate"):]
+
+
+def test_days_from_their_parts_equal_the_formatter(spark):
+    marks = [(f"{d}{m}{mon}{m}{y}",) for m in "/- " for d in ("1", "09", "29", "30", "31", "32", "0") for mon in ("2", "02", "12", "13", "Feb", "DEC", "Xyz") for y in ("2023", "2024", "0000", "1582")]
+    df = spark.createDataFrame(marks + [("2024-02-30",), ("2024-02-29",), ("Feb 29 2024",), ("Feb 30 2024",)], "t string")
+    t = F.col("t")
+    for shape, pattern in (cal.ISO_DAY, cal.SLASH_DAY, cal.SLASH_ANY, cal.SLASH_STRICT, cal.DASH_DAY, cal.SPACE_MON, cal.DASH_MON, cal.MON_FIRST):
+        fits = df.where(t.rlike(f"^{shape}$"))
+        got = fits.select(cal._timestamp_of(t, pattern).cast("string").alias("d"))
+        want = fits.select(F.try_to_timestamp(t, F.lit(pattern)).cast("string").alias("d"))
+        assert got.collect() == want.collect() and got.where("d IS NOT NULL").count() > 0
+        assert "gettimestamp" not in got._jdf.queryExecution().optimizedPlan().toString()
