@@ -8,6 +8,7 @@ import re
 import time
 from decimal import Decimal
 from pathlib import Path
+from urllib.parse import urljoin
 
 import pyarrow as pa
 import pytest
@@ -19,7 +20,7 @@ from spendlake.operators import batch
 from spendlake.operators.filters import SpendFilter
 from spendlake.plans import file_queries, source_queries, stream_queries
 from spendlake.session import scratch_path
-from spendlake.sources import csv_cells, file_index, lake, ocds, pages
+from spendlake.sources import csv_cells, file_index, lake, ocds, pages, registry
 from spendlake.sources.notice import reject_report
 from spendlake.sources.testdata import notices
 from spendlake.streaming import load
@@ -367,3 +368,50 @@ def test_page_errors_and_rejects_in_one_pass(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 5
     plan = source_queries.ocds_rejects(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey#") and len(re.findall(r"Relation \[l_orderkey", plan)) == 1
+
+
+def pages_batch(*rows):
+    names = ("source", "url", "html", "reject_reason")[: len(rows[0])]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=list(names))
+
+
+def test_alike_pages_are_laid_out_together(monkeypatch):
+    """Pages whose tags keep coming back fit a pattern and are read without any page of their own, with equal results."""
+    cards = "<ul class='cards profiles'><li><h3><a href=\"{1}\"> {0}</a></h3><dl class=details><dt>{2}</dt><dd>a  b</dd><dd>c</dd></dl></li></ul>"
+    table = "<table id=t><tr><th>Ref {0}<th>By</tr><tr><td><b class='tablesaw-cell-label'>l</b>{0}</td><td><a HREF='{1}'>{0}</a></td></tr></table>"
+    marks = "<table><tr><td>{2})</td><td><div> <i>{0}</i> x</div></td></tr></table><dl><dt>K</dt><dd>{0}</dd></dl>"
+    texts, links, labels = ["a", "", "b &amp; c", " d\n e\xa0", "f" * 40], ["/x", "../y?z=1", "", "q/r", "http://o.test/&amp;"], ["L", " ", "12", "1" * 40]
+    rows = [
+        ("s", "http://h.test/d/e/f", form.format(texts[k % 5], links[k % 5], labels[k % 4]))
+        for k in range(80) for form in (cards, table, marks)
+    ] + [("s", None, "<p>1 < 2"), ("s", "u", None), ("s", "u", "<script>x</script><td>")]
+    for read, schema, together in ((pages._listing, pages._LISTING, pages._listings), (pages._detail, pages._DETAIL, pages._details)):
+        want = [r for b in pages._each(read, schema)(iter([pages_batch(*rows)])) for r in b.to_pylist()]
+        assert list(pages._each(read, schema, together)(iter([pages_batch(*rows)])))
+        single = []
+        counted = lambda html, url: single.append(html) or read(html, url)  # noqa: E731, B023
+        got = [r for b in pages._each(counted, schema, together)(iter([pages_batch(*rows)])) for r in b.to_pylist()]
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(single) == 3
+
+
+def test_relative_links_are_joined_as_the_library_does():
+    for base in ("http://h.test/a/b/c?x=1", "https://h.test/", "http://h.test", "http://h.test/a//b", "", None, "http://h.test/a/./b"):
+        for href in ("../x", "../../../x/y?a=1&b=2", "x", "x/y", "?a=1", "#f", "../", "../x#f", "x/", "/r/s", " ../x ", "./x", "x/../y"):
+            assert pages._joined(href, base) == urljoin(base or "", href.strip())
+
+
+def test_rejects_of_a_portal_load_come_from_one_pass(spark):
+    plan = file_queries.portal_rejects(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4 and len(re.findall(r"Relation \[l_orderkey", plan)) == 4
+    table = "<table id='contractTable'><tr><td>1<td>C1<td>t<td>a<td>02/01/2024<td><td>$5</table>"
+    rows = [("wa", "u1", table, None), ("wa", "u2", "__cf_chl", None), ("wa", "u4", "<p>attention required", None)]
+    landed = pages.flag_blocked(spark.createDataFrame(rows, "source string, url string, html string, x string"))
+    for name in ("nsw", "vic", "sa", "wa"):
+        found = registry.adapter(name)(pages.extract_listings(landed))
+        assert [tuple(r) for r in found.where("reject_reason = 'challenge page'").select("source", "raw_file", "contract_id").collect()] == [(name, "u2", None)]
+        assert found.count() == (2 if name == "wa" else 1)
+
+
+def test_united_sources_keep_only_what_is_compared(spark):
+    plan = source_queries.all_sources_total(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "agency_key" not in plan and "company_key" not in plan
