@@ -99,7 +99,7 @@ def replayed_load_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly totals of a lake into which the same notices were loaded twice."""
     path = scratch_path(spark, "replayed")
     for _ in range(2):
-        lake.write(notices(spark, sf), path)
+        lake.write(notices(spark, sf), path, finished=True)
     return spend.monthly_spend(lake.read(spark, path))
 
 

@@ -415,3 +415,22 @@ def test_rejects_of_a_portal_load_come_from_one_pass(spark):
 def test_united_sources_keep_only_what_is_compared(spark):
     plan = source_queries.all_sources_total(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "agency_key" not in plan and "company_key" not in plan
+
+
+def test_finished_rows_are_shuffled_without_derived_columns(spark, tmp_path):
+    rows = notices(spark, SF)
+    slim = lake.laid_out_slim(rows)._jdf.queryExecution().optimizedPlan().toString()
+    moved = slim[slim.index("RebalancePartitions"):].splitlines()[1]
+    assert "company_key" not in moved and "fy" not in moved and "company_key" in slim
+    lake.write(rows, str(tmp_path / "a"))
+    lake.write(rows, str(tmp_path / "b"), finished=True)
+    plain, got = lake.read(spark, str(tmp_path / "a")), lake.read(spark, str(tmp_path / "b"))
+    assert plain.exceptAll(got).isEmpty() and got.exceptAll(plain).isEmpty() and got.count() == rows.count()
+    assert not [p for p in (tmp_path / "b").rglob("*.parquet") if "zstd" not in p.name]
+
+
+def test_a_lake_write_deletes_its_shuffle_files(spark, tmp_path, monkeypatch):
+    inside, seen = lake.spent_shuffles, []
+    monkeypatch.setattr(lake, "spent_shuffles", lambda s: seen.append(s) or inside(s))
+    lake.write(notices(spark, SF).where("month < '1993-01'"), str(tmp_path / "lake"))
+    assert seen == [spark]
