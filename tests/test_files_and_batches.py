@@ -434,3 +434,14 @@ def test_a_lake_write_deletes_its_shuffle_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lake, "spent_shuffles", lambda s: seen.append(s) or inside(s))
     lake.write(notices(spark, SF).where("month < '1993-01'"), str(tmp_path / "lake"))
     assert seen == [spark]
+
+
+def test_a_term_is_hashed_once_for_all_its_probes(spark, indexed):
+    path, index = indexed
+    rows = file_index.describe(lake.read(spark, path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(lambda") == 1 and "RepartitionByExpression [path" in plan
+    bits = 1 << 12
+    found = spark.range(500).select(F.xxhash64(F.col("id").cast("string")).alias("h"), file_index._probes(F.col("id").cast("string"), F.lit(bits)).alias("p")).collect()
+    places = file_index._places(file_index.np.array([r["h"] for r in found]), bits)
+    assert [r["p"] for r in found] == places.T.tolist() and len({tuple(r["p"]) for r in found}) == 500
